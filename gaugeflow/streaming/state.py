@@ -1,0 +1,26 @@
+"""Batch-numbered Parquet state shared by the foreachBatch jobs.
+
+Every micro-batch overwrites the folder with its own number, so a repeated batch
+leaves the same state.  Readers see all batches below a given number.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def put(df: DataFrame, root: str, name: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+
+
+def get(
+    spark: SparkSession, root: str, name: str, schema: str, below: int | None = None
+) -> DataFrame:
+    """All batches of a state table, or an empty frame before the first batch."""
+    path = f"{root}/{name}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], f"{schema}, batch BIGINT")
+    df = spark.read.schema(f"{schema}, batch BIGINT").parquet(path)
+    return df if below is None else df.filter(F.col("batch") < F.lit(below))
