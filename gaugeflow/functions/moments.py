@@ -40,3 +40,12 @@ def epoch_millis(ts: Column) -> Column:
 def plus_seconds(ts: Column, seconds: Column) -> Column:
     zero = F.lit(0)
     return ts + F.make_dt_interval(zero, zero, zero, seconds.cast("decimal(18,6)"))
+
+
+def as_instant(ts: Column) -> Column:
+    """The moment as TIMESTAMP, which event-time watermarks require."""
+    return F.timestamp_micros((epoch_exact(ts) * F.lit(1_000_000)).cast("bigint"))
+
+
+def from_instant(instant: Column) -> Column:
+    return moment_from_micros(F.unix_micros(instant))

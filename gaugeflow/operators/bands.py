@@ -130,28 +130,28 @@ def with_class_band(vehicles: DataFrame, profiles: DataFrame) -> DataFrame:
     profile at all the source is ``manual``; a class without one keeps its name but
     takes the fallback band.
     """
-    spark = vehicles.sparkSession
-    loads = profiles.filter(F.col("metric") == "engine_load_pct").select(
-        "engine_class", "healthy_min", "healthy_max"
-    )
-    known = profiles.groupBy("engine_class").agg(F.lit(True).alias("_known"))
-    everything = Window.partitionBy(F.lit(0))
-    classes = (
-        spark.createDataFrame([(c,) for c in ENGINE_CLASSES], "engine_class STRING")
-        .join(known, "engine_class", "left")
-        .join(loads, "engine_class", "left")
-        .withColumn("_any", F.max("_known").over(everything))
-        .select(
-            "engine_class",
-            F.coalesce("healthy_min", F.lit(FALLBACK_LOAD_BAND[0])).alias("load_min"),
-            F.coalesce("healthy_max", F.lit(FALLBACK_LOAD_BAND[1])).alias("load_max"),
-            F.when(F.col("_any"), F.concat(F.lit("ved-"), F.col("engine_class")))
-            .otherwise(F.lit("manual"))
-            .alias("load_source"),
-        )
-    )
+    def edge(name: str, column: str) -> Column:
+        hit = f"engine_class = '{name}' AND metric = 'engine_load_pct'"
+        return F.expr(f"max(CASE WHEN {hit} THEN {column} END)")
+
+    found = profiles.agg(
+        F.expr("count(1) > 0").alias("_any"),
+        *[
+            edge(name, column).alias(f"{name}_{column}")
+            for name in ENGINE_CLASSES
+            for column in ("healthy_min", "healthy_max")
+        ],
+    )
+    low, high = FALLBACK_LOAD_BAND
+    rows = ", ".join(
+        f"struct('{name}' AS engine_class, coalesce({name}_healthy_min, {low}D) AS load_min, "
+        f"coalesce({name}_healthy_max, {high}D) AS load_max, "
+        f"CASE WHEN _any THEN 'ved-{name}' ELSE 'manual' END AS load_source)"
+        for name in ENGINE_CLASSES
+    )
+    classes = found.selectExpr(f"inline(array({rows}))")
     return vehicles.withColumn("engine_class", engine_class(F.col("engine"))).join(
-        F.broadcast(classes), "engine_class", "left"
+        F.broadcast(classes), "engine_class"
     )
 
 
@@ -162,39 +162,33 @@ def engine_load_band(vehicles: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-def _band(metric, context, low, high, unit, source) -> Column:
-    def lit(value, kind):
-        return value if isinstance(value, Column) else F.lit(value).cast(kind)
+def _band(metric, context, low, high, unit, source) -> str:
+    """One band as a SQL struct.  Numbers are literals; SQL text stands for itself."""
 
-    return F.struct(
-        lit(metric, "string").alias("metric"),
-        lit(context, "string").alias("context"),
-        lit(low, "double").alias("healthy_min"),
-        lit(high, "double").alias("healthy_max"),
-        lit(unit, "string").alias("unit"),
-        lit(source, "string").alias("source"),
-    )
+    def number(value) -> str:
+        return value if isinstance(value, str) else f"{value}D"
 
+    def word(value: str) -> str:
+        return value if " " in value or value.endswith("_source") else f"'{value}'"
 
-def _five_bands(df: DataFrame, *bands: Column) -> DataFrame:
-    """Five bands per vehicle, numbered 5 * vehicle_id + 0..4 in the given order."""
-    return df.select("vehicle_id", F.posexplode(F.array(*bands)).alias("_at", "_band")).select(
-        (F.col("vehicle_id") * 5 + F.col("_at")).alias("baseline_id"), "vehicle_id", "_band.*"
+    return (
+        f"struct('{metric}' AS metric, {word(context)} AS context, {number(low)} AS healthy_min, "
+        f"{number(high)} AS healthy_max, '{unit}' AS unit, {word(source)} AS source)"
     )
 
 
 def reference_baselines(vehicles: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The five reference bands of each vehicle; the load band is that of its class."""
-    load = _band(
-        "engine_load_pct", "class", F.col("load_min"), F.col("load_max"), "%", F.col("load_source")
-    )
-    return _five_bands(
-        with_class_band(vehicles, profiles),
-        _band(*COOLANT_BAND),
-        _band(*LTFT_BAND),
-        _band(*STFT_BAND),
-        load,
-        _band(*TIMING_BAND),
+    """The five reference bands of each vehicle; the load band is that of its class.
+
+    Band ids are 5 * vehicle_id + 0..4.
+    """
+    load = ("engine_load_pct", "class", "load_min", "load_max", "%", "load_source")
+    bands = (COOLANT_BAND, LTFT_BAND, STFT_BAND, load, TIMING_BAND)
+    rows = ", ".join(_band(*band) for band in bands)
+    return (
+        with_class_band(vehicles, profiles)
+        .selectExpr("vehicle_id", f"posexplode(array({rows})) AS (_at, _band)")
+        .selectExpr("vehicle_id * 5 + _at AS baseline_id", "vehicle_id", "_band.*")
     )
 
 
@@ -208,36 +202,39 @@ def session_derived_baselines(sessions: DataFrame, samples: DataFrame) -> DataFr
         ]
     )
 
-    def derived(short, metric, unit, fallback_context, fallback, floor=None, ceiling=None):
-        low, high = F.col(f"lo_{short}"), F.col(f"hi_{short}")
-        width = F.greatest(F.lit(5.0), high - low)
-        pad = F.greatest(F.lit(2.0), width * F.lit(0.12))
-        low_edge, high_edge = low - pad, high + pad
+    def derived(short, metric, unit, fallback_context, fallback, floor=None, ceiling=None) -> str:
+        low, high = f"lo_{short}", f"hi_{short}"
+        pad = f"greatest(2D, greatest(5D, {high} - {low}) * 0.12D)"
+        low_edge, high_edge = f"{low} - {pad}", f"{high} + {pad}"
         if floor is not None:
-            low_edge, high_edge = F.greatest(F.lit(floor), low_edge), F.least(
-                F.lit(ceiling), high_edge
-            )
-        seen = low.isNotNull()
+            low_edge = f"greatest({floor}D, {low_edge})"
+            high_edge = f"least({ceiling}D, {high_edge})"
+
+        def seen(yes: str, no: str) -> str:
+            return f"CASE WHEN {low} IS NOT NULL THEN {yes} ELSE {no} END"
+
         return _band(
             metric,
-            F.when(seen, F.lit("session")).otherwise(F.lit(fallback_context)),
-            F.when(seen, F.round(low_edge, 1)).otherwise(F.lit(fallback[0])),
-            F.when(seen, F.round(high_edge, 1)).otherwise(F.lit(fallback[1])),
+            seen("'session'", f"'{fallback_context}'"),
+            seen(f"round({low_edge}, 1)", f"{fallback[0]}D"),
+            seen(f"round({high_edge}, 1)", f"{fallback[1]}D"),
             unit,
-            F.when(seen, F.lit("derived")).otherwise(F.lit("manual")),
+            seen("'derived'", "'manual'"),
         )
 
-    rows = F.array(
-        derived("coolant", "coolant_temp_c", "C", "warming", FALLBACK_COOLANT_BAND),
-        _band(*LTFT_BAND),
-        _band(*STFT_BAND),
-        _band(*TIMING_BAND),
-        derived("load", "engine_load_pct", "%", "idle", FALLBACK_LOAD_BAND, 0.0, 100.0),
+    rows = ", ".join(
+        (
+            derived("coolant", "coolant_temp_c", "C", "warming", FALLBACK_COOLANT_BAND),
+            _band(*LTFT_BAND),
+            _band(*STFT_BAND),
+            _band(*TIMING_BAND),
+            derived("load", "engine_load_pct", "%", "idle", FALLBACK_LOAD_BAND, 0.0, 100.0),
+        )
     )
     return (
         sessions.select("session_id", "vehicle_id")
         .join(extremes, "session_id", "left")
-        .select("session_id", "vehicle_id", F.inline(rows))
+        .selectExpr("session_id", "vehicle_id", f"inline(array({rows}))")
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.moments import epoch_second
@@ -17,7 +19,10 @@ def session_dtc_events(faults: DataFrame) -> DataFrame:
 
 
 def dtc_telemetry_correlation(
-    faults: DataFrame, samples: DataFrame, half_window: int = 5
+    faults: DataFrame,
+    samples: DataFrame,
+    half_window: int = 5,
+    whole_second: Callable[[Column], Column] = epoch_second,
 ) -> DataFrame:
     """Sensor rows within +-``half_window`` whole seconds of each fault, same session.
 
@@ -36,13 +41,13 @@ def dtc_telemetry_correlation(
             "status",
             "description",
             F.col("ts").alias("fault_ts"),
-            epoch_second(F.col("ts")).alias("_at"),
+            whole_second(F.col("ts")).alias("_at"),
         )
         .withColumn("_slot", F.explode(F.array(slot - 1, slot, slot + 1)))
         .withColumnRenamed("_at", "_fault_at")
     )
     readings = samples.select(
-        "session_id", "sample_id", "ts", *_SENSORS, epoch_second(F.col("ts")).alias("_at")
+        "session_id", "sample_id", "ts", *_SENSORS, whole_second(F.col("ts")).alias("_at")
     ).withColumn("_slot", slot)
     near = F.abs(F.col("_at") - F.col("_fault_at")) <= F.lit(int(half_window))
     return (

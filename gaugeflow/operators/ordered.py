@@ -73,12 +73,12 @@ def busy_keys(df: DataFrame, by: Sequence[str], limit: int = BUSY_ROWS) -> DataF
     Reads the key columns only and combines on the map side.  There can be no
     more than (rows / limit) such keys.
     """
-    found = cut_lineage(
+    found = (
         df.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > F.lit(limit))
     )
-    return None if found.isEmpty() else found
+    return None if found.isEmpty() else cut_lineage(found)
 
 
 def number_rows(
@@ -129,17 +129,16 @@ def running_offsets(df: DataFrame, order: Sequence[str], amount: str, name: str)
     earlier = (
         Window.partitionBy(F.lit(0)).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = starts.select(_BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    starts = starts.select(_BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     inside = (
         Window.partitionBy(_BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    # One row per range partition, so the offsets are always few.
+    within = F.coalesce(F.sum(amount).over(inside), F.lit(0))
+    # One row per range partition, so the starts are always few.
     return (
         placed.join(F.broadcast(starts), _BLOCK)
-        .withColumn(
-            name, F.col("_before") + F.coalesce(F.sum(amount).over(inside), F.lit(0))
-        )
-        .drop(_BLOCK, "_before")
+        .withColumn(name, F.col("_start") + within)
+        .drop(_BLOCK, "_start")
     )
 
 

@@ -38,36 +38,52 @@ SCORED_METRICS = (
 )
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "DOUBLE": T.DoubleType(),
+    "STRING": T.StringType(),
+    "TIMESTAMP_NTZ": T.TimestampNTZType(),
+}
+
+
+def _struct(key: str, columns: str) -> T.StructType:
+    """A schema from ``name TYPE`` pairs; ``key`` is the required first column."""
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType(
+        [T.StructField(key, T.LongType(), nullable=False)]
+        + [T.StructField(name, _TYPES[kind]) for name, kind in pairs]
+    )
 
 
 SCHEMAS: dict[str, T.StructType] = {
     "vehicles": _struct(
-        "vehicle_id BIGINT NOT NULL, vin STRING, make STRING, model STRING, year INT, "
-        "engine STRING, notes STRING"
+        "vehicle_id", "vin STRING, make STRING, model STRING, year INT, engine STRING, notes STRING"
     ),
     "drive_sessions": _struct(
-        "session_id BIGINT NOT NULL, vehicle_id BIGINT, started_at TIMESTAMP_NTZ, "
-        "ended_at TIMESTAMP_NTZ, source STRING, ambient_c DOUBLE, notes STRING"
+        "session_id",
+        "vehicle_id BIGINT, started_at TIMESTAMP_NTZ, ended_at TIMESTAMP_NTZ, source STRING, "
+        "ambient_c DOUBLE, notes STRING",
     ),
     "telemetry_samples": _struct(
-        "sample_id BIGINT NOT NULL, session_id BIGINT, ts TIMESTAMP_NTZ, "
-        + ", ".join(f"{gauge} DOUBLE" for gauge in GAUGES)
+        "sample_id",
+        "session_id BIGINT, ts TIMESTAMP_NTZ, " + ", ".join(f"{gauge} DOUBLE" for gauge in GAUGES),
     ),
     "dtc_events": _struct(
-        "dtc_id BIGINT NOT NULL, session_id BIGINT, ts TIMESTAMP_NTZ, code STRING, "
-        "status STRING, description STRING"
+        "dtc_id",
+        "session_id BIGINT, ts TIMESTAMP_NTZ, code STRING, status STRING, description STRING",
     ),
     "baselines": _struct(
-        "baseline_id BIGINT NOT NULL, vehicle_id BIGINT, metric STRING, context STRING, "
-        "healthy_min DOUBLE, healthy_max DOUBLE, unit STRING, source STRING"
+        "baseline_id",
+        "vehicle_id BIGINT, metric STRING, context STRING, healthy_min DOUBLE, "
+        "healthy_max DOUBLE, unit STRING, source STRING",
     ),
     "findings": _struct(
-        "finding_id BIGINT NOT NULL, session_id BIGINT, severity STRING, category STRING, "
-        "metric_or_code STRING, observed STRING, expected_range STRING, likely_cause STRING, "
-        "recommended_fix STRING, confidence DOUBLE, evidence_json STRING, "
-        "agent_trace_id STRING, created_at TIMESTAMP_NTZ"
+        "finding_id",
+        "session_id BIGINT, severity STRING, category STRING, metric_or_code STRING, "
+        "observed STRING, expected_range STRING, likely_cause STRING, recommended_fix STRING, "
+        "confidence DOUBLE, evidence_json STRING, agent_trace_id STRING, "
+        "created_at TIMESTAMP_NTZ",
     ),
 }
 
@@ -89,13 +105,15 @@ class Fleet:
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns of ``table``, in schema order and type; absent ones become NULL."""
-    present = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in SCHEMAS[table].fields
-        ]
-    )
+    have = {f.name: f.dataType for f in df.schema.fields}
+
+    def column(f: T.StructField):
+        if have.get(f.name) == f.dataType:
+            return f.name
+        value = F.col(f.name) if f.name in have else F.lit(None)
+        return value.cast(f.dataType).alias(f.name)
+
+    return df.select(*[column(f) for f in SCHEMAS[table].fields])
 
 
 def load_tables(spark: SparkSession, root: str, register: bool = False) -> Fleet:

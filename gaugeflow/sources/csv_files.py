@@ -21,31 +21,32 @@ PLACE = ("block_start", "line_no")
 _HEADER_BYTES = 64 * 1024
 
 
-def _first_lines(batches: Iterator) -> Iterator:
-    """First line of each file in a batch of file URIs (runs inside tasks)."""
-    from urllib.parse import unquote, urlparse
-
-    from pyarrow import fs
-
-    for batch in batches:
-        lines = []
-        for uri in batch["file"]:
-            if urlparse(uri).scheme in ("", "file"):
-                system, path = fs.LocalFileSystem(), unquote(urlparse(uri).path)
-            else:
-                system, path = fs.FileSystem.from_uri(uri)
-            with system.open_input_stream(path, compression="detect") as stream:
-                head = stream.read(_HEADER_BYTES).decode("utf-8", "replace")
-            lines.append(head.splitlines()[0] if head.strip() else "")
-        yield batch.assign(header=lines)
-
-
 def header_groups(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, list[str]]:
     """Files per distinct header line.  Tasks read only the head of each file."""
+    limit = _HEADER_BYTES
+
+    # Nested, so that executors get the code with the task and need no package.
+    def first_lines(batches: Iterator) -> Iterator:
+        from urllib.parse import unquote, urlparse
+
+        from pyarrow import fs
+
+        for batch in batches:
+            lines = []
+            for uri in batch["file"]:
+                if urlparse(uri).scheme in ("", "file"):
+                    system, path = fs.LocalFileSystem(), unquote(urlparse(uri).path)
+                else:
+                    system, path = fs.FileSystem.from_uri(uri)
+                with system.open_input_stream(path, compression="detect") as stream:
+                    head = stream.read(limit).decode("utf-8", "replace")
+                lines.append(head.splitlines()[0] if head.strip() else "")
+            yield batch.assign(header=lines)
+
     files = spark.read.text(paths).inputFiles()
     listed = spark.createDataFrame([(f,) for f in files], "file STRING")
     lanes = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
-    heads = listed.repartition(lanes).mapInPandas(_first_lines, "file STRING, header STRING")
+    heads = listed.repartition(lanes).mapInPandas(first_lines, "file STRING, header STRING")
     groups = heads.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
     # The driver already holds the file list; this adds one line per distinct header.
     return {row["header"]: row["files"] for row in groups.collect() if row["header"].strip()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow.functions.moments import as_instant, from_instant
 from gaugeflow.operators.faults import dtc_telemetry_correlation
 
 
@@ -17,10 +18,13 @@ def stream_dtc_correlation(
     drops join state once no partner can arrive any more.  The tie is one second
     wider than the window because the window compares whole seconds.
     """
-    reach = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(half_window + 1).cast("decimal(18,6)"))
-    pairs = dtc_telemetry_correlation(
-        faults.withWatermark("ts", delay), samples.withWatermark("ts", delay), half_window
-    )
-    return pairs.filter(
+    reach = F.expr(f"INTERVAL {int(half_window) + 1} SECONDS")
+    sides = [
+        df.withColumn("ts", as_instant(F.col("ts"))).withWatermark("ts", delay)
+        for df in (faults, samples)
+    ]
+    pairs = dtc_telemetry_correlation(*sides, half_window, F.unix_seconds)
+    tied = pairs.filter(
         (F.col("ts") >= F.col("fault_ts") - reach) & (F.col("ts") <= F.col("fault_ts") + reach)
     )
+    return tied.withColumns({c: from_instant(F.col(c)) for c in ("ts", "fault_ts")})

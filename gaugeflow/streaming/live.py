@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow.functions.moments import epoch_millis
 from gaugeflow.functions.text import text_or_null
 
 # Read-only command names and what they feed.
@@ -62,14 +63,22 @@ def live_readings_to_samples(readings: DataFrame, delay: str = "10 minutes") ->
     the watermark and a sample is released once the watermark passes it.  The key is
     (session, ts), so one long session spreads over all tasks.
     """
-    rows = readings.filter(F.col("command").isin(*COMMAND_GAUGES))
+    # Watermarks have millisecond precision, so the event time is cut to that; the
+    # exact poll time stays in the key.
+    rows = readings.filter(F.col("command").isin(*COMMAND_GAUGES)).withColumn(
+        "_at", F.timestamp_millis(epoch_millis(F.col("ts")))
+    )
     if rows.isStreaming:
-        rows = rows.withWatermark("ts", delay)
-    return rows.groupBy("session_id", "ts").agg(
-        *[
-            F.max(F.when(F.col("command") == command, F.col("value"))).alias(gauge)
-            for command, gauge in COMMAND_GAUGES.items()
-        ]
+        rows = rows.withWatermark("_at", delay)
+    return (
+        rows.groupBy("session_id", "ts", "_at")
+        .agg(
+            *[
+                F.max(F.when(F.col("command") == command, F.col("value"))).alias(gauge)
+                for command, gauge in COMMAND_GAUGES.items()
+            ]
+        )
+        .drop("_at")
     )
 
 
