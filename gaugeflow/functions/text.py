@@ -23,14 +23,21 @@ def first_number(col: Column) -> Column:
     return F.nullif(digits, F.lit("")).try_cast("double")
 
 
-def decimal_text(col: Column, digits: int) -> Column:
-    """``%.<digits>f`` with NULL printed as zero, rounded half up on the decimal value."""
-    exact = F.coalesce(col.cast("double"), F.lit(0.0)).cast("decimal(38,9)")
-    return exact.cast(f"decimal(38,{digits})").cast("string")
+def decimal_text(value: str, digits: int) -> Column:
+    """``%.<digits>f`` of a SQL expression, NULL printed as zero.
+
+    Rounds half up on the decimal value, without going through a formatter.
+    """
+    return F.expr(_fixed(value, digits))
+
+
+def percent_text(value: str, digits: int = 1) -> Column:
+    return F.expr(f"concat({_fixed(value, digits)}, '%')")
 
 
-def percent_text(col: Column, digits: int = 1) -> Column:
-    return F.concat(decimal_text(col, digits), F.lit("%"))
+def _fixed(value: str, digits: int) -> str:
+    exact = f"CAST(coalesce(CAST({value} AS DOUBLE), 0D) AS DECIMAL(38,9))"
+    return f"CAST(CAST({exact} AS DECIMAL(38,{digits})) AS STRING)"
 
 
 def clamp(col: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -52,6 +59,6 @@ def between_markers(col: Column, start: str, end: str) -> Column:
     )
 
 
-def iso_text(col: Column) -> Column:
+def iso_text(value: str) -> Column:
     """UTC moment as ISO text with milliseconds."""
-    return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.expr(f"date_format({value}, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")")

@@ -43,8 +43,12 @@ def deviation_counts(
     later join is followed by a shuffle on other keys, which lets AQE split a
     skewed side.
     """
+    owners = sessions.select("session_id", "vehicle_id")
+    limits = bands.filter(F.col("metric").isin(list(metrics))).select(
+        "vehicle_id", "metric", "context", "healthy_min", "healthy_max"
+    )
     if combine_first is None:
-        combine_first = not (is_small(sessions) and is_small(bands))
+        combine_first = not (is_small(owners) and is_small(limits))
     readings = _readings(samples, metrics, count_nulls)
     if combine_first:
         readings = readings.groupBy("session_id", "metric", "observed").agg(
@@ -53,13 +57,10 @@ def deviation_counts(
     else:
         readings = readings.withColumn("readings", F.lit(1).cast("bigint"))
 
-    limits = bands.filter(F.col("metric").isin(list(metrics))).select(
-        "vehicle_id", "metric", "context", "healthy_min", "healthy_max"
-    )
     # NULL limits or values leave the comparison NULL, which counts as in band.
     outside = ~F.col("observed").between(F.col("healthy_min"), F.col("healthy_max"))
     return (
-        readings.join(sessions.select("session_id", "vehicle_id"), "session_id")
+        readings.join(owners, "session_id")
         .join(limits, ["vehicle_id", "metric"])
         .groupBy("session_id", "metric", "context")
         .agg(

@@ -85,11 +85,11 @@ def dtc_evidence_panel(
         "code",
         "status",
         "description",
-        iso_text(F.col("fault_ts")).alias("fault_ts"),
-        iso_text(F.col("ts")).alias("ts"),
-        decimal_text(F.col("rpm"), 0).alias("rpm"),
-        decimal_text(F.col("engine_load_pct"), 1).alias("engine_load_pct"),
-        decimal_text(F.col("coolant_temp_c"), 1).alias("coolant_temp_c"),
+        iso_text("fault_ts").alias("fault_ts"),
+        iso_text("ts").alias("ts"),
+        decimal_text("rpm", 0).alias("rpm"),
+        decimal_text("engine_load_pct", 1).alias("engine_load_pct"),
+        decimal_text("coolant_temp_c", 1).alias("coolant_temp_c"),
     )
     # The row shown when a drive has no fault.
     placeholder = {

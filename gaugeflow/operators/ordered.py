@@ -105,12 +105,12 @@ def number_rows(
         .orderBy(_BLOCK)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = cut_lineage(
+    # Sorted ranges give at most (keys + ranges) spans, and the keys are few by contract.
+    offsets = F.broadcast(
         spans.select(
             *by, _BLOCK, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
         )
     )
-    offsets = broadcast_if_few(offsets, offsets.count())
     return (
         placed.join(offsets, [*by, _BLOCK])
         .withColumn(name, F.col("_before") + F.col(_SLOT) - F.col("_first") + F.lit(1))

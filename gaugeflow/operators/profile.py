@@ -97,8 +97,8 @@ def airflow_stability_score(points: DataFrame) -> DataFrame:
     Works on the display values (two decimals) of at most 26 trend points.  A point
     without a speed shows 0.00 and so counts as standing still.
     """
-    flow = decimal_text(F.col("maf_30s"), 2).cast("double")
-    speed = decimal_text(F.col("speed_kph"), 2).cast("double")
+    flow = decimal_text("maf_30s", 2).cast("double")
+    speed = decimal_text("speed_kph", 2).cast("double")
     moving = F.when((flow > 0) & (speed > 0), flow)
     mean = F.avg(moving)
     spread = F.stddev_pop(moving) / mean * F.lit(100.0)
@@ -156,10 +156,10 @@ def _axes() -> Column:
     return F.array(
         *[
             F.struct(
-                F.lit(axis).alias("id"),
-                F.lit(label).alias("label"),
-                decimal_text(F.round(F.col(axis), 1), 1).alias("value"),
-                percent_text(F.round(F.col(axis), 1)).alias("width_pct"),
+                F.expr(f"'{axis}' AS id"),
+                F.expr(f"'{label}' AS label"),
+                decimal_text(f"round({axis}, 1)", 1).alias("value"),
+                percent_text(f"round({axis}, 1)").alias("width_pct"),
             )
             for axis, label in AXES
         ]
@@ -174,39 +174,29 @@ def health_matrix(scores: DataFrame, deviation: DataFrame, points: DataFrame) ->
     )
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "\\'") + "'"
+
+
 def _concerns() -> Column:
-    def when(condition: Column, level: str, text) -> Column:
-        text = text if isinstance(text, Column) else F.lit(text)
-        return F.when(condition, F.struct(F.lit(level).alias("level"), text.alias("text")))
-
-    airflow = F.round("airflow", 1)
-    first_five = F.array_compact(
-        F.array(
-            when((F.col("mean_pct") >= 50) & (F.col("checked") > 0), "watch", CONCERN_BASELINE),
-            when(
-                (F.col("coolant_pct") >= 50) & (F.col("coolant_checked") > 0),
-                "watch",
-                CONCERN_COOLANT,
-            ),
-            when(F.col("metric_penalty_points") >= 8, "watch", CONCERN_PENALTY),
-            when(
-                F.col("dtc_count") > 0,
-                "fault",
-                F.concat(
-                    F.lit(CONCERN_FAULT_START),
-                    F.col("dtc_count").cast("string"),
-                    F.lit(CONCERN_FAULT_END),
-                ),
-            ),
-            when(airflow < 55, "watch", CONCERN_AIRFLOW),
-        )
+    def when(condition: str, level: str, text: str) -> str:
+        return f"CASE WHEN {condition} THEN struct('{level}' AS level, {text} AS text) END"
+
+    fault = f"concat({_text(CONCERN_FAULT_START)}, dtc_count, {_text(CONCERN_FAULT_END)})"
+    rules = (
+        when("mean_pct >= 50 AND checked > 0", "watch", _text(CONCERN_BASELINE)),
+        when("coolant_pct >= 50 AND coolant_checked > 0", "watch", _text(CONCERN_COOLANT)),
+        when("metric_penalty_points >= 8", "watch", _text(CONCERN_PENALTY)),
+        when("dtc_count > 0", "fault", fault),
+        when("round(airflow, 1) < 55", "watch", _text(CONCERN_AIRFLOW)),
     )
-    moderate = (F.col("drive_health") < 90) & (F.size(first_five) < 2)
-    found = F.array_compact(
-        F.concat(first_five, F.array(when(moderate, "watch", CONCERN_SCORE)))
+    first_five = f"array_compact(array({', '.join(rules)}))"
+    moderate = when(
+        f"drive_health < 90 AND size({first_five}) < 2", "watch", _text(CONCERN_SCORE)
     )
-    nothing = F.array(F.struct(F.lit("ok").alias("level"), F.lit(CONCERN_NONE).alias("text")))
-    return F.slice(F.when(F.size(found) > 0, found).otherwise(nothing), 1, 3)
+    found = f"array_compact(concat({first_five}, array({moderate})))"
+    nothing = f"array(struct('ok' AS level, {_text(CONCERN_NONE)} AS text))"
+    return F.expr(f"slice(CASE WHEN size({found}) > 0 THEN {found} ELSE {nothing} END, 1, 3)")
 
 
 def performance_concerns(

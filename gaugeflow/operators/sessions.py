@@ -151,15 +151,15 @@ def session_focus(
         "drive_label",
         "started_at",
         "ended_at",
-        decimal_text(F.col("health_score"), 1).alias("health_score"),
-        percent_text(F.col("health_score")).alias("health_score_width"),
-        decimal_text(F.col("metric_penalty_points"), 1).alias("metric_penalty_points"),
-        decimal_text(F.col("dtc_penalty_points"), 1).alias("dtc_penalty_points"),
+        decimal_text("health_score", 1).alias("health_score"),
+        percent_text("health_score").alias("health_score_width"),
+        decimal_text("metric_penalty_points", 1).alias("metric_penalty_points"),
+        decimal_text("dtc_penalty_points", 1).alias("dtc_penalty_points"),
         F.col("dtc_count").cast("string").alias("dtc_count"),
         F.col("telemetry_samples").cast("string").alias("telemetry_samples"),
         "score_basis",
-        decimal_text(F.col("pct_out_of_range"), 1).alias("pct_out_of_range"),
-        percent_text(F.col("pct_out_of_range")).alias("baseline_width"),
+        decimal_text("pct_out_of_range", 1).alias("pct_out_of_range"),
+        percent_text("pct_out_of_range").alias("baseline_width"),
         F.col("out_of_range_samples").cast("string").alias("out_of_range_samples"),
         F.col("sample_count").cast("string").alias("sample_count"),
     )

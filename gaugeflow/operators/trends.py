@@ -84,8 +84,8 @@ def airflow_trend_sampled(
         "session_id",
         "point",
         "ts",
-        decimal_text(F.col("speed_kph"), 2).alias("speed_kph"),
-        decimal_text(F.col("maf_gps"), 2).alias("maf_gps"),
-        decimal_text(F.col("maf_30s"), 2).alias("maf_30s"),
-        percent_text(F.col("height")).alias("height_pct"),
+        decimal_text("speed_kph", 2).alias("speed_kph"),
+        decimal_text("maf_gps", 2).alias("maf_gps"),
+        decimal_text("maf_30s", 2).alias("maf_30s"),
+        percent_text("height").alias("height_pct"),
     )

@@ -119,7 +119,7 @@ def export_bi_pack(
         types = {f.name: f.dataType for f in frame.schema.fields}
         ordered.select(
             *[
-                iso_text(F.col(c)).alias(c) if isinstance(types[c], T.TimestampNTZType) else c
+                iso_text(c).alias(c) if isinstance(types[c], T.TimestampNTZType) else c
                 for c in columns
             ]
         ).write.mode(mode).option("header", True).csv(f"{out}/{name}")
@@ -141,11 +141,11 @@ def session_views(
     )
     point = F.struct(
         "point",
-        iso_text(F.col("ts")).alias("ts"),
-        decimal_text(F.col("speed_kph"), 2).alias("speed_kph"),
-        decimal_text(F.col("maf_gps"), 2).alias("maf_gps"),
-        decimal_text(F.col("maf_30s"), 2).alias("maf_30s"),
-        percent_text(F.col("height")).alias("height_pct"),
+        iso_text("ts").alias("ts"),
+        decimal_text("speed_kph", 2).alias("speed_kph"),
+        decimal_text("maf_gps", 2).alias("maf_gps"),
+        decimal_text("maf_30s", 2).alias("maf_30s"),
+        percent_text("height").alias("height_pct"),
     )
     trend = points.groupBy("session_id").agg(
         F.transform(F.array_sort(F.collect_list(point)), lambda p: p.dropFields("point")).alias(
@@ -161,7 +161,7 @@ def session_views(
     )
     summary = F.when(F.col("dtc_count").cast("bigint") > 0, TEXT_DTC_ROWS).otherwise(TEXT_NO_DTC)
     shown = [
-        iso_text(F.col(c)).alias(c) if c in ("started_at", "ended_at") else F.col(c)
+        iso_text(c).alias(c) if c in ("started_at", "ended_at") else F.col(c)
         for c in focus.columns
     ]
     heads = focus.select(

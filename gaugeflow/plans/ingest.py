@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.operators.bands import reference_baselines
-from gaugeflow.operators.ordered import cut_lineage, number_rows, running_offsets
+from gaugeflow.operators.ordered import number_rows, running_offsets
 from gaugeflow.schema import SCHEMAS, Fleet, conform
 from gaugeflow.sources.csv_files import PLACE, SOURCE
 
@@ -87,10 +87,8 @@ def ingest_drives(
     """
     rank = "source_order" if "source_order" in sources.columns else SOURCE
     numbered = number_rows(sources, (), (rank,), "_n").withColumn("_n", F.col("_n") - 1)
-    keyed = cut_lineage(
-        numbered.withColumn("session_id", F.col("_n") + F.lit(first_session_id)).withColumn(
-            "vehicle_id", F.col("_n") + F.lit(first_vehicle_id)
-        )
+    keyed = numbered.withColumn("session_id", F.col("_n") + F.lit(first_session_id)).withColumn(
+        "vehicle_id", F.col("_n") + F.lit(first_vehicle_id)
     )
     ids = keyed.select(SOURCE, "session_id")
 
@@ -100,13 +98,16 @@ def ingest_drives(
         F.max_by("ts", _LINE).alias("_last_ts"),
     )
     unlisted = F.concat(F.lit("no source entry for "), F.col(SOURCE))
-    splits = cut_lineage(
+    splits = running_offsets(
         splits.join(ids, SOURCE, "left").withColumn(
             "session_id",
             F.when(F.col("session_id").isNull(), F.raise_error(unlisted).cast("bigint")).otherwise(
                 F.col("session_id")
             ),
-        )
+        ),
+        ("session_id", _BLOCK),
+        "_rows",
+        "_before",
     )
     extent = splits.groupBy("session_id").agg(
         F.min_by("_first_ts", _BLOCK).alias("started_at"),
@@ -125,12 +126,7 @@ def ingest_drives(
     )
     vehicles = keyed.withColumn("notes", F.col("vehicle_notes"))
 
-    offsets = running_offsets(
-        splits.select(SOURCE, "session_id", _BLOCK, "_rows"),
-        ("session_id", _BLOCK),
-        "_rows",
-        "_before",
-    ).select(SOURCE, "session_id", _BLOCK, "_before")
+    offsets = splits.select(SOURCE, "session_id", _BLOCK, "_before")
     inside = Window.partitionBy(SOURCE, _BLOCK).orderBy(_LINE)
     samples = (
         rows.withColumn("_in", F.row_number().over(inside))

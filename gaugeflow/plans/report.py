@@ -479,7 +479,7 @@ def drive_window(scores: DataFrame) -> DataFrame:
         ),
     ).otherwise(F.concat(rest.cast("string"), F.lit("s")))
     pace = F.concat(
-        decimal_text(F.try_divide(F.col("duration_sec"), F.col("telemetry_samples")), 1),
+        decimal_text("try_divide(duration_sec, telemetry_samples)", 1),
         F.lit("s per row"),
     )
     return (
@@ -499,7 +499,7 @@ def trend_axes(sessions: DataFrame, points: DataFrame) -> DataFrame:
     """Axis labels of the trend chart: elapsed start and end, highest smoothed flow."""
     spans = points.groupBy("session_id").agg(
         (epoch_millis(F.max_by("ts", "point")) - epoch_millis(F.min_by("ts", "point"))).alias("_ms"),
-        F.max(decimal_text(F.col("maf_30s"), 2).cast("double")).alias("_top"),
+        F.max(decimal_text("maf_30s", 2).cast("double")).alias("_top"),
     )
     total = F.greatest(F.lit(0), F.floor(F.col("_ms") / F.lit(1000.0) + F.lit(0.5))).cast("bigint")
     clock = F.concat(
@@ -509,7 +509,7 @@ def trend_axes(sessions: DataFrame, points: DataFrame) -> DataFrame:
         "session_id",
         F.lit("0:00").alias("start"),
         F.coalesce(clock, F.lit("0:00")).alias("end"),
-        F.when(F.col("_top").isNull(), "0").otherwise(decimal_text(F.col("_top"), 1)).alias("max_g"),
+        F.when(F.col("_top").isNull(), "0").otherwise(decimal_text("_top", 1)).alias("max_g"),
     )
 
 

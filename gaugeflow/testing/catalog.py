@@ -52,6 +52,20 @@ def _scores(f: Fleet) -> DataFrame:
     )
 
 
+def _scored(f: Fleet) -> tuple[DataFrame, DataFrame]:
+    """Scores and deviation rows from one set of counts."""
+    deviation = _deviation(f)
+    scores = D.session_health_score(
+        f.drive_sessions, f.telemetry_samples, f.dtc_events, f.baselines, counts=deviation
+    )
+    return scores, deviation
+
+
+def _scored_rollup(f: Fleet) -> tuple[DataFrame, DataFrame]:
+    scores, deviation = _scored(f)
+    return scores, D.baseline_rollup(deviation)
+
+
 def _points(f: Fleet) -> DataFrame:
     return T.airflow_points(f.telemetry_samples, SCALE)
 
@@ -81,7 +95,7 @@ _CSV_HEADERS = {
 def scan_drive_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two header styles written as CSV and read back as one table."""
     ev = V.events(spark, sf_dir)
-    rows = V.drive_rows(ev).withColumn("ts", iso_text(F.col("ts")))
+    rows = V.drive_rows(ev).withColumn("ts", iso_text("ts"))
     folder = V.scratch(spark, "drive-csv")
     even = F.col("line_no") % 2 == 0
     plain = rows.filter(even).drop("source_file", "block_start", "line_no")
@@ -374,15 +388,11 @@ on_fleet("dtc_evidence_panel", lambda f: X.dtc_evidence_panel(f.drive_sessions,
 on_fleet("baseline_rollup", lambda f: D.baseline_rollup(_deviation(f)))
 on_fleet(
     "session_focus",
-    lambda f: S.session_focus(
-        f.drive_sessions, f.vehicles, _scores(f), D.baseline_rollup(_deviation(f))
-    ),
+    lambda f: S.session_focus(f.drive_sessions, f.vehicles, *_scored_rollup(f)),
 )
 on_fleet(
     "session_list",
-    lambda f: S.session_list(
-        f.drive_sessions, f.vehicles, _scores(f), D.baseline_rollup(_deviation(f))
-    ),
+    lambda f: S.session_list(f.drive_sessions, f.vehicles, *_scored_rollup(f)),
 )
 on_fleet(
     "default_session",
@@ -419,9 +429,9 @@ def session_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- scoring, rules and reports ---------------------------------------------------------------
 
-on_fleet("health_matrix", lambda f: P.health_matrix(_scores(f), _deviation(f), _points(f)))
-on_fleet("baseline_fit_score", lambda f: P.baseline_fit_score(_scores(f), _deviation(f)))
-on_fleet("sensor_balance_score", lambda f: P.sensor_balance_score(_scores(f), _deviation(f)))
+on_fleet("health_matrix", lambda f: P.health_matrix(*_scored(f), _points(f)))
+on_fleet("baseline_fit_score", lambda f: P.baseline_fit_score(*_scored(f)))
+on_fleet("sensor_balance_score", lambda f: P.sensor_balance_score(*_scored(f)))
 on_fleet("fault_clearance_score", lambda f: P.fault_clearance_score(_scores(f)))
 on_fleet(
     "airflow_stability_score",
@@ -429,11 +439,11 @@ on_fleet(
 )
 on_fleet(
     "performance_concerns",
-    lambda f: P.performance_concerns(_scores(f), _deviation(f), _points(f)),
+    lambda f: P.performance_concerns(*_scored(f), _points(f)),
 )
 on_fleet(
     "axis_ranking",
-    lambda f: P.axis_ranking(P.health_matrix(_scores(f), _deviation(f), _points(f))),
+    lambda f: P.axis_ranking(P.health_matrix(*_scored(f), _points(f))),
 )
 
 
@@ -498,9 +508,7 @@ def replace_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 on_fleet(
     "session_fact_summary",
-    lambda f: R.session_fact_summary(_facts(f), f.telemetry_samples, SCALE).filter(
-        F.col("query") != "fuel_trim_drift"
-    ),
+    lambda f: R.session_fact_summary(_facts(f), f.telemetry_samples, SCALE),
 )
 
 
