@@ -31,6 +31,12 @@ def decimal_text(value: str, digits: int) -> Column:
     return F.expr(_fixed(value, digits))
 
 
+def number_text(value: str, digits: int = 10) -> Column:
+    """A double in plain digits without trailing zeros, at least one decimal (``81.0``)."""
+    plain = f"CAST(CAST({value} AS DECIMAL(38,{digits})) AS STRING)"
+    return F.expr(rf"regexp_replace(regexp_replace({plain}, '0+$', ''), '[.]$', '.0')")
+
+
 def percent_text(value: str, digits: int = 1) -> Column:
     return F.expr(f"concat({_fixed(value, digits)}, '%')")
 

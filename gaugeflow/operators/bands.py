@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.functions.rounding import round_sql
+
 # Class limit, fallback band and reference bands.
 HEAVY_LITRES = 3.0
 FALLBACK_LOAD_BAND = (12.0, 35.0)
@@ -114,12 +116,15 @@ def _profiles(readings: DataFrame, min_readings: int) -> DataFrame:
     )
 
     def at(percent: int) -> Column:
-        return F.round(F.max(F.when(F.col("percent") == percent, F.col("value"))), 1)
+        return F.max(F.when(F.col("percent") == percent, F.col("value")))
 
     return (
         ranked.filter(F.col("n") >= min_readings)
         .groupBy("engine_class", "metric", "n")
         .agg(at(5).alias("healthy_min"), at(95).alias("healthy_max"), at(50).alias("p50"))
+        .withColumns(
+            {c: F.expr(round_sql(c, 1, True)) for c in ("healthy_min", "healthy_max", "p50")}
+        )
     )
 
 
@@ -216,8 +221,8 @@ def session_derived_baselines(sessions: DataFrame, samples: DataFrame) -> DataFr
         return _band(
             metric,
             seen("'session'", f"'{fallback_context}'"),
-            seen(f"round({low_edge}, 1)", f"{fallback[0]}D"),
-            seen(f"round({high_edge}, 1)", f"{fallback[1]}D"),
+            seen(round_sql(f"({low_edge})", 1, True), f"{fallback[0]}D"),
+            seen(round_sql(f"({high_edge})", 1, True), f"{fallback[1]}D"),
             unit,
             seen("'derived'", "'manual'"),
         )

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.config import ScoreConfig
+from gaugeflow.functions.rounding import round_sql
 from gaugeflow.operators.ordered import is_small
 from gaugeflow.schema import SCORED_METRICS
 
@@ -72,14 +73,9 @@ def deviation_counts(
     )
 
 
-def _share(out: Column, total: Column) -> Column:
-    return F.round(F.lit(100.0) * out / F.nullif(total, F.lit(0)), 1)
-
-
 def with_pct(counts: DataFrame) -> DataFrame:
-    return counts.withColumn(
-        "pct_out_of_range", _share(F.col("out_of_range_samples"), F.col("sample_count"))
-    )
+    share = "(100D * out_of_range_samples / nullif(sample_count, 0))"
+    return counts.withColumn("pct_out_of_range", F.expr(round_sql(share, 1)))
 
 
 def baseline_deviation(

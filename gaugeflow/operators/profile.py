@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.functions.rounding import round_sql
 from gaugeflow.functions.text import clamp, decimal_text, percent_text
 
 # Metrics of the balance axis, axis ids and labels, concern texts.
@@ -136,7 +137,7 @@ def _axis_values(scores: DataFrame, deviation: DataFrame, points: DataFrame) ->
 def baseline_fit_score(scores: DataFrame, deviation: DataFrame) -> DataFrame:
     joined = scores.select("session_id").join(deviation_profile(deviation), "session_id", "left")
     return joined.select(
-        "session_id", F.round(baseline_fit(F.col("mean_pct"), F.lit(0.0)), 1).alias("baseline_fit")
+        "session_id", baseline_fit(F.col("mean_pct"), F.lit(0.0)).alias("baseline_fit")
     )
 
 
@@ -145,7 +146,7 @@ def sensor_balance_score(scores: DataFrame, deviation: DataFrame) -> DataFrame:
         deviation_profile(deviation), "session_id", "left"
     )
     value = sensor_balance(F.col("balance_pct"), F.col("metric_penalty_points"))
-    return joined.select("session_id", F.round(value, 1).alias("sensor_balance"))
+    return joined.select("session_id", value.alias("sensor_balance"))
 
 
 def fault_clearance_score(scores: DataFrame) -> DataFrame:
@@ -158,8 +159,8 @@ def _axes() -> Column:
             F.struct(
                 F.expr(f"'{axis}' AS id"),
                 F.expr(f"'{label}' AS label"),
-                decimal_text(f"round({axis}, 1)", 1).alias("value"),
-                percent_text(f"round({axis}, 1)").alias("width_pct"),
+                decimal_text(round_sql(axis, 1, True), 1).alias("value"),
+                percent_text(round_sql(axis, 1, True)).alias("width_pct"),
             )
             for axis, label in AXES
         ]
@@ -188,7 +189,7 @@ def _concerns() -> Column:
         when("coolant_pct >= 50 AND coolant_checked > 0", "watch", _text(CONCERN_COOLANT)),
         when("metric_penalty_points >= 8", "watch", _text(CONCERN_PENALTY)),
         when("dtc_count > 0", "fault", fault),
-        when("round(airflow, 1) < 55", "watch", _text(CONCERN_AIRFLOW)),
+        when(f"{round_sql("airflow", 1, True)} < 55", "watch", _text(CONCERN_AIRFLOW)),
     )
     first_five = f"array_compact(array({', '.join(rules)}))"
     moderate = when(

@@ -12,7 +12,8 @@ from pyspark.sql import Window
 
 from gaugeflow.config import ScoreConfig
 from gaugeflow.functions.moments import epoch_millis
-from gaugeflow.functions.text import decimal_text
+from gaugeflow.functions.rounding import round_sql
+from gaugeflow.functions.text import decimal_text, number_text
 from gaugeflow.operators.deviation import (
     baseline_rollup,
     deviation_counts,
@@ -319,7 +320,8 @@ def session_fact_summary(facts: Facts, samples: DataFrame, scale: int = 2) -> Da
         .withColumn("_back", F.row_number().over(newest))
         .filter(F.col("_back") <= ROWS_BEFORE + 1)
         .groupBy("session_id")
-        .agg(F.round(F.avg("ltft_b1_pct"), scale).alias("last_trim"))
+        .agg(F.avg("ltft_b1_pct").alias("last_trim"))
+        .withColumn("last_trim", F.expr(round_sql("last_trim", scale)))
     )
     lead = facts.deviation.groupBy("session_id").agg(
         F.min_by(
@@ -328,8 +330,8 @@ def session_fact_summary(facts: Facts, samples: DataFrame, scale: int = 2) -> Da
     )
     near = facts.correlation.groupBy("session_id").agg(F.count(F.lit(1)).alias("_near"))
 
-    def shown(col: str) -> Column:
-        return F.coalesce(F.col(col).cast("string"), F.lit("None"))
+    def shown(number: str) -> Column:
+        return F.coalesce(number_text(number), F.lit("None"))
 
     lines = F.array(
         F.struct(
@@ -350,9 +352,9 @@ def session_fact_summary(facts: Facts, samples: DataFrame, scale: int = 2) -> Da
                 F.concat(
                     shown("_lead.pct_out_of_range"),
                     F.lit("% outside band for "),
-                    shown("_lead.metric"),
+                    F.col("_lead.metric"),
                     F.lit(" ("),
-                    shown("_lead.context"),
+                    F.coalesce("_lead.context", F.lit("None")),
                     F.lit(")"),
                 ).alias("output"),
             ),

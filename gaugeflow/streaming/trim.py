@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.functions.rounding import round_sql
 from gaugeflow.operators.ordered import rolling
 from gaugeflow.operators.trends import ROWS_BEFORE
 from gaugeflow.streaming import state
@@ -42,7 +43,7 @@ def add_trim_batch(batch: DataFrame, batch_id: int, root: str, scale: int = 2) -
         rows, ("session_id",), ("ts", "sample_id"), ROWS_BEFORE, {"ltft_30s": F.avg("ltft_b1_pct")}
     )
     state.put(
-        rolled.filter(~F.col("_old")).select(*_COLUMNS, F.round("ltft_30s", scale).alias("ltft_30s")),
+        rolled.filter(~F.col("_old")).select(*_COLUMNS, F.expr(round_sql("ltft_30s", scale)).alias("ltft_30s")),
         root,
         "trend",
         batch_id,

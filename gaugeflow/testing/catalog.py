@@ -95,15 +95,20 @@ _CSV_HEADERS = {
 def scan_drive_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two header styles written as CSV and read back as one table."""
     ev = V.events(spark, sf_dir)
-    rows = V.drive_rows(ev).withColumn("ts", iso_text("ts"))
+    # Plain digits: an exponent in a cell is not read as part of the number.
+    plain_digits = {
+        g: F.expr(f"CASE WHEN {g} IS NOT NULL THEN format_string('%.20f', {g}) END")
+        for g in GAUGES
+    }
+    rows = V.drive_rows(ev).withColumns({"ts": iso_text("ts"), **plain_digits})
     folder = V.scratch(spark, "drive-csv")
     even = F.col("line_no") % 2 == 0
     plain = rows.filter(even).drop("source_file", "block_start", "line_no")
     plain.write.option("header", True).csv(f"{folder}/plain")
     rows.filter(~even).select(
         F.concat("ts").alias("Time"),
-        F.concat(F.col("rpm").cast("string"), F.lit(" rpm")).alias(_CSV_HEADERS["rpm"]),
-        F.coalesce(F.col("speed_kph").cast("string"), F.lit("NaN")).alias(_CSV_HEADERS["speed_kph"]),
+        F.concat("rpm", F.lit(" rpm")).alias(_CSV_HEADERS["rpm"]),
+        F.coalesce("speed_kph", F.lit("NaN")).alias(_CSV_HEADERS["speed_kph"]),
         *[
             F.col(c).alias(_CSV_HEADERS[c])
             for c in ("engine_load_pct", "coolant_temp_c", "maf_gps", "ltft_b1_pct", "dtc_code")
