@@ -93,10 +93,12 @@ def stream_session_score(
     """
 
     def on_samples(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
         add_samples(batch, batch_id, root, sessions, bands)
         touched = batch.select("session_id").distinct()
         scores = current_scores(batch.sparkSession, root, sessions, config, touched)
         state.put(scores, root, "scores", batch_id)
+        batch.unpersist()
 
     for name, stream, handler in (
         ("faults", faults, lambda df, k: add_faults(df, k, root, config)),

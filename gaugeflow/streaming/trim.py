@@ -23,7 +23,7 @@ def add_trim_batch(batch: DataFrame, batch_id: int, root: str, scale: int = 2) -
     lost.
     """
     spark = batch.sparkSession
-    slim = batch.select(*_COLUMNS)
+    slim = batch.select(*_COLUMNS).persist()
     touched = slim.select("session_id").distinct()
     tails = state.get(spark, root, "tail", _ROW, below=batch_id).join(
         touched, "session_id", "left_semi"
@@ -53,6 +53,7 @@ def add_trim_batch(batch: DataFrame, batch_id: int, root: str, scale: int = 2) -
         F.col("_back") <= ROWS_BEFORE
     )
     state.put(tail.select(*_COLUMNS), root, "tail", batch_id)
+    slim.unpersist()
 
 
 def stream_rolling_trim(samples: DataFrame, root: str, scale: int = 2) -> None:
