@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 BUSY_ROWS = 2_000_000
 # Row limit for the small sides that may be broadcast (about 100 bytes a row).
 BROADCAST_ROWS = 1_000_000
+# The same for a single BIGINT column.
+ID_ROWS = 10_000_000
 # Byte limit under which a dimension counts as small, by Spark's own estimate.
 SMALL_BYTES = 8 * 1024 * 1024
 
@@ -81,6 +83,32 @@ def busy_keys(df: DataFrame, by: Sequence[str], limit: int = BUSY_ROWS) -> DataF
     return None if found.isEmpty() else cut_lineage(found)
 
 
+def keep_keys(
+    df: DataFrame,
+    keys: DataFrame,
+    by: str,
+    spread_on: str,
+    broadcast_rows: int = ID_ROWS,
+    salts: int = 32,
+) -> DataFrame:
+    """Rows of a large table whose ``by`` is among ``keys`` (one column, unique).
+
+    The keys are counted and broadcast up to ``broadcast_rows``.  Beyond that both
+    sides are joined on (key, salt): a busy key spreads over tasks, and since the
+    result is not partitioned by the key alone, a later aggregation combines rows
+    before its shuffle instead of taking a whole key into one task.
+    """
+    if keys.count() <= broadcast_rows:
+        return df.join(F.broadcast(keys), by, "left_semi").select(*df.columns)
+    salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(spread_on), F.lit(salts)).cast("int")
+    return (
+        df.withColumn("_salt", salt)
+        .join(salted, [by, "_salt"], "left_semi")
+        .select(*df.columns)
+    )
+
+
 def number_rows(
     df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "position"
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.text import between_markers, clean_source_file, decimal_text, percent_text
+from gaugeflow.operators.ordered import keep_keys
 
 
 
@@ -227,7 +228,7 @@ def _of_public_vehicles(df: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def _of_public_sessions(df: DataFrame, sessions: DataFrame) -> DataFrame:
     keys = _public(sessions).select("session_id")
-    return df.join(keys, "session_id", "left_semi").select(*df.columns)
+    return keep_keys(df, keys, "session_id", df.columns[0])
 
 
 def public_vehicles(vehicles: DataFrame, sessions: DataFrame) -> DataFrame:

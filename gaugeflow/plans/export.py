@@ -12,6 +12,7 @@ from gaugeflow.config import ScoreConfig
 from gaugeflow.functions.text import iso_text
 from gaugeflow.operators import sessions as dim
 from gaugeflow.operators.faults import dtc_evidence_panel
+from gaugeflow.operators.ordered import keep_keys
 from gaugeflow.operators.profile import profile_arrays
 from gaugeflow.operators.sessions import session_focus
 from gaugeflow.operators.trends import airflow_points, airflow_trend
@@ -136,9 +137,8 @@ def session_views(
     public = fleet.drive_sessions.filter(F.col("source") == "public")
     keys = public.select("session_id")
     focus = session_focus(public, fleet.vehicles, facts.scores, facts.rollup)
-    points = airflow_points(
-        fleet.telemetry_samples.join(keys, "session_id", "left_semi"), scale
-    )
+    samples = keep_keys(fleet.telemetry_samples, keys, "session_id", "sample_id")
+    points = airflow_points(samples, scale)
     point = F.struct(
         "point",
         iso_text("ts").alias("ts"),

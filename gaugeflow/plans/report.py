@@ -21,7 +21,7 @@ from gaugeflow.operators.deviation import (
     with_pct,
 )
 from gaugeflow.operators.faults import dtc_telemetry_correlation, session_dtc_events
-from gaugeflow.operators.ordered import cut_lineage, number_rows
+from gaugeflow.operators.ordered import BUSY_ROWS, cut_lineage, number_rows
 from gaugeflow.operators.sessions import session_baselines, session_exists
 from gaugeflow.operators.trends import ROWS_BEFORE, fuel_trim_drift
 from gaugeflow.schema import Fleet, conform
@@ -216,12 +216,16 @@ def finding_evidence(facts: Facts, run_id: str) -> DataFrame:
     return result
 
 
-def _embedded(frame: DataFrame, fact: str, small: DataFrame) -> DataFrame:
-    """Ordered array of fact rows for the sessions that are small enough."""
+def _embedded(frame: DataFrame, fact: str, small: DataFrame, busy: DataFrame) -> DataFrame:
+    """Ordered array of fact rows for the sessions that are small enough.
+
+    Busy sessions are taken out first; there are at most rows / BUSY_ROWS of them.
+    """
     entry = F.struct(F.struct(*_FACT_ORDER[fact]).alias("k"), F.struct(*_FACT_FIELDS[fact]).alias("v"))
     rows = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["v"])
     return (
-        frame.join(small, "session_id", "left_semi")
+        frame.join(F.broadcast(busy), "session_id", "left_anti")
+        .join(small, "session_id", "left_semi")
         .groupBy("session_id")
         .agg(rows.alias(fact))
     )
@@ -245,15 +249,20 @@ def build_findings(
     small = report.filter(
         (F.col("drift_rows") <= embed_rows) & (F.col("correlation_rows") <= embed_rows)
     ).select("session_id")
+    busy = report.filter(
+        (F.col("drift_rows") > BUSY_ROWS) | (F.col("correlation_rows") > BUSY_ROWS)
+    ).select("session_id")
     joined = report.join(
         facts.scores.select("session_id", F.struct(*_SCORE_FIELDS).alias("session_health_score")),
         "session_id",
     )
-    everything = report.select("session_id")
     for fact, frame in _fact_frames(facts).items():
-        # Deviation rows are bounded by the bands of one vehicle.
-        wanted = everything if fact == "baseline_deviation" else small
-        joined = joined.join(_embedded(frame, fact, wanted), "session_id", "left")
+        if fact == "baseline_deviation":
+            # Bounded by the bands of one vehicle, so every session has its rows.
+            rows = _embedded(frame, fact, report.select("session_id"), busy.limit(0))
+        else:
+            rows = _embedded(frame, fact, small, busy)
+        joined = joined.join(rows, "session_id", "left")
     embedded = joined.join(small.withColumn("_small", F.lit(True)), "session_id", "left")
 
     def rows_of(fact: str) -> Column:

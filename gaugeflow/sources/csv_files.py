@@ -1,18 +1,20 @@
 """CSV files whose headers differ from file to file, read as text columns.
 
-Files with the same header line are read by one ``spark.read.csv`` call with
-columns by position; each group is projected onto the wanted names and the groups
-are put together.  Every row keeps its place in the file as (``block_start``,
-``line_no``): the offset of its file split and an id that grows inside the split.
+All files are read by one ``spark.read.csv`` scan with columns by position.  Which
+position feeds which wanted column depends on the header line of the file: with one
+header for all files it is a plain projection, else a per-file lookup row.  Every row
+keeps its place in the file as (``block_start``, ``line_no``): the offset of its file
+split and an id that grows inside the split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeflow.operators.ordered import broadcast_if_few, cut_lineage
 from gaugeflow.sources.headers import split_header
 
 SOURCE = "source_file"
@@ -21,21 +23,19 @@ PLACE = ("block_start", "line_no")
 _HEADER_BYTES = 64 * 1024
 
 
-def header_groups(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, list[str]]:
-    """Files per distinct header line.  Tasks read only the head of each file."""
+def header_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """The first line of each file.  Tasks read only the head of each file."""
     limit = _HEADER_BYTES
 
     # Nested, so that executors get the code with the task and need no package.
     def first_lines(batches: Iterator) -> Iterator:
-        from urllib.parse import unquote, urlparse
-
         from pyarrow import fs
 
         for batch in batches:
             lines = []
             for uri in batch["file"]:
-                if urlparse(uri).scheme in ("", "file"):
-                    system, path = fs.LocalFileSystem(), unquote(urlparse(uri).path)
+                if uri.startswith("file:"):
+                    system, path = fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
                 else:
                     system, path = fs.FileSystem.from_uri(uri)
                 with system.open_input_stream(path, compression="detect") as stream:
@@ -43,57 +43,59 @@ def header_groups(spark: SparkSession, paths: str | Sequence[str]) -> dict[str,
                 lines.append(head.splitlines()[0] if head.strip() else "")
             yield batch.assign(header=lines)
 
-    files = spark.read.text(paths).inputFiles()
-    listed = spark.createDataFrame([(f,) for f in files], "file STRING")
-    lanes = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
-    heads = listed.repartition(lanes).mapInPandas(first_lines, "file STRING, header STRING")
-    groups = heads.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    # The driver already holds the file list; this adds one line per distinct header.
-    return {row["header"]: row["files"] for row in groups.collect() if row["header"].strip()}
+    # Only the path column is asked for, so no file content is read here.
+    listed = spark.read.format("binaryFile").load(paths).selectExpr("_metadata.file_path AS file")
+    heads = listed.mapInPandas(first_lines, "file STRING, header STRING")
+    return cut_lineage(heads.filter(F.trim("header") != ""))
 
 
-def read_group(
+def scan(
     spark: SparkSession,
-    header: str,
-    files: Iterable[str],
-    indexes: dict[str, int],
+    paths: str | Sequence[str],
+    columns: Sequence[str],
+    match: Callable[[list[str]], dict[str, int]],
     multiline: bool = False,
 ) -> DataFrame:
-    """One header group: wanted columns as text, plus file name and place."""
-    width = len(split_header(header))
-    schema = ", ".join(f"c{at} STRING" for at in range(width))
+    """All files with the wanted columns as text; a column no header offers is NULL."""
+    heads = header_lines(spark, paths)
+    # The driver sees one line per distinct header and the columns it maps to.
+    layouts = {
+        row["header"]: match(split_header(row["header"]))
+        for row in heads.select("header").distinct().collect()
+    }
+    if not layouts:
+        raise ValueError(f"no header line found in {paths}")
+    width = max(len(split_header(header)) for header in layouts)
     rows = (
-        spark.read.schema(schema)
+        spark.read.schema(", ".join(f"c{at} STRING" for at in range(width)))
         .option("header", True)
         .option("escape", '"')
         .option("multiLine", multiline)
-        .csv(list(files))
+        .csv(paths)
     )
-    return rows.select(
+    place = (
         F.col("_metadata.file_path").alias(SOURCE),
         F.col("_metadata.file_block_start").alias(PLACE[0]),
         F.monotonically_increasing_id().alias(PLACE[1]),
-        *[F.col(f"c{at}").alias(name) for name, at in indexes.items()],
     )
-
-
-def scan(
-    spark: SparkSession,
-    paths: str | Sequence[str],
-    columns: Sequence[str],
-    match: Callable[[list[str]], dict[str, int]],
-    multiline: bool = False,
-) -> DataFrame:
-    """All files with the wanted columns as text; a column no header offers is NULL."""
-    result: DataFrame | None = None
-    for header, files in sorted(header_groups(spark, paths).items()):
-        indexes = match(split_header(header))
-        group = read_group(spark, header, files, indexes, multiline)
-        missing: list[Column] = [
-            F.lit(None).cast("string").alias(c) for c in columns if c not in indexes
-        ]
-        group = group.select("*", *missing).select(SOURCE, *PLACE, *columns)
-        result = group if result is None else result.unionByName(group)
-    if result is None:
-        raise ValueError(f"no header line found in {paths}")
-    return result
+    if len(layouts) == 1:
+        (layout,) = layouts.values()
+        return rows.select(
+            *place,
+            *[
+                (F.col(f"c{layout[c]}") if c in layout else F.lit(None).cast("string")).alias(c)
+                for c in columns
+            ],
+        )
+    table = spark.createDataFrame(
+        [(header, [layout.get(c) for c in columns]) for header, layout in layouts.items()],
+        "header STRING, _at ARRAY<INT>",
+    )
+    per_file = heads.join(F.broadcast(table), "header").select(F.col("file").alias(SOURCE), "_at")
+    per_file = broadcast_if_few(per_file, heads.count())
+    cells = rows.select(*place, F.array(*[f"c{at}" for at in range(width)]).alias("_cells"))
+    return cells.join(per_file, SOURCE).select(
+        SOURCE,
+        *PLACE,
+        *[F.expr(f"get(_cells, _at[{n}])").alias(c) for n, c in enumerate(columns)],
+    )

@@ -25,18 +25,52 @@ _SUMMARY = (
 _FAULTS = "session_id BIGINT, dtc_count BIGINT, dtc_points DECIMAL(38,12)"
 
 
-def add_samples(batch: DataFrame, batch_id: int, root: str, sessions: DataFrame, bands: DataFrame):
+def _sum_deviation(df: DataFrame) -> DataFrame:
+    return df.groupBy("session_id", "metric", "context").agg(
+        F.sum("sample_count").alias("sample_count"),
+        F.sum("out_of_range_samples").alias("out_of_range_samples"),
+    )
+
+
+def _sum_summary(df: DataFrame) -> DataFrame:
+    return df.groupBy("session_id").agg(
+        F.sum("telemetry_samples").alias("telemetry_samples"),
+        F.min("started_at").alias("started_at"),
+        F.max("ended_at").alias("ended_at"),
+    )
+
+
+def _sum_faults(df: DataFrame) -> DataFrame:
+    return df.groupBy("session_id").agg(
+        F.sum("dtc_count").alias("dtc_count"),
+        F.sum("dtc_points").cast("decimal(38,12)").alias("dtc_points"),
+    )
+
+
+def add_samples(
+    batch: DataFrame,
+    batch_id: int,
+    root: str,
+    sessions: DataFrame,
+    bands: DataFrame,
+    every: int = state.SNAPSHOT_EVERY,
+) -> None:
     """Store the batch's counts; they add up over batches."""
     counts = deviation_counts(batch, sessions, bands)
-    state.put(counts, root, "deviation", batch_id)
-    state.put(sample_summary(batch), root, "summary", batch_id)
+    state.put_state(counts, root, "deviation", _DEVIATION, batch_id, _sum_deviation, every)
+    summary = sample_summary(batch)
+    state.put_state(summary, root, "summary", _SUMMARY, batch_id, _sum_summary, every)
 
 
-def add_faults(batch: DataFrame, batch_id: int, root: str, config: ScoreConfig = ScoreConfig()):
-    points = fault_points(batch, config).withColumn(
-        "dtc_points", F.col("dtc_points").cast("decimal(38,12)")
-    )
-    state.put(points, root, "faults", batch_id)
+def add_faults(
+    batch: DataFrame,
+    batch_id: int,
+    root: str,
+    config: ScoreConfig = ScoreConfig(),
+    every: int = state.SNAPSHOT_EVERY,
+) -> None:
+    points = _sum_faults(fault_points(batch, config))
+    state.put_state(points, root, "faults", _FAULTS, batch_id, _sum_faults, every)
 
 
 def current_scores(
@@ -45,35 +79,17 @@ def current_scores(
     sessions: DataFrame,
     config: ScoreConfig = ScoreConfig(),
     only: DataFrame | None = None,
+    every: int = state.SNAPSHOT_EVERY,
 ) -> DataFrame:
     """Scores from all stored counts, for all sessions or those in ``only``."""
 
     def stored(name: str, schema: str) -> DataFrame:
-        df = state.get(spark, root, name, schema)
+        df = state.get(spark, root, name, schema, every=every)
         return df if only is None else df.join(only.select("session_id"), "session_id", "left_semi")
 
-    deviation = (
-        stored("deviation", _DEVIATION)
-        .groupBy("session_id", "metric", "context")
-        .agg(
-            F.sum("sample_count").alias("sample_count"),
-            F.sum("out_of_range_samples").alias("out_of_range_samples"),
-        )
-    )
-    summary = (
-        stored("summary", _SUMMARY)
-        .groupBy("session_id")
-        .agg(
-            F.sum("telemetry_samples").alias("telemetry_samples"),
-            F.min("started_at").alias("started_at"),
-            F.max("ended_at").alias("ended_at"),
-        )
-    )
-    faults = (
-        stored("faults", _FAULTS)
-        .groupBy("session_id")
-        .agg(F.sum("dtc_count").alias("dtc_count"), F.sum("dtc_points").alias("dtc_points"))
-    )
+    deviation = _sum_deviation(stored("deviation", _DEVIATION))
+    summary = _sum_summary(stored("summary", _SUMMARY))
+    faults = _sum_faults(stored("faults", _FAULTS))
     wanted = sessions if only is None else sessions.join(only, "session_id", "left_semi")
     return score_from_parts(wanted, metric_points(deviation, config), faults, summary, config)
 

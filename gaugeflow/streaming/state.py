@@ -1,26 +1,63 @@
 """Batch-numbered Parquet state shared by the foreachBatch jobs.
 
 Every micro-batch overwrites the folder with its own number, so a repeated batch
-leaves the same state.  Readers see all batches below a given number.
+leaves the same state.  Each ``SNAPSHOT_EVERY``-th batch stores the whole state
+merged, and readers start at the last such batch, so the state read stays bounded.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SNAPSHOT_EVERY = 100
+
 
 def put(df: DataFrame, root: str, name: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
 
 
+def put_state(
+    df: DataFrame,
+    root: str,
+    name: str,
+    schema: str,
+    batch_id: int,
+    merge: Callable[[DataFrame], DataFrame],
+    every: int = SNAPSHOT_EVERY,
+) -> None:
+    """Store a batch of state, merged with all earlier batches when a snapshot is due."""
+    if batch_id and batch_id % every == 0:
+        earlier = get(df.sparkSession, root, name, schema, batch_id, every)
+        both = earlier.unionByName(df.withColumn("batch", F.lit(batch_id).cast("bigint")))
+        df = merge(both)
+    put(df, root, name, batch_id)
+
+
 def get(
-    spark: SparkSession, root: str, name: str, schema: str, below: int | None = None
+    spark: SparkSession,
+    root: str,
+    name: str,
+    schema: str,
+    below: int | None = None,
+    every: int = SNAPSHOT_EVERY,
 ) -> DataFrame:
-    """All batches of a state table, or an empty frame before the first batch."""
+    """Batches from the last snapshot on (and below a number), or an empty frame."""
     path = f"{root}/{name}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], f"{schema}, batch BIGINT")
     df = spark.read.schema(f"{schema}, batch BIGINT").parquet(path)
-    return df if below is None else df.filter(F.col("batch") < F.lit(below))
+    if below is not None:
+        df = df.filter(F.col("batch") < F.lit(below))
+        newest = below - 1
+    else:
+        newest = df.agg(F.max("batch")).first()[0] or 0
+    return df.filter(F.col("batch") >= F.lit(newest // every * every))
+
+
+def get_all(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """Every batch of an output table that is not merged."""
+    return spark.read.schema(f"{schema}, batch BIGINT").parquet(f"{root}/{name}")

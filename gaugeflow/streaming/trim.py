@@ -14,7 +14,19 @@ _ROW = "session_id BIGINT, sample_id BIGINT, ts TIMESTAMP_NTZ, ltft_b1_pct DOUBL
 _COLUMNS = ("session_id", "sample_id", "ts", "ltft_b1_pct")
 
 
-def add_trim_batch(batch: DataFrame, batch_id: int, root: str, scale: int = 2) -> None:
+def _newest(tails: DataFrame) -> DataFrame:
+    """The rows each session stored last."""
+    last = tails.groupBy("session_id").agg(F.max("batch").alias("batch"))
+    return tails.join(last, ["session_id", "batch"], "left_semi").select(*_COLUMNS)
+
+
+def add_trim_batch(
+    batch: DataFrame,
+    batch_id: int,
+    root: str,
+    scale: int = 2,
+    every: int = state.SNAPSHOT_EVERY,
+) -> None:
     """Extend the trend by one micro-batch.
 
     State is the last 30 rows of each session, stored for the sessions a batch
@@ -25,11 +37,8 @@ def add_trim_batch(batch: DataFrame, batch_id: int, root: str, scale: int = 2) -
     spark = batch.sparkSession
     slim = batch.select(*_COLUMNS).persist()
     touched = slim.select("session_id").distinct()
-    tails = state.get(spark, root, "tail", _ROW, below=batch_id).join(
-        touched, "session_id", "left_semi"
-    )
-    newest = tails.groupBy("session_id").agg(F.max("batch").alias("batch"))
-    kept = tails.join(newest, ["session_id", "batch"], "left_semi").select(*_COLUMNS)
+    tails = state.get(spark, root, "tail", _ROW, batch_id, every)
+    kept = _newest(tails.join(touched, "session_id", "left_semi"))
     place = F.struct("ts", "sample_id")
     reached = kept.groupBy("session_id").agg(F.max(place).alias("_reached"))
     placed = slim.join(reached, "session_id", "left")
@@ -52,7 +61,7 @@ def add_trim_batch(batch: DataFrame, batch_id: int, root: str, scale: int = 2) -
     tail = rows.withColumn("_back", F.row_number().over(back)).filter(
         F.col("_back") <= ROWS_BEFORE
     )
-    state.put(tail.select(*_COLUMNS), root, "tail", batch_id)
+    state.put_state(tail.select(*_COLUMNS), root, "tail", _ROW, batch_id, _newest, every)
     slim.unpersist()
 
 
@@ -68,4 +77,4 @@ def stream_rolling_trim(samples: DataFrame, root: str, scale: int = 2) -> None:
 
 
 def read_trend(spark, root: str) -> DataFrame:
-    return state.get(spark, root, "trend", f"{_ROW}, ltft_30s DOUBLE").drop("batch")
+    return state.get_all(spark, root, "trend", f"{_ROW}, ltft_30s DOUBLE").drop("batch")

@@ -116,6 +116,15 @@ def test_deviation_paths_agree_on_skew(spark, skewed):
     assert _same(*ways)
 
 
+def test_key_filter_ways_agree(spark, skewed):
+    keys = spark.createDataFrame([(1,), (5,), (1000,)], "session_id BIGINT")
+    few = ordered.keep_keys(skewed, keys, "session_id", "sample_id")
+    many = ordered.keep_keys(skewed, keys, "session_id", "sample_id", broadcast_rows=0)
+    assert _same(few, many) and few.filter("session_id NOT IN (1, 5)").isEmpty()
+    counted = many.groupBy("session_id").count()
+    assert "partial_count" in _plan(counted)
+
+
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("stored")) + "/t"

@@ -75,6 +75,25 @@ def test_trim_stream(spark, tables, tmp_path):
     assert kept.groupBy("session_id", "batch").count().agg(F.max("count")).first()[0] <= 30
 
 
+def test_snapshots_give_the_same_state(spark, tables, dims, tmp_path):
+    samples, events = tables
+    sessions, bands = dims
+    root = str(tmp_path / "state")
+    parts = [
+        samples.filter((F.col("sample_id") >= n * 80) & (F.col("sample_id") < n * 80 + 80))
+        for n in range(5)
+    ]
+    for n, part in enumerate(parts):
+        trim.add_trim_batch(part, n, root, every=2)
+        score.add_samples(part, n, root, sessions, bands, every=2)
+        found = events.filter((F.col("dtc_id") >= n * 80) & (F.col("dtc_id") < n * 80 + 80))
+        score.add_faults(found, n, root, every=2)
+    assert _same(trim.read_trend(spark, root), trends.fuel_trim_drift(samples))
+    assert state.get(spark, root, "tail", trim._ROW, every=2).select("batch").distinct().count() == 1
+    batch = deviation.session_health_score(sessions, samples, events, bands)
+    assert _same(score.current_scores(spark, root, sessions, every=2), batch)
+
+
 def test_trim_batches_can_repeat_and_late_rows_are_kept(spark, tables, tmp_path):
     samples, _ = tables
     root = str(tmp_path / "state")
@@ -85,7 +104,7 @@ def test_trim_batches_can_repeat_and_late_rows_are_kept(spark, tables, tmp_path)
     trim.add_trim_batch(later, 1, root)
     assert _same(trim.read_trend(spark, root), trends.fuel_trim_drift(samples))
     trim.add_trim_batch(early.limit(5), 2, root)
-    assert state.get(spark, root, "late", trim._ROW).count() == 5
+    assert state.get_all(spark, root, "late", trim._ROW).count() == 5
 
 
 def test_score_stream(spark, tables, dims, tmp_path):
