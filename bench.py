@@ -77,7 +77,8 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count().collect()
+    # One untimed query loads classes and starts the Python side.
+    QUERIES["session_health_score"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in HEADLINE:
         start = time.perf_counter()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.rounding import round_sql
+from gaugeflow.functions.rounding import with_rounded
 
 # Class limit, fallback band and reference bands.
 HEAVY_LITRES = 3.0
@@ -118,14 +118,12 @@ def _profiles(readings: DataFrame, min_readings: int) -> DataFrame:
     def at(percent: int) -> Column:
         return F.max(F.when(F.col("percent") == percent, F.col("value")))
 
-    return (
+    picked = (
         ranked.filter(F.col("n") >= min_readings)
         .groupBy("engine_class", "metric", "n")
         .agg(at(5).alias("healthy_min"), at(95).alias("healthy_max"), at(50).alias("p50"))
-        .withColumns(
-            {c: F.expr(round_sql(c, 1, True)) for c in ("healthy_min", "healthy_max", "p50")}
-        )
     )
+    return with_rounded(picked, {c: c for c in ("healthy_min", "healthy_max", "p50")}, 1, True)
 
 
 def with_class_band(vehicles: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -207,22 +205,24 @@ def session_derived_baselines(sessions: DataFrame, samples: DataFrame) -> DataFr
         ]
     )
 
-    def derived(short, metric, unit, fallback_context, fallback, floor=None, ceiling=None) -> str:
+    def edges(short: str, floor: float | None = None, ceiling: float | None = None) -> dict:
         low, high = f"lo_{short}", f"hi_{short}"
         pad = f"greatest(2D, greatest(5D, {high} - {low}) * 0.12D)"
         low_edge, high_edge = f"{low} - {pad}", f"{high} + {pad}"
         if floor is not None:
             low_edge = f"greatest({floor}D, {low_edge})"
             high_edge = f"least({ceiling}D, {high_edge})"
+        return {f"min_{short}": low_edge, f"max_{short}": high_edge}
 
+    def derived(short: str, metric: str, unit: str, context: str, fallback) -> str:
         def seen(yes: str, no: str) -> str:
-            return f"CASE WHEN {low} IS NOT NULL THEN {yes} ELSE {no} END"
+            return f"CASE WHEN lo_{short} IS NOT NULL THEN {yes} ELSE {no} END"
 
         return _band(
             metric,
-            seen("'session'", f"'{fallback_context}'"),
-            seen(round_sql(f"({low_edge})", 1, True), f"{fallback[0]}D"),
-            seen(round_sql(f"({high_edge})", 1, True), f"{fallback[1]}D"),
+            seen("'session'", f"'{context}'"),
+            seen(f"min_{short}", f"{fallback[0]}D"),
+            seen(f"max_{short}", f"{fallback[1]}D"),
             unit,
             seen("'derived'", "'manual'"),
         )
@@ -233,12 +233,13 @@ def session_derived_baselines(sessions: DataFrame, samples: DataFrame) -> DataFr
             _band(*LTFT_BAND),
             _band(*STFT_BAND),
             _band(*TIMING_BAND),
-            derived("load", "engine_load_pct", "%", "idle", FALLBACK_LOAD_BAND, 0.0, 100.0),
+            derived("load", "engine_load_pct", "%", "idle", FALLBACK_LOAD_BAND),
         )
     )
+    padded = with_rounded(extremes, {**edges("coolant"), **edges("load", 0.0, 100.0)}, 1, True)
     return (
         sessions.select("session_id", "vehicle_id")
-        .join(extremes, "session_id", "left")
+        .join(padded, "session_id", "left")
         .selectExpr("session_id", "vehicle_id", f"inline(array({rows}))")
     )
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.config import ScoreConfig
-from gaugeflow.functions.rounding import round_sql
-from gaugeflow.operators.ordered import is_small
+from gaugeflow.functions.rounding import with_rounded
+from gaugeflow.operators.ordered import has_few_rows
 from gaugeflow.schema import SCORED_METRICS
 
 # Penalty points are added as decimals, so the sum does not depend on the order
@@ -36,9 +36,9 @@ def deviation_counts(
 ) -> DataFrame:
     """Readings and out-of-band readings per session, metric and context.
 
-    Small dimensions: bands are looked up next to the scan and only per-session
-    counts are shuffled.  Otherwise (or with ``combine_first=True``) readings are
-    first counted per (session, metric, value).  Sensor values come from 8- or
+    Few sessions and bands (both are counted): they are broadcast, bands are looked
+    up next to the scan, and only per-session counts are shuffled.  Otherwise (or with
+    ``combine_first=True``) readings are first counted per (session, metric, value).  Sensor values come from 8- or
     16-bit codes, so this shrinks a session to a few hundred rows however long it
     is, and the shuffle key spreads a very long session over all tasks.  Each
     later join is followed by a shuffle on other keys, which lets AQE split a
@@ -49,7 +49,7 @@ def deviation_counts(
         "vehicle_id", "metric", "context", "healthy_min", "healthy_max"
     )
     if combine_first is None:
-        combine_first = not (is_small(owners) and is_small(limits))
+        combine_first = not (has_few_rows(owners) and has_few_rows(limits))
     readings = _readings(samples, metrics, count_nulls)
     if combine_first:
         readings = readings.groupBy("session_id", "metric", "observed").agg(
@@ -57,6 +57,7 @@ def deviation_counts(
         )
     else:
         readings = readings.withColumn("readings", F.lit(1).cast("bigint"))
+        owners, limits = F.broadcast(owners), F.broadcast(limits)
 
     # NULL limits or values leave the comparison NULL, which counts as in band.
     outside = ~F.col("observed").between(F.col("healthy_min"), F.col("healthy_max"))
@@ -74,8 +75,8 @@ def deviation_counts(
 
 
 def with_pct(counts: DataFrame) -> DataFrame:
-    share = "(100D * out_of_range_samples / nullif(sample_count, 0))"
-    return counts.withColumn("pct_out_of_range", F.expr(round_sql(share, 1)))
+    share = "100D * out_of_range_samples / nullif(sample_count, 0)"
+    return with_rounded(counts, {"pct_out_of_range": share}, 1)
 
 
 def baseline_deviation(

@@ -21,8 +21,6 @@ BUSY_ROWS = 2_000_000
 BROADCAST_ROWS = 1_000_000
 # The same for a single BIGINT column.
 ID_ROWS = 10_000_000
-# Byte limit under which a dimension counts as small, by Spark's own estimate.
-SMALL_BYTES = 8 * 1024 * 1024
 
 _BLOCK, _SLOT = "_block", "_slot"
 _SLOT_MASK = (1 << 33) - 1
@@ -55,13 +53,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size estimate of the optimised plan (file sizes for scans, products for joins)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    return estimated_bytes(df) <= limit
+def has_few_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``limit`` rows, by counting no further than that."""
+    return df.limit(limit + 1).count() <= limit
 
 
 def broadcast_if_few(df: DataFrame, rows: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.rounding import round_sql
+from gaugeflow.functions.rounding import with_rounded
 from gaugeflow.functions.text import clamp, decimal_text, percent_text
 
 # Metrics of the balance axis, axis ids and labels, concern texts.
@@ -111,7 +111,7 @@ def airflow_stability_score(points: DataFrame) -> DataFrame:
 
 def _axis_values(scores: DataFrame, deviation: DataFrame, points: DataFrame) -> DataFrame:
     scored = scores.select("session_id", "health_score", "metric_penalty_points", "dtc_count")
-    return (
+    values = (
         scored.join(deviation_profile(deviation), "session_id", "left")
         .join(airflow_stability_score(points), "session_id", "left")
         .select(
@@ -132,6 +132,7 @@ def _axis_values(scores: DataFrame, deviation: DataFrame, points: DataFrame) ->
             F.coalesce("coolant_checked", F.lit(0)).alias("coolant_checked"),
         )
     )
+    return with_rounded(values, {f"shown_{axis}": axis for axis, _ in AXES}, 1, True)
 
 
 def baseline_fit_score(scores: DataFrame, deviation: DataFrame) -> DataFrame:
@@ -159,8 +160,8 @@ def _axes() -> Column:
             F.struct(
                 F.expr(f"'{axis}' AS id"),
                 F.expr(f"'{label}' AS label"),
-                decimal_text(round_sql(axis, 1, True), 1).alias("value"),
-                percent_text(round_sql(axis, 1, True)).alias("width_pct"),
+                decimal_text(f"shown_{axis}", 1).alias("value"),
+                percent_text(f"shown_{axis}").alias("width_pct"),
             )
             for axis, label in AXES
         ]
@@ -189,7 +190,7 @@ def _concerns() -> Column:
         when("coolant_pct >= 50 AND coolant_checked > 0", "watch", _text(CONCERN_COOLANT)),
         when("metric_penalty_points >= 8", "watch", _text(CONCERN_PENALTY)),
         when("dtc_count > 0", "fault", fault),
-        when(f"{round_sql("airflow", 1, True)} < 55", "watch", _text(CONCERN_AIRFLOW)),
+        when("shown_airflow < 55", "watch", _text(CONCERN_AIRFLOW)),
     )
     first_five = f"array_compact(array({', '.join(rules)}))"
     moderate = when(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.rounding import round_sql
+from gaugeflow.functions.rounding import with_rounded
 from gaugeflow.functions.text import decimal_text, percent_text
 from gaugeflow.operators.ordered import BUSY_ROWS, rolling
 
@@ -15,9 +15,11 @@ _ORDER = ("ts", "sample_id")
 
 
 def _mean(value: str, scale: int):
-    return lambda df, **options: rolling(
-        df, ("session_id",), _ORDER, ROWS_BEFORE, {"_mean": F.avg(value)}, **options
-    ).withColumn("_mean", F.expr(round_sql("_mean", scale)))
+    return lambda df, **options: with_rounded(
+        rolling(df, ("session_id",), _ORDER, ROWS_BEFORE, {"_mean": F.avg(value)}, **options),
+        {"_mean": "_mean"},
+        scale,
+    )
 
 
 def fuel_trim_drift(samples: DataFrame, scale: int = 2, limit: int = BUSY_ROWS) -> DataFrame:

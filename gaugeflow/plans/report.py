@@ -12,7 +12,7 @@ from pyspark.sql import Window
 
 from gaugeflow.config import ScoreConfig
 from gaugeflow.functions.moments import epoch_millis
-from gaugeflow.functions.rounding import round_sql
+from gaugeflow.functions.rounding import with_rounded
 from gaugeflow.functions.text import decimal_text, number_text
 from gaugeflow.operators.deviation import (
     baseline_rollup,
@@ -330,8 +330,8 @@ def session_fact_summary(facts: Facts, samples: DataFrame, scale: int = 2) -> Da
         .filter(F.col("_back") <= ROWS_BEFORE + 1)
         .groupBy("session_id")
         .agg(F.avg("ltft_b1_pct").alias("last_trim"))
-        .withColumn("last_trim", F.expr(round_sql("last_trim", scale)))
     )
+    last_trim = with_rounded(last_trim, {"last_trim": "last_trim"}, scale)
     lead = facts.deviation.groupBy("session_id").agg(
         F.min_by(
             F.struct("pct_out_of_range", "metric", "context"), F.struct("metric", "context")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.rounding import round_sql
+from gaugeflow.functions.rounding import with_rounded
 from gaugeflow.operators.ordered import rolling
 from gaugeflow.operators.trends import ROWS_BEFORE
 from gaugeflow.streaming import state
@@ -51,12 +51,8 @@ def add_trim_batch(
     rolled = rolling(
         rows, ("session_id",), ("ts", "sample_id"), ROWS_BEFORE, {"ltft_30s": F.avg("ltft_b1_pct")}
     )
-    state.put(
-        rolled.filter(~F.col("_old")).select(*_COLUMNS, F.expr(round_sql("ltft_30s", scale)).alias("ltft_30s")),
-        root,
-        "trend",
-        batch_id,
-    )
+    fresh = with_rounded(rolled.filter(~F.col("_old")), {"ltft_30s": "ltft_30s"}, scale)
+    state.put(fresh.select(*_COLUMNS, "ltft_30s"), root, "trend", batch_id)
     back = Window.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("sample_id"))
     tail = rows.withColumn("_back", F.row_number().over(back)).filter(
         F.col("_back") <= ROWS_BEFORE

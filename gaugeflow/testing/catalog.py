@@ -465,7 +465,7 @@ def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings without run time and run id, and the array lengths inside the evidence."""
     f = V.fleet(spark, sf_dir)
-    found = R.build_findings(f, _facts(f))
+    found = R.build_findings(f, _facts(f, keep=True))
 
     def rows(path: str):
         return F.coalesce(
