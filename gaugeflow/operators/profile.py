@@ -180,7 +180,9 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "\\'") + "'"
 
 
-def _concerns() -> Column:
+def _with_concerns(values: DataFrame) -> DataFrame:
+    """Add the concerns of each session as an array, in rule order."""
+
     def when(condition: str, level: str, text: str) -> str:
         return f"CASE WHEN {condition} THEN struct('{level}' AS level, {text} AS text) END"
 
@@ -192,31 +194,32 @@ def _concerns() -> Column:
         when("dtc_count > 0", "fault", fault),
         when("shown_airflow < 55", "watch", _text(CONCERN_AIRFLOW)),
     )
-    first_five = f"array_compact(array({', '.join(rules)}))"
-    moderate = when(
-        f"drive_health < 90 AND size({first_five}) < 2", "watch", _text(CONCERN_SCORE)
-    )
-    found = f"array_compact(concat({first_five}, array({moderate})))"
+    moderate = when("drive_health < 90 AND size(_five) < 2", "watch", _text(CONCERN_SCORE))
     nothing = f"array(struct('ok' AS level, {_text(CONCERN_NONE)} AS text))"
-    return F.expr(f"slice(CASE WHEN size({found}) > 0 THEN {found} ELSE {nothing} END, 1, 3)")
+    return (
+        values.withColumn("_five", F.expr(f"array_compact(array({', '.join(rules)}))"))
+        .withColumn("_found", F.expr(f"array_compact(concat(_five, array({moderate})))"))
+        .withColumn(
+            "performanceConcerns",
+            F.expr(f"slice(CASE WHEN size(_found) > 0 THEN _found ELSE {nothing} END, 1, 3)"),
+        )
+    )
 
 
 def performance_concerns(
     scores: DataFrame, deviation: DataFrame, points: DataFrame
 ) -> DataFrame:
     """Up to three concerns per session in rule order; ``ok`` when no rule applies."""
-    values = _axis_values(scores, deviation, points)
-    return values.select("session_id", F.posexplode(_concerns()).alias("_at", "_c")).select(
-        "session_id", (F.col("_at") + 1).alias("place"), "_c.*"
-    )
+    found = _with_concerns(_axis_values(scores, deviation, points))
+    return found.select(
+        "session_id", F.posexplode("performanceConcerns").alias("_at", "_c")
+    ).select("session_id", (F.col("_at") + 1).alias("place"), "_c.*")
 
 
 def profile_arrays(scores: DataFrame, deviation: DataFrame, points: DataFrame) -> DataFrame:
     """Axes and concerns as two arrays per session, for nested reports."""
-    return _axis_values(scores, deviation, points).select(
-        "session_id",
-        _axes().alias("healthMatrix"),
-        _concerns().alias("performanceConcerns"),
+    return _with_concerns(_axis_values(scores, deviation, points)).select(
+        "session_id", _axes().alias("healthMatrix"), "performanceConcerns"
     )
 
 

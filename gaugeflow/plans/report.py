@@ -20,7 +20,7 @@ from gaugeflow.operators.deviation import (
     session_health_score,
     with_pct,
 )
-from gaugeflow.operators.faults import dtc_telemetry_correlation, session_dtc_events
+from gaugeflow.operators.faults import dtc_telemetry_correlation
 from gaugeflow.operators.ordered import BUSY_ROWS, cut_lineage, number_rows
 from gaugeflow.operators.sessions import session_baselines, session_exists
 from gaugeflow.operators.trends import ROWS_BEFORE, fuel_trim_drift
@@ -466,12 +466,11 @@ def fleet_measures(
         F.sum("telemetry_samples").alias("total_telemetry_samples"),
         F.sum("dtc_events").alias("logged_dtc_events"),
     )
-    # Two one-row results side by side.
-    return mean.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one").select(
-        "average_health_score",
-        "total_telemetry_samples",
-        "logged_dtc_events",
-        F.lit("Directional editable scoring config").alias("score_label"),
+    names = ("average_health_score", "total_telemetry_samples", "logged_dtc_events")
+    # Two one-row results put side by side.
+    both = mean.unionByName(totals, allowMissingColumns=True)
+    return both.agg(*[F.max(n).alias(n) for n in names]).withColumn(
+        "score_label", F.lit("Directional editable scoring config")
     )
 
 
@@ -533,7 +532,6 @@ __all__ = [
     "fleet_measures",
     "quality_checks",
     "replace_findings",
-    "session_dtc_events",
     "session_fact_summary",
     "session_report",
     "trend_axes",
