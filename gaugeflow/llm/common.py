@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gaugeflow.operators.ordered import cut_lineage
 
@@ -52,6 +56,33 @@ def materialized(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+Columns = dict[str, Any]
+
+
+def batchwise(
+    work: Callable[[Iterator[Columns]], Iterator[Columns]], ddl: str
+) -> Callable[[DataFrame], DataFrame]:
+    """``df.transform(batchwise(work, ddl))``: work on Arrow batches as lists of Python values.
+
+    Unlike a pandas frame, lists keep NULL apart from NaN and 64-bit ids exact.
+    """
+
+    def transform(df: DataFrame) -> DataFrame:
+        schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lists = (
+                {name: batch.column(name).to_pylist() for name in batch.schema.names}
+                for batch in batches
+            )
+            for made in work(lists):
+                yield pa.RecordBatch.from_pydict(made, schema=schema)
+
+        return df.mapInArrow(run, ddl)
+
+    return transform
+
+
 def slices(texts: Sequence[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` characters each; a longer text has a range of its own."""
     start = size = 0

@@ -14,12 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import text_or_empty, whole
+from gaugeflow.llm.common import Columns, batchwise, text_or_empty
 
 CACHED, CACHED_CHARS = 200_000, 48
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -169,6 +168,14 @@ PIECES = (
 )
 
 
+PLACES = "example_id long, tokens long, loss_tokens long, sequence_id long, offset long"
+
+
+def as_columns(rows: list[tuple], ddl: str) -> Columns:
+    names = [c.split()[0] for c in ddl.split(",")]
+    return {name: [row[i] for row in rows] for i, name in enumerate(names)}
+
+
 def pack_documents(
     docs: DataFrame,
     path: str,
@@ -187,7 +194,7 @@ def pack_documents(
     end = np.asarray([end_id], dtype="<u4").tobytes()
     most = limits.tokens
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[Columns]) -> Iterator[Columns]:
         ids_of, base = word_ids(path), TaskContext.get().partitionId() << 33
         packer, rows = Packer(limits, _cut_ids), []
 
@@ -195,14 +202,13 @@ def pack_documents(
             for sequence, offset, (key, start, n, loss, ids, total) in found:
                 rows.append((key, start, n, zlib.crc32(ids), total, base + sequence, offset, loss))
 
-        def out() -> pd.DataFrame:
-            made = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(",")])
+        def out() -> Columns:
+            made = as_columns(rows, PIECES)
             rows.clear()
-            return made.astype({"doc_id": "Int64"})
+            return made
 
         for batch in batches:
-            for key, text in zip(batch["doc_id"], whole(batch["text"])):
-                key = None if pd.isna(key) else int(key)
+            for key, text in zip(batch["doc_id"], batch["text"]):
                 ids = ids_of.text(text) + end
                 total = len(ids) // 4
                 for start in range(0, total, most):
@@ -216,7 +222,7 @@ def pack_documents(
 
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")
-    ).mapInPandas(pack, PIECES)
+    ).transform(batchwise(pack, PIECES))
 
 
 def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -226,19 +232,16 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     it can be placed nowhere.
     """
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[Columns]) -> Iterator[Columns]:
         base, packer = TaskContext.get().partitionId() << 33, Packer(limits)
 
-        def frame(found) -> pd.DataFrame:
-            rows = [(p[0], p[2], p[3], base + s, o) for s, o, p in found]
-            columns = ["example_id", "tokens", "loss_tokens", "sequence_id", "offset"]
-            return pd.DataFrame(rows, columns=columns).astype({"example_id": "Int64"})
+        def frame(found) -> Columns:
+            return as_columns([(p[0], p[2], p[3], base + s, o) for s, o, p in found], PLACES)
 
         for batch in batches:
             done = []
             for key, tokens, loss in zip(batch["example_id"], batch["tokens"], batch["loss_tokens"]):
-                key = None if pd.isna(key) else int(key)
-                done.extend(packer.add((key, 0, int(tokens), int(loss), None, 0)))
+                done.extend(packer.add((key, 0, tokens, loss, None, 0)))
             yield frame(done)
         yield frame(packer.finish())
 
@@ -246,4 +249,4 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
         F.col("example_id").cast("long"),
         F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"),
         F.coalesce(F.col("loss_tokens").cast("long"), F.lit(0)).alias("loss_tokens"),
-    ).mapInPandas(pack, "example_id long, tokens long, loss_tokens long, sequence_id long, offset long")
+    ).transform(batchwise(pack, PLACES))

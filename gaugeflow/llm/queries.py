@@ -9,8 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeflow.llm.common import ship, table
+from gaugeflow.llm.edit_matching import contamination
+from gaugeflow.llm.line_windows import dedup_lines
 from gaugeflow.llm.packing import pack_documents
+from gaugeflow.llm.quality import quality_scores
 from gaugeflow.llm.token_counts import token_counts
+from gaugeflow.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,3 +42,48 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
     )
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op8_line_dedup"] = r"""
+WITH split AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), line AS (
+    SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split
+), following AS (
+    SELECT doc_id, place, line AS a,
+        lead(line, 1) OVER (PARTITION BY doc_id ORDER BY place) AS b,
+        lead(line, 2) OVER (PARTITION BY doc_id ORDER BY place) AS c
+    FROM line
+), numbered AS (
+    SELECT doc_id, place, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, place) AS nth
+    FROM following
+    WHERE regexp_matches(a, '\S') AND regexp_matches(b, '\S') AND regexp_matches(c, '\S')
+), covered AS (
+    SELECT DISTINCT doc_id, place + step AS place
+    FROM numbered, (VALUES (0), (1), (2)) AS t(step) WHERE nth > 1
+)
+SELECT l.doc_id, count(*) AS n_lines, count(c.place) AS n_removed,
+    coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (WHERE c.place IS NULL), '') AS text
+FROM line l LEFT JOIN covered c ON l.doc_id = c.doc_id AND l.place = c.place
+GROUP BY l.doc_id
+"""
