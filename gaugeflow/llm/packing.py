@@ -9,6 +9,7 @@ the same sequences again.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,8 +21,16 @@ from pyspark.sql import functions as F
 
 from gaugeflow.llm.common import Columns, batchwise, text_or_empty
 
-CACHED, CACHED_CHARS = 200_000, 48
+# Bounds of a worker's caches.
+CACHED, CACHED_CHARS = 300_000, 48
+# White space to Python, other characters to the tokenizer.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
+# Fixed values of the tokenizer's pre-tokens, spelt out for characters up to U+0233; words
+# with any other character are left to the tokenizer.
+_UNUSUAL = re.compile("[^\x00-\u0233]")
+_LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u02c1\u02c6-\u02d1\u02e0-\u02e4\u02ec\u02ee"
+_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 
 @dataclass(frozen=True)
@@ -37,32 +46,52 @@ class Limits:
     least_cut: int = 16
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian 32-bit integers; a miss is encoded and kept."""
+class Remembered(dict):
+    """A dict that computes what it lacks; of two generations, the older one goes when the newer is full."""
+
+    def __init__(self, compute, room: int):
+        super().__init__()
+        self.compute, self.room, self.older = compute, room, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= CACHED_CHARS:
+            if len(self) >= self.room:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class WordIds:
+    """Ids of a text as little-endian 32-bit integers.
+
+    This tokenizer drops white space and no token spans it, so words are looked up; an
+    unknown word is looked up by its lower-case pre-tokens, and only those are encoded.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = Remembered(self.word, CACHED)
+        self.parts = Remembered(self.encode, CACHED)
 
     def encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = ids
-        return ids
+    def word(self, word: str) -> bytes:
+        if "<|" in word or _UNUSUAL.search(word):
+            return self.encode(word)
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
 
     def text(self, text: str) -> bytes:
-        """Ids of a text.  This tokenizer drops white space, and no token spans it."""
         if any(c in text for c in _SEPARATORS):
             return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 _ids: dict[str, WordIds] = {}
