@@ -13,6 +13,7 @@ from gaugeflow.llm.common import ship, table
 from gaugeflow.llm.edit_matching import contamination
 from gaugeflow.llm.line_windows import dedup_lines
 from gaugeflow.llm.packing import pack_documents
+from gaugeflow.llm.pivot_index import near_vectors
 from gaugeflow.llm.quality import quality_scores
 from gaugeflow.llm.secret_ownership import secret_spans
 from gaugeflow.llm.token_counts import token_counts
@@ -108,6 +109,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 # Places of a pattern's matches: lengths of the stretches between them, added up.
 _PLACES = r"""
     SELECT doc_id, source, lang, {kind} AS kind, nth,
