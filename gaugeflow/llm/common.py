@@ -95,6 +95,30 @@ def slices(texts: Sequence[str], most: int = 1 << 20) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def in_blocks(df: DataFrame, key: list[str], row: str, most: int) -> DataFrame:
+    """Rows of each key in pairs of blocks: columns side (a row's block), low and high (the pair).
+
+    A key with at most ``most`` rows is one block.  The rows of a longer one are spread over
+    blocks by hash and repeated for each other block, so that every two rows meet in exactly
+    one (low, high), a diagonal one if they share their side.
+    """
+    long_keys = (
+        df.groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .where(F.col("rows") > most)
+        .select(*key, F.ceil(F.col("rows") / most).cast("int").alias("blocks"))
+    )
+    blocks = F.coalesce("blocks", F.lit(1))
+    return (
+        df.join(long_keys, key, "left")
+        .withColumn("side", F.pmod(F.xxhash64(row), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("low", F.least("side", "other"))
+        .withColumn("high", F.greatest("side", "other"))
+        .drop("other", "blocks")
+    )
+
+
 def whole(values: Iterable[str | None]) -> list[str]:
     return ["" if v is None else v for v in values]
 

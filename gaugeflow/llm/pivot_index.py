@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import Columns, batchwise, materialized
+from gaugeflow.llm.common import Columns, batchwise, in_blocks, materialized
 from gaugeflow.llm.components import components
 
 
@@ -124,19 +124,9 @@ def linked_pairs(reps: DataFrame, threshold: float, index: Index) -> DataFrame:
         _postings(reps, index).withColumn("pivot", F.explode(F.array_distinct("pivots")))
     )
     key = ["label", "size", "pivot"]
-    long_lists = (
-        posted.groupBy(*key).count().where(F.col("count") > index.block)
-        .select(*key, F.ceil(F.col("count") / index.block).cast("int").alias("blocks"))
-    )
-    blocks = F.coalesce("blocks", F.lit(1))
-    sided = posted.join(long_lists, key, "left").withColumn(
-        "side", F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    met = in_blocks(posted, key, "rep", index.block).select(
+        *key, "rep", "copies", "embedding", "pivots", "side", "low", "high"
     )
-    # A vector meets each block of its list once.
-    met = sided.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        *key, "rep", "copies", "embedding", "pivots", "side",
-        F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"),
-    )
     out = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def compare(block: pa.Table) -> pa.Table:

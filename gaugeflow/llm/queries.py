@@ -16,6 +16,7 @@ from gaugeflow.llm.packing import pack_documents
 from gaugeflow.llm.pivot_index import near_vectors
 from gaugeflow.llm.quality import quality_scores
 from gaugeflow.llm.secret_ownership import secret_spans
+from gaugeflow.llm.set_join import shingle_groups
 from gaugeflow.llm.token_counts import token_counts
 from gaugeflow.llm.toxicity import toxicity_scores
 
@@ -114,6 +115,11 @@ def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_groups(table(spark, sf_dir, "documents"))
+
+
 # Places of a pattern's matches: lengths of the stretches between them, added up.
 _PLACES = r"""
     SELECT doc_id, source, lang, {kind} AS kind, nth,
