@@ -27,11 +27,7 @@ _SLOT_MASK = (1 << 33) - 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local session, as in
-    tests, gets a temporary folder of its own.
-    """
+    """Folder for checkpoints and intermediate tables, named in ``spark.checkpoint.dir``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -40,11 +36,15 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current is not None:
         return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="gaugeflow-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def local_shared_folder(spark: SparkSession) -> None:
+    """For test sessions: where none is configured, a local session gets a temporary folder."""
+    context = spark.sparkContext
+    unset = not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None
+    if unset and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="gaugeflow-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

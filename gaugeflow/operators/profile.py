@@ -58,7 +58,7 @@ def deviation_profile(deviation: DataFrame) -> DataFrame:
     """What the axes and rules need to know about a session's deviation rows."""
     coolant = F.col("metric") == "coolant_temp_c"
     first_coolant = F.min_by(
-        F.struct("pct_out_of_range", "sample_count"), F.when(coolant, F.col("context"))
+        F.struct("pct_out_of_range", "sample_count"), F.when(coolant, F.struct("context"))
     )
     return (
         deviation.filter((F.col("sample_count") > 0) & F.col("pct_out_of_range").isNotNull())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.functions.text import text_or_null
 from gaugeflow.operators.bands import reference_baselines
 from gaugeflow.operators.ordered import number_rows, running_offsets
 from gaugeflow.schema import SCHEMAS, Fleet, conform
@@ -21,12 +22,12 @@ _BLOCK, _LINE = PLACE
 def explode_dtc_codes(rows: DataFrame, by: str = SOURCE) -> DataFrame:
     """One row per fault code in a cell such as ``p0171; P0301|p0171``.
 
-    Codes are split on ``;``, ``|`` and ``,``, trimmed and upper-cased.  Of equal
+    Codes are split on ``;``, ``|`` and ``,``, stripped of white space and upper-cased.  Of equal
     (source, ts, code, status) the first in file order stays; the choice is made by
     a combinable aggregate, not by sorting a group.
     """
     codes = F.filter(
-        F.transform(F.split("dtc_code", r"[;|,]"), lambda c: F.upper(F.btrim(c))), lambda c: c != ""
+        F.transform(F.split("dtc_code", r"[;|,]"), lambda c: F.upper(text_or_null(c))), lambda c: c.isNotNull()
     )
     singles = rows.filter(F.col("dtc_code").isNotNull()).select(
         by,

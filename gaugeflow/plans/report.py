@@ -511,6 +511,7 @@ def trend_axes(sessions: DataFrame, points: DataFrame) -> DataFrame:
         (epoch_millis(F.max_by("ts", "point")) - epoch_millis(F.min_by("ts", "point"))).alias("_ms"),
         F.max(decimal_text("maf_30s", 2).cast("double")).alias("_top"),
     )
+    spans = with_rounded(spans, {"_shown": "_top"}, 1)
     total = F.greatest(F.lit(0), F.floor(F.col("_ms") / F.lit(1000.0) + F.lit(0.5))).cast("bigint")
     clock = F.concat(
         F.floor(total / 60).cast("string"), F.lit(":"), F.lpad((total % 60).cast("string"), 2, "0")
@@ -519,7 +520,7 @@ def trend_axes(sessions: DataFrame, points: DataFrame) -> DataFrame:
         "session_id",
         F.lit("0:00").alias("start"),
         F.coalesce(clock, F.lit("0:00")).alias("end"),
-        F.when(F.col("_top").isNull(), "0").otherwise(decimal_text("_top", 1)).alias("max_g"),
+        F.when(F.col("_shown").isNull(), "0").otherwise(decimal_text("_shown", 1)).alias("max_g"),
     )
 
 

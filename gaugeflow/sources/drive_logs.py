@@ -214,10 +214,16 @@ def scan_staggered_log(spark: SparkSession, paths: str | Sequence[str]) -> DataF
 
 
 def timestamp_from_filename(raw: DataFrame, by: str = SOURCE) -> DataFrame:
-    """ts = <date before the first underscore of the file name>T<Time>Z."""
+    """ts = <date before the first underscore of the file name>T<Time>Z.
+
+    A time that can't be read stops the job, since such a row has no second of its own.
+    """
     day = F.substring_index(F.substring_index(F.col(by), "/", -1), "_", 1)
-    text = F.concat(day, F.lit("T"), F.btrim(F.col("time")), F.lit("Z"))
-    return raw.withColumn("ts", utc_moment(text)).drop("time")
+    time = F.coalesce(text_or_null(F.col("time")), F.lit("(blank)"))
+    moment = utc_moment(F.concat(day, F.lit("T"), time, F.lit("Z")))
+    problem = F.concat(F.lit("log row has no readable time: "), F.col(by), F.lit(" "), time)
+    checked = F.when(moment.isNull(), F.raise_error(problem).cast("timestamp_ntz")).otherwise(moment)
+    return raw.withColumn("ts", checked).drop("time")
 
 
 def forward_fill_readings(
@@ -277,11 +283,15 @@ def warm_start_gate(rows: DataFrame, min_c: float | None, by: str = SOURCE) -> D
 
 
 def one_row_per_second(rows: DataFrame, by: str = SOURCE) -> DataFrame:
-    """Keep the first row of each file and whole second; combined before the shuffle."""
+    """Keep the first row of each file and whole second; combined before the shuffle.
+
+    Rows without a time share no second, so each of them stays.
+    """
     second = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss")
+    own = F.when(F.col("ts").isNull(), F.struct(*PLACE))
     columns = [c for c in rows.columns if c != by]
     return (
-        rows.groupBy(by, second.alias("_second"))
+        rows.groupBy(by, second.alias("_second"), own.alias("_own"))
         .agg(F.min_by(F.struct(*columns), F.struct(*PLACE)).alias("_row"))
         .select(by, "_row.*")
         .select(*rows.columns)

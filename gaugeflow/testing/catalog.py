@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from gaugeflow.operators import faults as X
 from gaugeflow.operators import profile as P
 from gaugeflow.operators import sessions as S
 from gaugeflow.operators import trends as T
+from gaugeflow.operators.ordered import local_shared_folder
 from gaugeflow.plans import export as K
 from gaugeflow.plans import ingest as I
 from gaugeflow.plans import report as R
@@ -34,12 +36,21 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        local_shared_folder(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def on_fleet(name: str, fn: Callable[[Fleet], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: fn(V.fleet(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        local_shared_folder(spark)
+        return fn(V.fleet(spark, sf_dir))
+
+    QUERIES[name] = run
 
 
 def _deviation(f: Fleet) -> DataFrame:
@@ -304,9 +315,9 @@ def load_score_config_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     f.vehicles.agg(
         F.lit("from data").alias("label"),
         (F.countDistinct("make") * 2.0).alias("metric_penalty_points"),
-        F.countDistinct("make").cast("double").alias("pending_dtc_penalty"),
-        (F.countDistinct("make") + 4.0).alias("stored_dtc_penalty"),
-        (F.countDistinct("make") + 9.0).alias("permanent_dtc_penalty"),
+        (F.countDistinct("make") / 8.0).alias("pending_dtc_penalty"),
+        ((F.countDistinct("make") + 4.0) / 8.0).alias("stored_dtc_penalty"),
+        ((F.countDistinct("make") + 9.0) / 8.0).alias("permanent_dtc_penalty"),
         F.lit(5.0).alias("score_floor"),
         F.lit(90.0).alias("score_ceiling"),
     ).write.json(path)

@@ -87,7 +87,7 @@ def samples_of(ev: DataFrame) -> DataFrame:
 
 
 def faults_of(ev: DataFrame) -> DataFrame:
-    return ev.filter("event_type = 'error' AND k % 10 = 0").selectExpr(
+    return ev.filter("event_type = 'error'").selectExpr(
         "event_id AS dtc_id",
         "user_id AS session_id",
         "ts",
@@ -252,7 +252,7 @@ def raw_rows(ev: DataFrame) -> DataFrame:
 
 def drive_rows(ev: DataFrame) -> DataFrame:
     """Typed drive rows with fault fields, as ``scan_drive_csv`` gives them."""
-    faulty = "event_type = 'error' AND k % 10 = 0"
+    faulty = "event_type = 'error'"
     return raw_rows(ev).selectExpr(
         "source_file",
         "block_start",
