@@ -21,7 +21,7 @@ from gaugeflow.operators.deviation import (
     with_pct,
 )
 from gaugeflow.operators.faults import dtc_telemetry_correlation
-from gaugeflow.operators.ordered import BUSY_ROWS, cut_lineage, number_rows
+from gaugeflow.operators.ordered import cut_lineage, number_rows
 from gaugeflow.operators.sessions import session_baselines, session_exists
 from gaugeflow.operators.trends import ROWS_BEFORE, fuel_trim_drift
 from gaugeflow.schema import Fleet, conform
@@ -37,13 +37,8 @@ TEXT_RECOMMENDATION = (
 TEXT_EXPECTED_RANGE = "directional editable scoring config"
 TEXT_FIX = "Inspect SQL evidence and confirm mechanically before repair."
 TEXT_NO_CODES = "No fault codes to correlate"
-TEXT_MEASURE_LABEL = "Directional Score Label"
 FINDING_KEY = "sql_analysis"
 
-# A session with more fact rows than this keeps them in the evidence table only;
-# its finding names the table instead of embedding the rows.
-EMBED_ROWS = 10_000
-
 _KEEP_NULLS = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"}
 
 
@@ -216,76 +211,45 @@ def finding_evidence(facts: Facts, run_id: str) -> DataFrame:
     return result
 
 
-def _embedded(frame: DataFrame, fact: str, small: DataFrame, busy: DataFrame) -> DataFrame:
-    """Ordered array of fact rows for the sessions that are small enough.
-
-    Busy sessions are taken out first; there are at most rows / BUSY_ROWS of them.
-    """
-    entry = F.struct(F.struct(*_FACT_ORDER[fact]).alias("k"), F.struct(*_FACT_FIELDS[fact]).alias("v"))
-    rows = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["v"])
-    return (
-        frame.join(F.broadcast(busy), "session_id", "left_anti")
-        .join(small, "session_id", "left_semi")
-        .groupBy("session_id")
-        .agg(rows.alias(fact))
-    )
-
-
 def build_findings(
-    fleet: Fleet,
-    facts: Facts,
-    run_id: str | None = None,
-    first_id: int = 1,
-    embed_rows: int = EMBED_ROWS,
+    fleet: Fleet, facts: Facts, run_id: str | None = None, first_id: int = 1
 ) -> DataFrame:
-    """One ``sql_analysis`` finding per session with JSON evidence.
+    """One ``sql_analysis`` finding per session with JSON evidence, of one shape at every size.
 
-    Sessions with at most ``embed_rows`` rows per fact carry the rows inside the
-    evidence; for longer ones ``sql_facts`` has the score and deviation rows, and
-    ``evidence_rows`` points at ``finding_evidence``, which always has every row.
+    ``sql_facts`` holds what is bounded: the score and one row per band.  The rows of the
+    rolling trim and of the fault correlation grow with the session; ``evidence_rows``
+    counts them, and ``finding_evidence`` has them all under the same trace id.
     """
     run_id = run_id or uuid.uuid4().hex
-    report = cut_lineage(session_report(fleet, facts))
-    small = report.filter(
-        (F.col("drift_rows") <= embed_rows) & (F.col("correlation_rows") <= embed_rows)
-    ).select("session_id")
-    busy = report.filter(
-        (F.col("drift_rows") > BUSY_ROWS) | (F.col("correlation_rows") > BUSY_ROWS)
-    ).select("session_id")
-    joined = report.join(
-        facts.scores.select("session_id", F.struct(*_SCORE_FIELDS).alias("session_health_score")),
-        "session_id",
+    fact = "baseline_deviation"
+    entry = F.struct(
+        F.struct(*_FACT_ORDER[fact]).alias("k"), F.struct(*_FACT_FIELDS[fact]).alias("v")
+    )
+    # One row per band of the session's vehicle.
+    bands = facts.deviation.groupBy("session_id").agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["v"]).alias(fact)
+    )
+    no_bands = F.from_json(F.lit("[]"), bands.schema[fact].dataType.simpleString())
+    # Only the ids are sorted to be numbered.
+    ids = number_rows(fleet.drive_sessions.select("session_id"), (), ("session_id",), "finding_id")
+    joined = (
+        session_report(fleet, facts)
+        .join(
+            facts.scores.select("session_id", F.struct(*_SCORE_FIELDS).alias("session_health_score")),
+            "session_id",
+        )
+        .join(bands, "session_id", "left")
+        .join(ids, "session_id")
     )
-    for fact, frame in _fact_frames(facts).items():
-        if fact == "baseline_deviation":
-            # Bounded by the bands of one vehicle, so every session has its rows.
-            rows = _embedded(frame, fact, report.select("session_id"), busy.limit(0))
-        else:
-            rows = _embedded(frame, fact, small, busy)
-        joined = joined.join(rows, "session_id", "left")
-    embedded = joined.join(small.withColumn("_small", F.lit(True)), "session_id", "left")
-
-    def rows_of(fact: str) -> Column:
-        none = F.from_json(F.lit("[]"), embedded.schema[fact].dataType.simpleString())
-        filled = F.coalesce(F.col(fact), none)
-        keep = filled if fact == "baseline_deviation" else F.when(F.col("_small"), filled)
-        return keep.alias(fact)
-
     evidence = F.struct(
-        F.struct(*[rows_of(fact) for fact in _FACT_FIELDS], "session_health_score").alias(
-            "sql_facts"
-        ),
+        F.struct(F.coalesce(fact, no_bands).alias(fact), "session_health_score").alias("sql_facts"),
         "dtc_summary",
         "correlation_summary",
         F.array("recommendation").alias("recommendations"),
-        F.struct(
-            *[
-                F.col(c).alias(c)
-                for c in ("deviation_rows", "drift_rows", "correlation_rows")
-            ]
-        ).alias("evidence_rows"),
+        F.struct("deviation_rows", "drift_rows", "correlation_rows").alias("evidence_rows"),
     )
-    found = embedded.select(
+    found = joined.select(
+        (F.col("finding_id") + F.lit(first_id - 1)).alias("finding_id"),
         "session_id",
         F.lit("info").alias("severity"),
         F.lit("session").alias("category"),
@@ -301,10 +265,7 @@ def build_findings(
         .cast("timestamp_ntz")
         .alias("created_at"),
     )
-    numbered = number_rows(found, (), ("session_id",), "finding_id")
-    return conform(
-        numbered.withColumn("finding_id", F.col("finding_id") + F.lit(first_id - 1)), "findings"
-    )
+    return conform(found, "findings")
 
 
 def replace_findings(findings: DataFrame, fresh: DataFrame, key: str = FINDING_KEY) -> DataFrame:

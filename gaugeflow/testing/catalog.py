@@ -472,42 +472,76 @@ def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.session_report(f, _facts(f), asked)
 
 
+_BANDS_OF_FINDING = (
+    "array<struct<metric:string,context:string,sample_count:bigint,"
+    "out_of_range_samples:bigint,pct_out_of_range:double>>"
+)
+
+
 @query
 def build_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings without run time and run id, and the array lengths inside the evidence."""
+    """Findings without run time and run id, and what their evidence says."""
     f = V.fleet(spark, sf_dir)
     found = R.build_findings(f, _facts(f, keep=True))
 
-    def rows(path: str):
-        return F.coalesce(
-            F.json_array_length(F.get_json_object("evidence_json", path)), F.lit(-1)
-        ).cast("bigint")
+    def of(column: str, path: str, kind: str = "string"):
+        return F.get_json_object(column, path).cast(kind)
 
+    scored = ("health_score", "metric_penalty_points", "dtc_penalty_points")
     return found.select(
         "finding_id",
         "session_id",
         "severity",
         "category",
         "metric_or_code",
-        F.get_json_object("observed", "$.health_score").cast("double").alias("observed_score"),
+        *[of("observed", f"$.{c}", "double").alias(f"observed_{c}") for c in scored],
+        of("observed", "$.started_at").alias("observed_start"),
         "expected_range",
         "likely_cause",
         "recommended_fix",
         "confidence",
-        rows("$.sql_facts.baseline_deviation").alias("deviation_rows"),
-        rows("$.sql_facts.fuel_trim_drift").alias("drift_rows"),
-        rows("$.sql_facts.dtc_telemetry_correlation").alias("correlation_rows"),
+        of("evidence_json", "$.sql_facts.session_health_score.health_score", "double").alias(
+            "fact_score"
+        ),
+        of("evidence_json", "$.dtc_summary").alias("dtc_summary"),
+        of("evidence_json", "$.correlation_summary").alias("correlation_summary"),
+        of("evidence_json", "$.recommendations[0]").alias("recommendation"),
+        *[
+            of("evidence_json", f"$.evidence_rows.{c}", "bigint").alias(c)
+            for c in ("deviation_rows", "drift_rows", "correlation_rows")
+        ],
         F.col("agent_trace_id").rlike("^agent-[0-9a-f]{32}$").alias("trace_ok"),
     )
 
 
+@query
+def finding_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviation rows inside the findings' evidence, in their order."""
+    f = V.fleet(spark, sf_dir)
+    rows = F.from_json(
+        F.get_json_object("evidence_json", "$.sql_facts.baseline_deviation"), _BANDS_OF_FINDING
+    )
+    return R.build_findings(f, _facts(f, keep=True)).select(
+        "session_id", F.posexplode(rows).alias("place", "band")
+    ).select("session_id", "place", "band.*")
+
+
+_EVIDENCE_ROW = (
+    "metric STRING, context STRING, sample_count BIGINT, out_of_range_samples BIGINT, "
+    "pct_out_of_range DOUBLE, ts STRING, ltft_b1_pct DOUBLE, ltft_30s DOUBLE, code STRING, "
+    "status STRING, description STRING, fault_ts STRING, rpm DOUBLE, engine_load_pct DOUBLE, "
+    "coolant_temp_c DOUBLE"
+)
+
+
 @query
 def finding_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every evidence row, read from its JSON, and its trace id."""
     f = V.fleet(spark, sf_dir)
     return (
         R.finding_evidence(_facts(f), "run")
-        .groupBy("session_id", "fact")
-        .agg(F.count(F.lit(1)).alias("fact_rows"), F.countDistinct("agent_trace_id").alias("traces"))
+        .withColumn("row", F.from_json("row_json", _EVIDENCE_ROW))
+        .select("session_id", "fact", "agent_trace_id", "row.*")
     )
 
 

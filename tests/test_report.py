@@ -58,20 +58,18 @@ def test_findings_carry_their_evidence(fleet, facts):
     assert first["agent_trace_id"].startswith("agent-") and len(first["agent_trace_id"]) == 38
     assert json.loads(first["observed"])["health_score"] == 81.0
     evidence = json.loads(first["evidence_json"])
-    trend = evidence["sql_facts"]["fuel_trim_drift"]
-    assert trend[0] == {"ts": "2026-06-01T09:00:00.000Z", "ltft_b1_pct": 4.1, "ltft_30s": 4.1}
-    assert trend[-1]["ltft_30s"] == 8.32 and len(trend) == 12
     assert [r["metric"] for r in evidence["sql_facts"]["baseline_deviation"]][0] == "coolant_temp_c"
-    assert len(evidence["sql_facts"]["dtc_telemetry_correlation"]) == 11
+    assert evidence["sql_facts"]["session_health_score"]["health_score"] == first_score(facts)
+    assert evidence["evidence_rows"] == {"deviation_rows": 5, "drift_rows": 12, "correlation_rows": 11}
     assert evidence["recommendations"] == [report.TEXT_RECOMMENDATION]
 
 
-def test_long_sessions_keep_rows_in_the_evidence_table(fleet, facts):
-    found = report.build_findings(fleet, facts, run_id="r1", embed_rows=5).filter("session_id = 1")
-    evidence = json.loads(found.first()["evidence_json"])
-    assert evidence["sql_facts"]["fuel_trim_drift"] is None
-    assert len(evidence["sql_facts"]["baseline_deviation"]) == 5
-    assert evidence["evidence_rows"]["drift_rows"] == 12
+def first_score(facts):
+    return facts.scores.filter("session_id = 1").first()["health_score"]
+
+
+def test_all_rows_are_in_the_evidence_table(fleet, facts):
+    found = report.build_findings(fleet, facts, run_id="r1").filter("session_id = 1")
     rows = report.finding_evidence(facts, "r1").join(found, ["agent_trace_id", "session_id"])
     counted = rows.groupBy("fact").count()
     assert rows_of(counted, "fact", "count") == [
@@ -79,6 +77,12 @@ def test_long_sessions_keep_rows_in_the_evidence_table(fleet, facts):
         ("dtc_telemetry_correlation", 11),
         ("fuel_trim_drift", 12),
     ]
+    trim = [
+        json.loads(r["row_json"])
+        for r in rows.filter("fact = 'fuel_trim_drift'").select("row_json", "sort_key").orderBy("sort_key").collect()
+    ]
+    assert trim[0] == {"ts": "2026-06-01T09:00:00.000Z", "ltft_b1_pct": 4.1, "ltft_30s": 4.1}
+    assert trim[-1]["ltft_30s"] == 8.32
 
 
 def test_replace_and_append_findings(spark, fleet, facts, tmp_path):
