@@ -32,6 +32,11 @@ _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u02c1\u02c6-\u02d1\u02e0-\u02e4\u02ec\
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
+# Byte-level vocabularies write each byte as a printable character: itself where it is one,
+# else the next free one from U+0100 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_SIGNS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -76,13 +81,20 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.words = Remembered(self.word, CACHED)
-        self.parts = Remembered(self.encode, CACHED)
+        self.parts = Remembered(self.part, CACHED)
 
     def encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
+    def part(self, part: str) -> bytes:
+        """A pre-token, straight to the merges of the tokenizer's model."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return np.array([t.id for t in self.model.tokenize(part)], dtype="<u4").tobytes()
+
     def word(self, word: str) -> bytes:
         if "<|" in word or _UNUSUAL.search(word):
             return self.encode(word)
@@ -148,12 +160,13 @@ class Packer:
             if fits.any():
                 worth = size @ (room / self.full**2)
                 piece = self._take(int(np.argmax(np.where(fits, worth, -1.0))))
-            elif self.cut and room[0] >= self.limits.least_cut and room[1] >= 1 and room[2] >= room[0]:
-                i = int(np.argmax(size[:, 0]))
-                piece, rest = self.cut(self._take(i), int(room[0]))
-                self._keep(rest)
             else:
-                break
+                # A cut piece bears loss on all its tokens but the first.
+                part, i = int(min(room[0], room[2] + 1)), int(np.argmax(size[:, 0]))
+                if not self.cut or part < self.limits.least_cut or room[1] < 1 or size[i, 0] <= part:
+                    break
+                piece, rest = self.cut(self._take(i), part)
+                self._keep(rest)
             placed.append(piece)
             room -= (piece[2], 1, piece[3])
         used = int(self.full[0] - room[0])
@@ -221,7 +234,7 @@ def pack_documents(
     Other columns are ignored.  An empty table gives no piece.
     """
     end = np.asarray([end_id], dtype="<u4").tobytes()
-    most = limits.tokens
+    most = min(limits.tokens, limits.loss_tokens + 1)
 
     def pack(batches: Iterator[Columns]) -> Iterator[Columns]:
         ids_of, base = word_ids(path), TaskContext.get().partitionId() << 33
