@@ -91,7 +91,7 @@ class WordIds:
 
     def part(self, part: str) -> bytes:
         """A pre-token, straight to the merges of the tokenizer's model."""
-        if not part.isascii():
+        if not (part.isascii() and part.isprintable()):
             part = part.encode().decode("latin-1").translate(_BYTE_SIGNS)
         return np.array([t.id for t in self.model.tokenize(part)], dtype="<u4").tobytes()
 
