@@ -1,71 +1,101 @@
 """CSV files whose headers differ from file to file, read as text columns.
 
 All files are read by one ``spark.read.csv`` scan with columns by position.  Which
-position feeds which wanted column depends on the header line of the file: with one
-header for all files it is a plain projection, else a per-file lookup row.  Every row
-keeps its place in the file as (``block_start``, ``line_no``): the offset of its file
-split and an id that grows inside the split.
+position feeds which wanted column depends on the header of the file, which Spark reads
+from the file's first split: with one layout for all files it is a plain projection, else a
+per-file lookup row.  Every row keeps its place in the file as (``block_start``,
+``line_no``): the offset of its file split and an id that grows inside the split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.operators.ordered import broadcast_if_few, cut_lineage
-from gaugeflow.sources.headers import split_header
+from gaugeflow.sources.headers import header_cells
 
 SOURCE = "source_file"
 PLACE = ("block_start", "line_no")
 
-_HEADER_BYTES = 64 * 1024
+# Lines that a header with quoted line breaks may span.
+HEADER_LINES = 32
 
+Match = Callable[[Column], dict[str, Column]]
 
-def header_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """The first line of each file.  Tasks read only the head of each file."""
-    limit = _HEADER_BYTES
 
-    # Nested, so that executors get the code with the task and need no package.
-    def first_lines(batches: Iterator) -> Iterator:
-        from pyarrow import fs
-
-        for batch in batches:
-            lines = []
-            for uri in batch["file"]:
-                if uri.startswith("file:"):
-                    system, path = fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
-                else:
-                    system, path = fs.FileSystem.from_uri(uri)
-                with system.open_input_stream(path, compression="detect") as stream:
-                    head = stream.read(limit).decode("utf-8", "replace")
-                lines.append(head.splitlines()[0] if head.strip() else "")
-            yield batch.assign(header=lines)
+def header_lines(
+    spark: SparkSession, paths: str | Sequence[str], multiline: bool = False
+) -> DataFrame:
+    """The header text of each file that has one: its first line that is not blank.
 
-    # Only the path column is asked for, so no file content is read here.
-    listed = spark.read.format("binaryFile").load(paths).selectExpr("_metadata.file_path AS file")
-    heads = listed.mapInPandas(first_lines, "file STRING, header STRING")
-    return cut_lineage(heads.filter(F.trim("header") != ""))
+    With ``multiline`` a line of blanks is a row, as Spark's reader has it, and a header
+    goes on while a quote is open.  The rank limit runs before the shuffle, so each file
+    gives a few lines of its first split.
+    """
+    filled = F.col("value") != "" if multiline else F.trim("value") != ""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+    first = Window.partitionBy("file").orderBy("line")
+    kept = (
+        lines.filter((F.col("block") == 0) & filled)
+        .withColumn("nth", F.row_number().over(first))
+        .filter(F.col("nth") <= HEADER_LINES)
+    )
+    quotes = lambda text: F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+    ordered = F.transform(
+        F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda line: line["value"]
+    )
+    header = F.get("lines", F.lit(0))
+    if multiline:
+        header = F.aggregate(
+            "lines",
+            F.lit(None).cast("string"),
+            lambda text, line: F.when(text.isNull(), line)
+            .when(quotes(text) % 2 == 1, F.concat(text, F.lit("\n"), line))
+            .otherwise(text),
+        )
+    return kept.groupBy("file").agg(ordered.alias("lines")).select("file", header.alias("header"))
 
 
 def scan(
     spark: SparkSession,
     paths: str | Sequence[str],
     columns: Sequence[str],
-    match: Callable[[list[str]], dict[str, int]],
+    match: Match,
     multiline: bool = False,
+    required: Sequence[str] = (),
 ) -> DataFrame:
-    """All files with the wanted columns as text; a column no header offers is NULL."""
-    heads = header_lines(spark, paths)
-    # The driver sees one line per distinct header and the columns it maps to.
-    layouts = {
-        row["header"]: match(split_header(row["header"]))
-        for row in heads.select("header").distinct().collect()
-    }
-    if not layouts:
+    """All files with the wanted columns as text; a column no header offers is NULL.
+
+    ``match`` gives for each column its position in an array of header names, NULL if it
+    has none.  A file without one of the ``required`` columns stops the job.
+    """
+    names = header_lines(spark, paths, multiline).select("file", header_cells(F.col("header")).alias("names"))
+    found = match(F.col("names"))
+    heads = cut_lineage(
+        names.select("file", F.size("names").alias("width"), F.array(*[found[c] for c in columns]).alias("at"))
+    )
+    missing = F.lit(False)
+    for c in required:
+        missing = missing | F.get("at", F.lit(list(columns).index(c))).isNull()
+    files, width, layouts, layout, bad = heads.agg(
+        F.count(F.lit(1)),
+        F.max("width"),
+        F.count_distinct("at"),
+        F.first("at"),
+        F.min(F.when(missing, F.col("file"))),
+    ).first()
+    if not files:
         raise ValueError(f"no header line found in {paths}")
-    width = max(len(split_header(header)) for header in layouts)
+    if bad is not None:
+        raise ValueError(f"{bad} has no column for one of: {', '.join(required)}")
     rows = (
         spark.read.schema(", ".join(f"c{at} STRING" for at in range(width)))
         .option("header", True)
@@ -78,24 +108,24 @@ def scan(
         F.col("_metadata.file_block_start").alias(PLACE[0]),
         F.monotonically_increasing_id().alias(PLACE[1]),
     )
-    if len(layouts) == 1:
-        (layout,) = layouts.values()
+    if layouts == 1:
         return rows.select(
             *place,
             *[
-                (F.col(f"c{layout[c]}") if c in layout else F.lit(None).cast("string")).alias(c)
-                for c in columns
+                (F.lit(None).cast("string") if at is None else F.col(f"c{at}")).alias(c)
+                for c, at in zip(columns, layout)
             ],
         )
-    table = spark.createDataFrame(
-        [(header, [layout.get(c) for c in columns]) for header, layout in layouts.items()],
-        "header STRING, _at ARRAY<INT>",
-    )
-    per_file = heads.join(F.broadcast(table), "header").select(F.col("file").alias(SOURCE), "_at")
-    per_file = broadcast_if_few(per_file, heads.count())
+    per_file = broadcast_if_few(heads.select(F.col("file").alias(SOURCE), "at"), files)
     cells = rows.select(*place, F.array(*[f"c{at}" for at in range(width)]).alias("_cells"))
-    return cells.join(per_file, SOURCE).select(
-        SOURCE,
-        *PLACE,
-        *[F.expr(f"get(_cells, _at[{n}])").alias(c) for n, c in enumerate(columns)],
+    unknown = F.concat(F.lit("no header line found in "), F.col(SOURCE))
+    at = F.when(F.col("at").isNull(), F.raise_error(unknown).cast("array<int>")).otherwise(F.col("at"))
+    return (
+        cells.join(per_file, SOURCE, "left")
+        .withColumn("_at", at)
+        .select(
+            SOURCE,
+            *PLACE,
+            *[F.expr(f"get(_cells, get(_at, {n}))").alias(c) for n, c in enumerate(columns)],
+        )
     )

@@ -81,23 +81,20 @@ def normalise_drive_rows(raw: DataFrame) -> DataFrame:
 def scan_drive_csv(
     spark: SparkSession, paths: str | Sequence[str], multiline: bool = False
 ) -> DataFrame:
-    """Drive CSVs with any accepted header names as typed rows."""
-
-    def match(names: list[str]) -> dict[str, int]:
-        found = match_aliases(names)
-        if "ts" not in found:
-            raise ValueError("drive log is missing a timestamp column")
-        return found
-
-    return normalise_drive_rows(scan(spark, paths, list(DRIVE_ALIASES), match, multiline))
+    """Drive CSVs with any accepted header names as typed rows; a timestamp column is required."""
+    return normalise_drive_rows(
+        scan(spark, paths, list(DRIVE_ALIASES), match_aliases, multiline, required=("ts",))
+    )
 
 
 # -- arbitrary OBD CSV -----------------------------------------------------------------
 
 
-def scan_fuzzy_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def scan_fuzzy_csv(
+    spark: SparkSession, paths: str | Sequence[str], multiline: bool = False
+) -> DataFrame:
     """OBD CSVs with unknown headers, matched by fragments; values stay text."""
-    raw = scan(spark, paths, list(FUZZY_FRAGMENTS), match_fragments)
+    raw = scan(spark, paths, list(FUZZY_FRAGMENTS), match_fragments, multiline)
     return blank_missing(raw, FUZZY_FRAGMENTS)
 
 
@@ -206,10 +203,12 @@ def regrid_1hz(window: DataFrame, start: str = REGRID_START) -> DataFrame:
 # -- staggered log ---------------------------------------------------------------------
 
 
-def scan_staggered_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def scan_staggered_log(
+    spark: SparkSession, paths: str | Sequence[str], multiline: bool = False
+) -> DataFrame:
     """Sparse rows, one reading at a time; the date comes from the file name."""
     wanted = {"time": "Time", **STAGGERED_COLUMNS}
-    raw = scan(spark, paths, list(wanted), lambda names: match_exact(names, wanted))
+    raw = scan(spark, paths, list(wanted), lambda names: match_exact(names, wanted), multiline)
     return timestamp_from_filename(raw)
 
 
@@ -319,9 +318,12 @@ def staggered_drives(
 # -- week export -----------------------------------------------------------------------
 
 
-def scan_week_export(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def scan_week_export(
+    spark: SparkSession, paths: str | Sequence[str], multiline: bool = False
+) -> DataFrame:
+    """Rows of a week export as text."""
     wanted = {**WEEK_KEYS, **WEEK_COLUMNS}
-    return scan(spark, paths, list(wanted), lambda names: match_exact(names, wanted))
+    return scan(spark, paths, list(wanted), lambda names: match_exact(names, wanted), multiline)
 
 
 def week_trips(

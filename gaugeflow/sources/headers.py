@@ -1,14 +1,15 @@
 """Column names of drive logs: which source column feeds which gauge.
 
-These functions see header lines only (a few strings per distinct header); the
-rows themselves are projected by Spark.
+Matching is column expressions over the array of a file's header names.
 """
 
 from __future__ import annotations
 
-import csv
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # Accepted header names per column, best match first.
 DRIVE_ALIASES: dict[str, tuple[str, ...]] = {
@@ -89,39 +90,79 @@ FUZZY_FRAGMENTS: dict[str, tuple[str, ...]] = {
 }
 
 
-def split_header(line: str) -> list[str]:
-    return next(csv.reader([line.lstrip("﻿")]), [])
+# A cell, quoted or not, and the comma or end behind it.
+_CELL = r'(?s)("(?:[^"]|"")*"|[^,]*)(?:,|$)'
 
 
-def plain_name(name: str) -> str:
+def header_cells(header: Column) -> Column:
+    """Names in a CSV header as an array; a byte order mark in front is dropped."""
+    text = F.regexp_replace(header, "^\ufeff", "")
+    # The pattern matches once more, with nothing, behind the last cell.
+    cells = F.regexp_extract_all(F.concat(text, F.lit(",")), F.lit(_CELL), F.lit(1))
+    cells = F.slice(cells, 1, F.size(cells) - 1)
+    return F.transform(
+        cells,
+        lambda c: F.when(
+            c.startswith('"'),
+            F.replace(F.substring(c, F.lit(2), F.length(c) - F.lit(2)), F.lit('""'), F.lit('"')),
+        ).otherwise(c),
+    )
+
+
+def _plain(name: Column) -> Column:
     """Lower case, underscores as blanks, single blanks."""
-    return re.sub(r"\s+", " ", name.replace("_", " ")).strip().lower()
+    return F.lower(F.trim(F.regexp_replace(F.replace(name, F.lit("_"), F.lit(" ")), r"\s+", " ")))
+
+
+def _first(names: Column, accept: Callable[[Column], Column]) -> Column:
+    """Position of the first accepted name, NULL if there is none."""
+    return F.nullif(F.array_position(F.transform(names, accept), True), F.lit(0)).cast("int") - F.lit(1)
+
+
+def _last(names: Column, accept: Callable[[Column], Column]) -> Column:
+    return F.size(names) - F.lit(1) - _first(F.reverse(names), accept)
+
+
+def _equal(text: str) -> Callable[[Column], Column]:
+    return lambda name: name == text
+
 
+def _named(text: str) -> Callable[[Column], Column]:
+    return lambda name: _plain(name) == text
 
-def match_aliases(names: Sequence[str]) -> dict[str, int]:
-    """Column index per gauge by exact name; of equal names the last column counts."""
-    index = {plain_name(name): at for at, name in enumerate(names)}
-    hits = {
-        gauge: [index[plain_name(alias)] for alias in aliases if plain_name(alias) in index]
+
+def _holding(text: str) -> Callable[[Column], Column]:
+    return lambda name: name.contains(text)
+
+
+def match_aliases(names: Column) -> dict[str, Column]:
+    """Position per gauge by exact name; of equal names the last column counts."""
+    return {
+        gauge: F.coalesce(*[_last(names, _named(plain_name(alias))) for alias in aliases])
         for gauge, aliases in DRIVE_ALIASES.items()
     }
-    return {gauge: found[0] for gauge, found in hits.items() if found}
 
 
 def match_fragments(
-    names: Sequence[str], fragments: Mapping[str, Sequence[str]] = FUZZY_FRAGMENTS
-) -> dict[str, int]:
-    """Column index per gauge by fragment: strongest fragment first, then file order."""
-    shown = [(at, re.sub(r"\s+", " ", name.strip().lower())) for at, name in enumerate(names)]
-    result = {}
-    for gauge, options in fragments.items():
-        hits = [at for fragment in options for at, name in shown if fragment in name]
-        if hits:
-            result[gauge] = hits[0]
-    return result
-
-
-def match_exact(names: Sequence[str], wanted: Mapping[str, str]) -> dict[str, int]:
-    """Column index per output name by the exact header text."""
-    index = {name: at for at, name in enumerate(names)}
-    return {out: index[source] for out, source in wanted.items() if source in index}
+    names: Column, fragments: Mapping[str, Sequence[str]] = FUZZY_FRAGMENTS
+) -> dict[str, Column]:
+    """Position per gauge by fragment: strongest fragment first, then file order."""
+
+    def shown(name: Column) -> Column:
+        return F.regexp_replace(F.lower(F.trim(name)), r"\s+", " ")
+
+    return {
+        gauge: F.coalesce(
+            *[_first(F.transform(names, shown), _holding(fragment)) for fragment in options]
+        )
+        for gauge, options in fragments.items()
+    }
+
+
+def match_exact(names: Column, wanted: Mapping[str, str]) -> dict[str, Column]:
+    """Position per output name by the exact header text."""
+    return {out: _last(names, _equal(source)) for out, source in wanted.items()}
+
+
+def plain_name(name: str) -> str:
+    return re.sub(r"\s+", " ", name.replace("_", " ")).strip().lower()

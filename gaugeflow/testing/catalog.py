@@ -179,20 +179,43 @@ def explode_dtc_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scan_fuzzy_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ten gauges by header fragment; the air flow cell carries the row's number."""
     k = F.col("k")
     folder = V.scratch(spark, "fuzzy-csv")
     V.events(spark, sf_dir).select(
-        F.col("event_id").alias("row"),
+        F.col("event_id").cast("string").alias("Mass_Air_Flow row"),
         (k + 700).cast("string").alias("Engine Speed (rpm)"),
         k.cast("string").alias("GPS speed"),
         F.when(k % 3 == 0, "NaN").otherwise(k.cast("string")).alias("Vehicle_Speed"),
         (k + 1).cast("string").alias("Calculated_Load value"),
         F.when(k % 5 == 0, "None").otherwise((k + 50).cast("string")).alias("Engine Coolant Temp"),
+        F.when(k % 7 == 0, "  ").otherwise((k + 9).cast("string")).alias("IAT"),
         (k + 2).cast("string").alias("Ignition_Timing"),
+        (k + 3).cast("string").alias("Throttle_Pos, rel"),
+        (k + 4).cast("string").alias("STFT b1"),
+        (k + 5).cast("string").alias("Long  Term Fuel 1"),
     ).write.option("header", True).csv(folder)
-    return L.scan_fuzzy_csv(spark, folder).select(
-        "rpm", "speed_kph", "engine_load_pct", "coolant_temp_c", "maf_gps", "timing_adv_deg"
-    )
+    return L.scan_fuzzy_csv(spark, folder).drop("source_file", "block_start", "line_no")
+
+
+@query
+def scan_staggered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staggered logs as files, one folder per day; names carry the date."""
+    folder = V.scratch(spark, "staggered-csv")
+    names = L.STAGGERED_COLUMNS
+    V.events(spark, sf_dir).select(
+        F.date_format("ts", "HH:mm:ss.SSS").alias("Time"),
+        *[
+            F.when(F.col("k") % 6 == at, F.col("event_id").cast("string")).alias(source)
+            for at, source in enumerate(names.values())
+        ],
+        F.date_format("ts", "yyyy-MM-dd").alias("day"),
+    ).write.partitionBy("day").option("header", True).csv(folder)
+    # The reader takes the date from the file name, here from the folder's.
+    raw = L.scan(spark, folder, ["time", *names], lambda n: L.match_exact(n, {"time": "Time", **names}))
+    day = F.regexp_extract("source_file", "day=([0-9-]+)", 1)
+    named = raw.withColumn("source_file", F.concat(day, F.lit("_Car_RT.csv")))
+    return L.timestamp_from_filename(named).select("ts", *names)
 
 
 @query

@@ -1,5 +1,7 @@
 """Readers and row logic of raw logs, against brute force on small inputs."""
 
+import csv
+import io
 import random
 from datetime import datetime
 
@@ -9,19 +11,76 @@ from pyspark.sql import functions as F
 from fixtures import rows_of
 from gaugeflow.plans import ingest
 from gaugeflow.sources import drive_logs as logs
-from gaugeflow.sources.headers import match_aliases, match_fragments, split_header
+from gaugeflow.sources.headers import header_cells, match_aliases, match_fragments
 from gaugeflow.testing.views import profiles
 
 
-def test_header_matching():
-    names = split_header("﻿Time,Engine_RPM (rpm),Speed,MAF(g/s),\"Engine Load, (%)\",Trouble  Code")
-    assert match_aliases(names) == {
+def _matched(spark, header, match):
+    row = spark.createDataFrame([(header,)], "header STRING").select(header_cells(F.col("header")).alias("n"))
+    found = match(F.col("n"))
+    got = row.select(*[c.alias(g) for g, c in found.items()]).first().asDict()
+    return {g: at for g, at in got.items() if at is not None}
+
+
+def test_header_matching(spark):
+    header = "\ufeffTime,Engine_RPM (rpm),Speed,MAF(g/s),\"Engine Load, (%)\",Trouble  Code"
+    assert _matched(spark, header, match_aliases) == {
         "ts": 0, "rpm": 1, "speed_kph": 2, "maf_gps": 3, "dtc_code": 5,
     }
     # The first alias wins over later ones, and of equal names the last column.
-    assert match_aliases(["time", "ts", "TS "])["ts"] == 2
-    fuzzy = match_fragments(["GPS speed", "Vehicle_Speed", "Relative_Throttle", "Throttle", "Electric"])
-    assert fuzzy == {"speed_kph": 1, "throttle_pct": 2, "coolant_temp_c": 4}
+    assert _matched(spark, "time,ts,TS ", match_aliases)["ts"] == 2
+    header = "GPS speed,Vehicle_Speed,Relative_Throttle,Throttle,Electric"
+    assert _matched(spark, header, match_fragments) == {"speed_kph": 1, "throttle_pct": 2, "coolant_temp_c": 4}
+
+
+@pytest.mark.parametrize("header", ["a", "a,", ",a", ",", "a,b c,", '"x, ""y""",z', '"two\nlines",b'])
+def test_header_cells_equal_the_csv_module(spark, header):
+    row = spark.createDataFrame([(header,)], "header STRING").select(header_cells(F.col("header"))).first()
+    assert row[0] == next(csv.reader(io.StringIO(header)))
+
+
+def test_headers_are_found_in_any_file(spark, tmp_path):
+    """Blank first lines, odd file names, a very long header, a line break in a quoted name."""
+    wide = ",".join(f"column {i}" for i in range(9000))
+    write(tmp_path / "my drive 90°.csv", "\n\nts,rpm\n2026-01-01T00:00:00Z,1\n")
+    write(tmp_path / "wide.csv", f"ts,{wide},rpm\n2026-01-01T00:00:01Z,{',' * 8999},2\n")
+    write(tmp_path / "plain+1.csv", "rpm,ts\n3,2026-01-01T00:00:02Z\n")
+    write(tmp_path / "quoted.csv", '"no\nname",ts,rpm\nx,2026-01-01T00:00:03Z,4\n')
+    write(tmp_path / "empty.csv", "\n\n")
+    got = logs.scan_drive_csv(spark, str(tmp_path), multiline=True)
+    assert rows_of(got, "rpm", "ts") == [(float(i + 1), datetime(2026, 1, 1, 0, 0, i)) for i in range(4)]
+    with pytest.raises(ValueError, match="no header line"):
+        logs.scan_drive_csv(spark, str(tmp_path / "empty.csv"))
+    write(tmp_path / "quoted.csv", "\n  \nts,rpm\n2026-01-01T00:00:03Z,4\n")
+    got = logs.scan_drive_csv(spark, str(tmp_path))
+    assert rows_of(got, "rpm", "ts") == [(float(i + 1), datetime(2026, 1, 1, 0, 0, i)) for i in range(4)]
+
+
+def test_quoted_line_breaks_in_rows(spark, tmp_path):
+    path = write(tmp_path / "f.csv", 'note,Engine RPM\n"two\nlines",7\n')
+    assert rows_of(logs.scan_fuzzy_csv(spark, path, multiline=True), "rpm") == [("7",)]
+
+
+def test_staggered_log_file(spark, tmp_path):
+    names = ["Time", *logs.STAGGERED_COLUMNS.values()]
+    lines = [",".join(names), "10:00:00.25,700,,,,,", "10:00:00.5,,0,82,20,5.5,12", "10:00:01,800,,,,,"]
+    path = write(tmp_path / "2018-03-26_Car_RT.csv", "\n".join(lines) + "\n")
+    drives = logs.staggered_drives(logs.scan_staggered_log(spark, path))
+    assert rows_of(drives, "ts", "rpm", "maf_gps") == [
+        (datetime(2018, 3, 26, 10, 0, 0, 500000), "700", "5.5"),
+        (datetime(2018, 3, 26, 10, 0, 1), "800", "5.5"),
+    ]
+    write(tmp_path / "2018-03-27_Car_RT.csv", "\n".join([*lines, "late,,,,,,"]) + "\n")
+    with pytest.raises(Exception, match="no readable time"):
+        logs.scan_staggered_log(spark, str(tmp_path)).collect()
+
+
+def test_rows_without_a_time_stay(spark):
+    rows = [("f", 0, i, datetime(2026, 1, 1) if i < 2 else None, str(i)) for i in range(5)]
+    table = spark.createDataFrame(
+        rows, "source_file STRING, block_start BIGINT, line_no BIGINT, ts TIMESTAMP_NTZ, rpm STRING"
+    )
+    assert rows_of(logs.one_row_per_second(table), "rpm") == [("0",), ("2",), ("3",), ("4",)]
 
 
 def write(path, text):
@@ -50,7 +109,7 @@ def test_bad_timestamps_stop_the_job(spark, tmp_path):
     with pytest.raises(Exception, match="no readable timestamp"):
         logs.scan_drive_csv(spark, path).collect()
     path = write(tmp_path / "b.csv", "when,rpm\n1,2\n")
-    with pytest.raises(ValueError, match="timestamp column"):
+    with pytest.raises(ValueError, match="no column for one of: ts"):
         logs.scan_drive_csv(spark, path)
 
 
@@ -71,7 +130,7 @@ def test_rows_keep_file_order_over_many_splits(spark, tmp_path):
 def test_fault_cells(spark):
     rows = spark.createDataFrame(
         [
-            ("f", 0, 0, datetime(2026, 1, 1), "p0171; P0301|p0171", None, "first"),
+            ("f", 0, 0, datetime(2026, 1, 1), "p0171;\tP0301|p0171\n", None, "first"),
             ("f", 0, 1, datetime(2026, 1, 1), "P0301", None, "second"),
             ("f", 0, 2, datetime(2026, 1, 1), "P0301,,", "pending", None),
             ("f", 0, 3, datetime(2026, 1, 1), None, None, None),
