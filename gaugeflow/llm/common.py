@@ -23,9 +23,16 @@ BROADCAST_ROWS = 500_000
 _shipped: set[str] = set()
 
 
+# Rows of an Arrow batch: with long texts the default of 10000 takes hundreds of megabytes.
+BATCH_ROWS = 1024
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once for each Spark application."""
+    """Give the Python workers this package, once for each Spark application, and batches they can hold."""
     context = spark.sparkContext
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) > BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]

@@ -23,20 +23,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import batchwise, in_blocks, materialized, slices, text_or_empty
+from gaugeflow.llm.common import (
+    BROADCAST_ROWS, batchwise, in_blocks, materialized, slices, text_or_empty,
+)
 from gaugeflow.llm.components import components
 
 # Words of a shingle, and the bound as a fraction: linked where 100 * both >= 75 * either.
 SHINGLE, PER_CENT = 5, 75
-# Longs of a parity bitmap.
-BITMAP = 32
+# Bits of the smallest parity bitmap.
+LEAST_BITS = 512
 # Keys that one reducing task handles, and documents that a mapping task gathers at a time.
 BUCKET_KEYS, GATHERED_KEYS = 1_500_000, 1_000_000
-# Sets of one side where a list's members are compared.
-BLOCK = 1024
+# Sets of one side where a list's members are compared, and sets of the corpus for each such task.
+BLOCK, COMPARED = 1024, 4096
 
 # -- hashing ------------------------------------------------------------------------------
 
@@ -105,11 +107,49 @@ def fingerprint(shingles: np.ndarray, seed: int) -> int:
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
-    """Bitmap of the parity of hashed shingles: sets that differ in d shingles differ in at most d bits."""
-    bits = np.bincount((shingles & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    """Bitmap of the parity of hashed shingles: sets that differ in d shingles differ in at most d bits.
+
+    It has two to four bits a shingle, a power of two, and folds to any smaller one.
+    """
+    size = max(LEAST_BITS, 1 << (2 * len(shingles)).bit_length())
+    bits = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def folded(bits: np.ndarray, longs: int) -> np.ndarray:
+    """Bitmaps (one a row) as they are for ``longs`` 64-bit integers."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, longs), axis=1)
+
+
+def bits_apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """In how many bits bitmaps differ, row by row, at the size of the smaller ones."""
+    longs = min(one.shape[1], other.shape[1])
+    both = folded(one, longs) ^ folded(other, longs)
+    return np.bitwise_count(both.view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
+class Bitmaps:
+    """Bitmaps of several sizes, one after the other in one array."""
+
+    def __init__(self, column: pa.Array):
+        self.flat = column.flatten().to_numpy()
+        size = np.diff(column.offsets.to_numpy())
+        self.start, self.size = np.concatenate(([0], np.cumsum(size)[:-1])), size
+
+    def apart(self, i: np.ndarray, j: np.ndarray, other: Bitmaps | None = None) -> np.ndarray:
+        other = other or self
+        out = np.zeros(len(i), np.int64)
+        kinds = self.size[i].astype(np.int64) << 32 | other.size[j]
+        for kind in np.unique(kinds):
+            at = np.flatnonzero(kinds == kind)
+            rows = [
+                side.flat[side.start[k[at]][:, None] + np.arange(side.size[k[at[0]]])]
+                for side, k in ((self, i), (other, j))
+            ]
+            out[at] = bits_apart(*rows)
+        return out
+
+
 def most_apart(one, other):
     """Most shingles in which linked sets of these sizes differ."""
     return (100 - PER_CENT) * (one + other) // (100 + PER_CENT)
@@ -152,7 +192,7 @@ def _allot(high: int) -> tuple[int, int]:
             m += max(1, m // 50)
         if m > 2 * high:
             continue
-        cost = m * filled + deleting * x + 20 * (m - deleting) * x * math.exp(-x)
+        cost = m * filled + deleting * x + 8 * (m - deleting) * x * math.exp(-x)
         if cost < best[0]:
             best = (cost, m, deleting)
     return best[1:]
@@ -277,7 +317,7 @@ def posted_keys(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
     return docs.select("text").transform(batchwise(post, _KEYS))
 
 
-_MET = "a long, b long, size_a int, size_b int, times long, list long, members array<long>, sizes array<int>"
+_MET = "a long, b long, times long, list long, members array<long>"
 
 
 def meetings(posted: DataFrame) -> DataFrame:
@@ -286,9 +326,8 @@ def meetings(posted: DataFrame) -> DataFrame:
     Neighbours link a list of two.  Lists of three and more are kept too, once if equal.
     """
     schema = pa.schema(
-        [("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int32()), ("size_b", pa.int32()),
-         ("times", pa.int64()), ("list", pa.int64()), ("members", pa.list_(pa.int64())),
-         ("sizes", pa.list_(pa.int32()))]
+        [("a", pa.int64()), ("b", pa.int64()), ("times", pa.int64()), ("list", pa.int64()),
+         ("members", pa.list_(pa.int64()))]
     )
 
     def meet(bucket: pa.Table) -> pa.Table:
@@ -314,11 +353,8 @@ def meetings(posted: DataFrame) -> DataFrame:
         rows = {name: [] for name in schema.names}
         if len(beside):
             pairs = np.stack([node[beside], node[beside + 1]], axis=1)
-            kind, first, times = np.unique(pairs, axis=0, return_index=True, return_counts=True)
-            at = beside[first]
-            rows["a"], rows["b"] = kind[:, 0].tolist(), kind[:, 1].tolist()
-            rows["size_a"], rows["size_b"] = size[at].tolist(), size[at + 1].tolist()
-            rows["times"] = times.tolist()
+            kind, times = np.unique(pairs, axis=0, return_counts=True)
+            rows["a"], rows["b"], rows["times"] = kind[:, 0].tolist(), kind[:, 1].tolist(), times.tolist()
         blank = len(rows["a"])
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else []
         ends = np.append(start[1:], len(key)) if len(key) else []
@@ -329,80 +365,83 @@ def meetings(posted: DataFrame) -> DataFrame:
                 known.add(content)
                 rows["list"].append(content)
                 rows["members"].append(node[i:j])
-                rows["sizes"].append(size[i:j])
         lists = len(rows["list"])
-        for name in ("a", "b", "size_a", "size_b", "times"):
+        for name in ("a", "b", "times"):
             rows[name] += [None] * lists
-        for name in ("list", "members", "sizes"):
+        for name in ("list", "members"):
             rows[name] = [None] * blank + rows[name]
         return pa.Table.from_pydict(rows, schema=schema)
 
     return posted.groupBy("bucket").applyInArrow(meet, _MET)
 
 
-def _bits_apart(one: str, other: str) -> Column:
-    return F.aggregate(
-        F.zip_with(one, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-        F.lit(0),
-        lambda total, n: total + n,
-    )
-
-
-def _near(size_a: str, size_b: str) -> Column:
-    """Most bits in which linked sets of these sizes differ."""
-    return F.floor((100 - PER_CENT) * (F.col(size_a) + F.col(size_b)) / (100 + PER_CENT))
-
-
 def not_far(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) that their sizes and bitmaps do not rule out."""
     side = [
         nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
         for x in "ab"
     ]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def kept(batches):
+        for batch in batches:
+            n = [batch.column(f"n_{x}").to_numpy().astype(np.int64) for x in "ab"]
+            one, other = (Bitmaps(batch.column(f"bits_{x}")) for x in "ab")
+            every = np.arange(batch.num_rows)
+            near = one.apart(every, every, other) <= most_apart(*n)
+            near &= PER_CENT * np.maximum(*n) <= 100 * np.minimum(*n)
+            yield batch.select(["a", "b"]).filter(pa.array(near)).cast(schema)
+
     return (
-        pairs.join(side[0], "a").join(side[1], "b")
-        .where(_bits_apart("bits_a", "bits_b") <= _near("n_a", "n_b"))
-        .select("a", "b")
-    )
+        pairs.join(side[0], "a")
+        .join(side[1], "b")
+        .select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+        .mapInArrow(kept, "a long, b long")
+    )
 
 
 def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
-    """Pairs that are linked, verified on whole sets, which are built anew for the documents that matter."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = nodes.join(wanted, "node").select("first_id").distinct()
+    """Pairs that are linked, verified on the whole sets of their texts.
+
+    Texts, which take less room than their sets, are brought together; only those of the
+    pairs are.
+    """
+    wanted = materialized(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    chosen = nodes.join(wanted, "node").select(F.col("first_id").alias("doc_id")).distinct()
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted, chosen = F.broadcast(wanted), F.broadcast(chosen)
+    same_id = docs["doc_id"].eqNullSafe(chosen["doc_id"])
 
-    def build(batches):
+    def named(batches):
         for batch in batches:
             sets = shingle_sets(batch["text"])
-            yield {
-                "node": [fingerprint(s, seed) for s in sets],
-                "shingles": [s.view(np.int64) for s in sets],
-            }
+            yield {"node": [fingerprint(s, seed) for s in sets], "text": batch["text"]}
 
-    sets = (
-        docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["first_id"]), "left_semi")
+    texts = (
+        docs.join(chosen, same_id, "left_semi")
         .select("text")
-        .transform(batchwise(build, "node long, shingles array<long>"))
-        .join(wanted, "node")
-        .dropDuplicates(["node"])
+        .transform(batchwise(named, "node long, text string"))
+        .join(wanted, "node", "left_semi")
     )
-    sets = materialized(sets)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(batches):
+        known, held = None, None
         for batch in batches:
-            keep = [
-                _similar(x.values.to_numpy(), y.values.to_numpy())
-                for x, y in zip(batch.column("x"), batch.column("y"))
-            ]
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], schema=schema)
+            rows = {"a": [], "b": []}
+            for a, b, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"]):
+                if a != known:
+                    known, held = a, shingle_sets([x])[0]
+                if _similar(held, shingle_sets([y])[0]):
+                    rows["a"].append(a)
+                    rows["b"].append(b)
+            yield rows
 
     return (
-        pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         .select("a", "b", "x", "y")
-        .mapInArrow(verify, "a long, b long")
+        .transform(batchwise(verify, "a long, b long"))
+        .distinct()
     )
 
 
@@ -411,7 +450,7 @@ def _similar(one: np.ndarray, other: np.ndarray) -> bool:
     return 100 * both >= PER_CENT * (len(one) + len(other) - both)
 
 
-def across(lists: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
+def across(lists: DataFrame, named: DataFrame, nodes: DataFrame, tasks: int) -> DataFrame:
     """Pairs of a list's members in different components, as far as sizes and bitmaps allow.
 
     Lists within one component have nothing to add.  Others are compared in blocks.
@@ -427,32 +466,37 @@ def across(lists: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
         .where("low != high")
         .select("list")
     )
-    compared = in_blocks(
-        members.join(mixed_lists, "list").distinct().join(nodes.select("node", "n", "bits"), "node"),
-        ["list"],
-        "node",
-        BLOCK,
+    members = members.join(mixed_lists, "list").distinct()
+    compared = (
+        in_blocks(members, ["list"], "node", BLOCK)
+        .withColumn("block", F.xxhash64("list", "low", "high"))
+        .join(nodes.select("node", "n", "bits"), "node")
+        .withColumn("task", F.pmod("block", F.lit(tasks)))
     )
 
-    def compare(block: pa.Table) -> pa.Table:
-        node, part = block["node"].to_numpy(), block["component"].to_numpy()
-        size, side = block["n"].to_numpy().astype(np.int64), block["side"].to_numpy()
-        bits = block["bits"].combine_chunks().flatten().to_numpy().reshape(-1, BITMAP).view(np.uint64)
-        diagonal = block["low"][0].as_py() == block["high"][0].as_py()
-        a, b = [], []
-        for i in range(len(node)):
-            j = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
-            if not diagonal:
-                j = j[side[j] != side[i]]
-            j = j[PER_CENT * np.maximum(size[i], size[j]) <= 100 * np.minimum(size[i], size[j])]
-            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            j = j[apart <= most_apart(size[i], size[j])]
-            a += [node[i]] * len(j)
-            b += node[j].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    found = compared.groupBy("list", "low", "high").applyInArrow(compare, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().sort_by("block")
+        block, node = rows["block"].to_numpy(), rows["node"].to_numpy()
+        part, size = rows["component"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
+        side, diagonal = rows["side"].to_numpy(), rows["low"].to_numpy() == rows["high"].to_numpy()
+        bits = Bitmaps(rows["bits"].combine_chunks())
+        found = []
+        # Rows that are so many places apart, all blocks at a time.
+        for step in range(1, len(node)):
+            i = np.flatnonzero(block[step:] == block[:-step])
+            if not len(i):
+                break
+            j = i + step
+            near = (part[i] != part[j]) & (diagonal[i] | (side[i] != side[j]))
+            near &= PER_CENT * np.maximum(size[i], size[j]) <= 100 * np.minimum(size[i], size[j])
+            i, j = i[near], j[near]
+            near = bits.apart(i, j) <= most_apart(size[i], size[j])
+            a, b = node[i[near]], node[j[near]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return compared.groupBy("task").applyInArrow(compare, "a long, b long").distinct()
 
 
 def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -481,7 +525,7 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             F.first("n").alias("n"), F.min("doc_id").alias("first_id"), F.first("bits").alias("bits")
         )
     )
-    total = nodes.agg(F.sum("n")).first()[0] or 0
+    many, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     met = materialized(meetings(posted_keys(texts, seed, max(8, total // BUCKET_KEYS))))
     lists = met.where("list IS NOT NULL").select("list", "members")
     pairs = (
@@ -490,9 +534,8 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .groupBy("a", "b")
         .agg(F.sum("times").alias("times"))
     )
-    candidates = materialized(
-        not_far(pairs, nodes).join(pairs, ["a", "b"])
-    )
+    pairs = materialized(pairs)
+    candidates = materialized(not_far(pairs, nodes).join(pairs, ["a", "b"]))
     # First each set with the one that it met most often.
     often = F.struct(F.col("times"), F.col("a"), F.col("b"))
     best = (
@@ -506,7 +549,7 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     apart = F.coalesce("in_a", "a") != F.coalesce("in_b", "b")
     rest = candidates.join(part["a"], "a", "left").join(part["b"], "b", "left").where(apart).select("a", "b")
     second = linked(
-        materialized(rest.union(across(lists, named, nodes)).distinct().join(best, ["a", "b"], "left_anti")),
+        materialized(rest.union(across(lists, named, nodes, max(8, many // COMPARED))).distinct().join(best, ["a", "b"], "left_anti")),
         texts,
         nodes,
         seed,
