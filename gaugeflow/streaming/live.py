@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.moments import epoch_millis
 from gaugeflow.functions.text import text_or_null
+from gaugeflow.streaming import tables
 
 # Read-only command names and what they feed.
 COMMAND_GAUGES = {
@@ -60,8 +61,9 @@ def live_readings_to_samples(readings: DataFrame, delay: str = "10 minutes") ->
     """One sample per (session, poll time).  A gauge without an answer stays NULL.
 
     On a stream, rows later than ``delay`` behind the newest reading are outside
-    the watermark and a sample is released once the watermark passes it.  The key is
-    (session, ts), so one long session spreads over all tasks.
+    the watermark and a sample is released once the watermark passes it; where readings
+    may be later than any delay, use ``stream_samples``.  The key is (session, ts), so one
+    long session spreads over all tasks.
     """
     # Watermarks have millisecond precision, so the event time is cut to that; the
     # exact poll time stays in the key.
@@ -82,6 +84,30 @@ def live_readings_to_samples(readings: DataFrame, delay: str = "10 minutes") ->
     )
 
 
+def stream_samples(readings: DataFrame, root: str) -> None:
+    """Drain a stream of readings into parts of samples; no reading is too late.
+
+    Each micro-batch stores one row per (session, poll time) that it has readings of, and
+    ``read_samples`` puts the parts of a poll together.
+    """
+    tables.drain(
+        readings,
+        lambda df, k: tables.put(live_readings_to_samples(df), root, "samples", k),
+        f"{root}/progress/samples",
+    )
+
+
+def read_samples(spark: SparkSession, root: str) -> DataFrame:
+    """One sample per (session, poll time); ``parts`` above 1 tells that readings came late."""
+    gauges = list(COMMAND_GAUGES.values())
+    schema = "session_id BIGINT, ts TIMESTAMP_NTZ, " + ", ".join(f"{g} DOUBLE" for g in gauges)
+    return (
+        tables.read(spark, root, "samples", schema)
+        .groupBy("session_id", "ts")
+        .agg(*[F.max(g).alias(g) for g in gauges], F.count(F.lit(1)).alias("parts"))
+    )
+
+
 def live_readings_to_faults(readings: DataFrame) -> DataFrame:
     """Fault rows: stored codes and current (pending) codes."""
     status = F.when(F.col("command") == "GET_DTC", "stored").otherwise("pending")

@@ -1,4 +1,8 @@
-"""Session scores that follow the stream: additive counts per micro-batch."""
+"""Session scores that follow the stream.
+
+Each micro-batch adds its counts per session to plain tables.  Counts add up whatever the
+order of rows, and a repeated batch overwrites its own, so nothing else has to be kept.
+"""
 
 from __future__ import annotations
 
@@ -13,85 +17,56 @@ from gaugeflow.operators.deviation import (
     sample_summary,
     score_from_parts,
 )
-from gaugeflow.streaming import state
-
-_DEVIATION = (
-    "session_id BIGINT, metric STRING, context STRING, sample_count BIGINT, "
-    "out_of_range_samples BIGINT"
-)
-_SUMMARY = (
-    "session_id BIGINT, telemetry_samples BIGINT, started_at TIMESTAMP_NTZ, ended_at TIMESTAMP_NTZ"
-)
-_FAULTS = "session_id BIGINT, dtc_count BIGINT, dtc_points DECIMAL(38,12)"
-
-
-def _sum_deviation(df: DataFrame) -> DataFrame:
-    return df.groupBy("session_id", "metric", "context").agg(
-        F.sum("sample_count").alias("sample_count"),
-        F.sum("out_of_range_samples").alias("out_of_range_samples"),
-    )
-
-
-def _sum_summary(df: DataFrame) -> DataFrame:
-    return df.groupBy("session_id").agg(
-        F.sum("telemetry_samples").alias("telemetry_samples"),
-        F.min("started_at").alias("started_at"),
-        F.max("ended_at").alias("ended_at"),
-    )
-
-
-def _sum_faults(df: DataFrame) -> DataFrame:
+from gaugeflow.streaming import tables
+
+_SCHEMAS = {
+    "faults": "session_id BIGINT, dtc_count BIGINT, dtc_points DECIMAL(38,12)",
+    "deviation": (
+        "session_id BIGINT, metric STRING, context STRING, sample_count BIGINT, "
+        "out_of_range_samples BIGINT"
+    ),
+    "summary": (
+        "session_id BIGINT, telemetry_samples BIGINT, started_at TIMESTAMP_NTZ, ended_at TIMESTAMP_NTZ"
+    ),
+}
+
+
+def _totals(name: str, df: DataFrame) -> DataFrame:
+    if name == "deviation":
+        return df.groupBy("session_id", "metric", "context").agg(
+            *[F.sum(c).alias(c) for c in ("sample_count", "out_of_range_samples")]
+        )
+    if name == "summary":
+        return df.groupBy("session_id").agg(
+            F.sum("telemetry_samples").alias("telemetry_samples"),
+            F.min("started_at").alias("started_at"),
+            F.max("ended_at").alias("ended_at"),
+        )
     return df.groupBy("session_id").agg(
         F.sum("dtc_count").alias("dtc_count"),
         F.sum("dtc_points").cast("decimal(38,12)").alias("dtc_points"),
     )
 
 
-def add_samples(
-    batch: DataFrame,
-    batch_id: int,
-    root: str,
-    sessions: DataFrame,
-    bands: DataFrame,
-    every: int = state.SNAPSHOT_EVERY,
-) -> None:
-    """Store the batch's counts; they add up over batches."""
-    counts = deviation_counts(batch, sessions, bands)
-    state.put_state(counts, root, "deviation", _DEVIATION, batch_id, _sum_deviation, every)
-    summary = sample_summary(batch)
-    state.put_state(summary, root, "summary", _SUMMARY, batch_id, _sum_summary, every)
-
-
-def add_faults(
-    batch: DataFrame,
-    batch_id: int,
-    root: str,
-    config: ScoreConfig = ScoreConfig(),
-    every: int = state.SNAPSHOT_EVERY,
-) -> None:
-    points = _sum_faults(fault_points(batch, config))
-    state.put_state(points, root, "faults", _FAULTS, batch_id, _sum_faults, every)
-
-
 def current_scores(
     spark: SparkSession,
     root: str,
     sessions: DataFrame,
     config: ScoreConfig = ScoreConfig(),
     only: DataFrame | None = None,
-    every: int = state.SNAPSHOT_EVERY,
 ) -> DataFrame:
     """Scores from all stored counts, for all sessions or those in ``only``."""
 
-    def stored(name: str, schema: str) -> DataFrame:
-        df = state.get(spark, root, name, schema, every=every)
-        return df if only is None else df.join(only.select("session_id"), "session_id", "left_semi")
+    def totals(name: str) -> DataFrame:
+        df = tables.read(spark, root, name, _SCHEMAS[name])
+        if only is not None:
+            df = df.join(only, "session_id", "left_semi")
+        return _totals(name, df)
 
-    deviation = _sum_deviation(stored("deviation", _DEVIATION))
-    summary = _sum_summary(stored("summary", _SUMMARY))
-    faults = _sum_faults(stored("faults", _FAULTS))
     wanted = sessions if only is None else sessions.join(only, "session_id", "left_semi")
-    return score_from_parts(wanted, metric_points(deviation, config), faults, summary, config)
+    return score_from_parts(
+        wanted, metric_points(totals("deviation"), config), totals("faults"), totals("summary"), config
+    )
 
 
 def stream_session_score(
@@ -102,28 +77,30 @@ def stream_session_score(
     root: str,
     config: ScoreConfig = ScoreConfig(),
 ) -> None:
-    """Drain both streams; after each sample batch write new scores of its sessions.
+    """Drain both streams into counts under ``root``.
 
-    ``{root}/scores/batch=k`` holds the refreshed scores of batch k, and
-    ``current_scores`` gives all of them.
+    Every batch of either stream also writes the new scores of the sessions that it
+    touched, to ``{root}/scores/{stream}/batch=k``; ``current_scores`` gives those of all.
     """
+    for name, schema in _SCHEMAS.items():
+        tables.create(samples.sparkSession, root, name, schema)
 
-    def on_samples(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        add_samples(batch, batch_id, root, sessions, bands)
+    def refresh(batch: DataFrame, batch_id: int, name: str) -> None:
         touched = batch.select("session_id").distinct()
         scores = current_scores(batch.sparkSession, root, sessions, config, touched)
-        state.put(scores, root, "scores", batch_id)
+        tables.put(scores, f"{root}/scores", name, batch_id)
+
+    def add_samples(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        tables.put(deviation_counts(batch, sessions, bands), root, "deviation", batch_id)
+        tables.put(sample_summary(batch), root, "summary", batch_id)
+        refresh(batch, batch_id, "samples")
         batch.unpersist()
 
-    for name, stream, handler in (
-        ("faults", faults, lambda df, k: add_faults(df, k, root, config)),
-        ("samples", samples, on_samples),
-    ):
-        (
-            stream.writeStream.foreachBatch(handler)
-            .option("checkpointLocation", f"{root}/progress/{name}")
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
+    def add_faults(batch: DataFrame, batch_id: int) -> None:
+        points = fault_points(batch, config)
+        tables.put(_totals("faults", points), root, "faults", batch_id)
+        refresh(batch, batch_id, "faults")
+
+    tables.drain(faults, add_faults, f"{root}/progress/faults")
+    tables.drain(samples, add_samples, f"{root}/progress/samples")

@@ -1,76 +1,59 @@
-"""Rolling fuel trim that follows the stream."""
+"""Rolling fuel trim that follows the stream, whatever the order of rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.rounding import with_rounded
 from gaugeflow.operators.ordered import rolling
 from gaugeflow.operators.trends import ROWS_BEFORE
-from gaugeflow.streaming import state
+from gaugeflow.streaming import tables
 
 _ROW = "session_id BIGINT, sample_id BIGINT, ts TIMESTAMP_NTZ, ltft_b1_pct DOUBLE"
 _COLUMNS = ("session_id", "sample_id", "ts", "ltft_b1_pct")
 
 
-def _newest(tails: DataFrame) -> DataFrame:
-    """The rows each session stored last."""
-    last = tails.groupBy("session_id").agg(F.max("batch").alias("batch"))
-    return tails.join(last, ["session_id", "batch"], "left_semi").select(*_COLUMNS)
+def add_trim_batch(batch: DataFrame, batch_id: int, root: str, scale: int = 2) -> None:
+    """Store a micro-batch and write the means that it changes.
 
-
-def add_trim_batch(
-    batch: DataFrame,
-    batch_id: int,
-    root: str,
-    scale: int = 2,
-    every: int = state.SNAPSHOT_EVERY,
-) -> None:
-    """Extend the trend by one micro-batch.
-
-    State is the last 30 rows of each session, stored for the sessions a batch
-    touches.  Rows older than their session's stored rows would change means that
-    are already written; they go to ``{root}/late`` for a batch repair and are not
-    lost.
+    Those are the means of each touched session from its earliest new row on.  They are
+    computed from all its stored rows from there on and the 30 rows before, so rows may come
+    in any order and a repeated batch writes the same.
     """
     spark = batch.sparkSession
-    slim = batch.select(*_COLUMNS).persist()
-    touched = slim.select("session_id").distinct()
-    tails = state.get(spark, root, "tail", _ROW, batch_id, every)
-    kept = _newest(tails.join(touched, "session_id", "left_semi"))
+    tables.put(batch.select(*_COLUMNS), root, "rows", batch_id)
+    stored = tables.read(spark, root, "rows", _ROW).filter(F.col("batch") <= batch_id)
     place = F.struct("ts", "sample_id")
-    reached = kept.groupBy("session_id").agg(F.max(place).alias("_reached"))
-    placed = slim.join(reached, "session_id", "left")
-    is_late = F.col("_reached").isNotNull() & (place <= F.col("_reached"))
-    state.put(placed.filter(is_late).select(*_COLUMNS), root, "late", batch_id)
-
-    rows = placed.filter(~is_late).select(*_COLUMNS, F.lit(False).alias("_old")).unionByName(
-        kept.withColumn("_old", F.lit(True))
+    since = (
+        stored.filter(F.col("batch") == batch_id)
+        .groupBy("session_id")
+        .agg(F.min(place).alias("_since"))
     )
+    touched = stored.join(since, "session_id").withColumn("_changed", place >= F.col("_since"))
+    back = Window.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("sample_id"))
+    before = (
+        touched.filter(~F.col("_changed"))
+        .withColumn("_back", F.row_number().over(back))
+        .filter(F.col("_back") <= ROWS_BEFORE)
+    )
+    columns = [*_COLUMNS, "_changed"]
+    rows = touched.filter("_changed").select(*columns).unionByName(before.select(*columns))
     rolled = rolling(
         rows, ("session_id",), ("ts", "sample_id"), ROWS_BEFORE, {"ltft_30s": F.avg("ltft_b1_pct")}
     )
-    fresh = with_rounded(rolled.filter(~F.col("_old")), {"ltft_30s": "ltft_30s"}, scale)
-    state.put(fresh.select(*_COLUMNS, "ltft_30s"), root, "trend", batch_id)
-    back = Window.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("sample_id"))
-    tail = rows.withColumn("_back", F.row_number().over(back)).filter(
-        F.col("_back") <= ROWS_BEFORE
-    )
-    state.put_state(tail.select(*_COLUMNS), root, "tail", _ROW, batch_id, _newest, every)
-    slim.unpersist()
+    fresh = with_rounded(rolled.filter("_changed"), {"ltft_30s": "ltft_30s"}, scale)
+    tables.put(fresh.select(*_COLUMNS, "ltft_30s"), root, "trend", batch_id)
 
 
 def stream_rolling_trim(samples: DataFrame, root: str, scale: int = 2) -> None:
     """Drain the stream into ``{root}/trend``."""
-    (
-        samples.writeStream.foreachBatch(lambda df, k: add_trim_batch(df, k, root, scale))
-        .option("checkpointLocation", f"{root}/progress/trim")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
+    tables.drain(
+        samples, lambda df, k: add_trim_batch(df, k, root, scale), f"{root}/progress/trim"
     )
 
 
-def read_trend(spark, root: str) -> DataFrame:
-    return state.get_all(spark, root, "trend", f"{_ROW}, ltft_30s DOUBLE").drop("batch")
+def read_trend(spark: SparkSession, root: str) -> DataFrame:
+    """The newest mean of every row."""
+    written = tables.read(spark, root, "trend", f"{_ROW}, ltft_30s DOUBLE")
+    return tables.newest(written, ("session_id", "sample_id")).select(*_COLUMNS, "ltft_30s")

@@ -668,11 +668,18 @@ def write_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    """Events in three files, one micro-batch each; every seventh event comes a file late."""
+    folder = V.scratch(spark, "event-stream")
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    third = F.floor(V.day_of(F.col("ts")) / 10) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    for part in range(3):
+        ev.filter(F.least(third, F.lit(2)) == part).write.parquet(f"{folder}/{part}")
     raw = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
+        spark.readStream.schema(ev.schema)
+        .option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.parquet")
+        .parquet(folder)
     )
     return V.with_k(raw)
 
@@ -707,21 +714,21 @@ def missing_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, progress = V.scratch(spark, "stream-samples"), V.scratch(spark, "progress")
-    samples = live.live_readings_to_samples(
-        V.readings_of(_event_stream(spark, sf_dir)), delay="0 seconds"
-    )
-    live.run_to_parquet(samples, out, progress)
-    return spark.read.parquet(out)
+    """Readings in three batches, some of them ten days late."""
+    root = V.scratch(spark, "stream-samples")
+    live.stream_samples(V.readings_of(_event_stream(spark, sf_dir)), root)
+    return live.read_samples(spark, root).drop("parts")
 
 
 @query
 def stream_dtc_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delay covers the ten days that an event may be late."""
     out, progress = V.scratch(spark, "stream-faults"), V.scratch(spark, "progress")
     pairs = correlation.stream_dtc_correlation(
         V.faults_of(_event_stream(spark, sf_dir)),
         V.samples_of(_event_stream(spark, sf_dir)),
         HALF_WINDOW,
+        delay="21 days",
     )
     live.run_to_parquet(pairs, out, progress)
     return spark.read.parquet(out)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fixtures import rows_of
 from gaugeflow.operators import deviation, faults, trends
-from gaugeflow.streaming import correlation, live, score, state, trim
+from gaugeflow.streaming import correlation, live, score, tables, trim
 
 START = datetime(2026, 1, 1)
 SAMPLE = (
@@ -27,7 +27,7 @@ def _same(a, b):
 
 
 @pytest.fixture(scope="module")
-def tables(spark):
+def tables_(spark):
     rng = random.Random(8)
     rows, events = [], []
     for i in range(400):
@@ -40,13 +40,16 @@ def tables(spark):
 
 
 def _replay(spark, df, folder, parts=3):
-    """The rows in time order as one file per micro-batch."""
+    """One file per micro-batch: roughly in time order, every fifth row a batch late."""
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(
+        F.lit(str(START)).cast("timestamp_ntz").cast("timestamp")
+    )
+    part_of = F.least(
+        F.floor(seconds / 55) + F.when(F.pmod(F.xxhash64(*df.columns), F.lit(5)) == 0, 1).otherwise(0),
+        F.lit(parts - 1),
+    )
     for part in range(parts):
-        low, high = (
-            F.lit(str(START + timedelta(seconds=55 * n))).cast("timestamp_ntz") for n in (part, part + 1)
-        )
-        chosen = df.filter((F.col("ts") >= low) & (F.col("ts") < high))
-        chosen.coalesce(1).write.parquet(f"{folder}/p{part}")
+        df.filter(part_of == part).coalesce(1).write.parquet(f"{folder}/p{part}")
     return (
         spark.readStream.schema(df.schema)
         .option("maxFilesPerTrigger", 1)
@@ -66,49 +69,30 @@ def dims(spark):
     return sessions, bands
 
 
-def test_trim_stream(spark, tables, tmp_path):
-    samples, _ = tables
+def test_trim_stream(spark, tables_, tmp_path):
+    samples, _ = tables_
     root = str(tmp_path / "state")
     trim.stream_rolling_trim(_replay(spark, samples, tmp_path / "in"), root)
     assert _same(trim.read_trend(spark, root), trends.fuel_trim_drift(samples))
-    kept = state.get(spark, root, "tail", trim._ROW)
-    assert kept.groupBy("session_id", "batch").count().agg(F.max("count")).first()[0] <= 30
+    assert tables.read(spark, root, "rows", trim._ROW).select("batch").distinct().count() == 3
 
 
-def test_snapshots_give_the_same_state(spark, tables, dims, tmp_path):
-    samples, events = tables
-    sessions, bands = dims
+def test_late_rows_change_the_means_after_them(spark, tmp_path):
+    rows = [(i, 1, START + timedelta(seconds=i), float(i * i)) for i in range(4)]
+    samples = spark.createDataFrame(
+        rows, "sample_id BIGINT, session_id BIGINT, ts TIMESTAMP_NTZ, ltft_b1_pct DOUBLE"
+    )
     root = str(tmp_path / "state")
-    parts = [
-        samples.filter((F.col("sample_id") >= n * 80) & (F.col("sample_id") < n * 80 + 80))
-        for n in range(5)
+    trim.add_trim_batch(samples.filter("sample_id IN (0, 2)"), 0, root)
+    trim.add_trim_batch(samples.filter("sample_id IN (1, 3)"), 1, root)
+    trim.add_trim_batch(samples.filter("sample_id IN (1, 3)"), 1, root)
+    assert rows_of(trim.read_trend(spark, root), "sample_id", "ltft_30s") == [
+        (0, 0.0), (1, 0.5), (2, 1.67), (3, 3.5),
     ]
-    for n, part in enumerate(parts):
-        trim.add_trim_batch(part, n, root, every=2)
-        score.add_samples(part, n, root, sessions, bands, every=2)
-        found = events.filter((F.col("dtc_id") >= n * 80) & (F.col("dtc_id") < n * 80 + 80))
-        score.add_faults(found, n, root, every=2)
-    assert _same(trim.read_trend(spark, root), trends.fuel_trim_drift(samples))
-    assert state.get(spark, root, "tail", trim._ROW, every=2).select("batch").distinct().count() == 1
-    batch = deviation.session_health_score(sessions, samples, events, bands)
-    assert _same(score.current_scores(spark, root, sessions, every=2), batch)
 
 
-def test_trim_batches_can_repeat_and_late_rows_are_kept(spark, tables, tmp_path):
-    samples, _ = tables
-    root = str(tmp_path / "state")
-    cut = F.lit(str(START + timedelta(seconds=80))).cast("timestamp_ntz")
-    early, later = samples.filter(F.col("ts") < cut), samples.filter(F.col("ts") >= cut)
-    trim.add_trim_batch(early, 0, root)
-    trim.add_trim_batch(later, 1, root)
-    trim.add_trim_batch(later, 1, root)
-    assert _same(trim.read_trend(spark, root), trends.fuel_trim_drift(samples))
-    trim.add_trim_batch(early.limit(5), 2, root)
-    assert state.get_all(spark, root, "late", trim._ROW).count() == 5
-
-
-def test_score_stream(spark, tables, dims, tmp_path):
-    samples, events = tables
+def test_score_stream(spark, tables_, dims, tmp_path):
+    samples, events = tables_
     sessions, bands = dims
     root = str(tmp_path / "state")
     score.stream_session_score(
@@ -120,12 +104,24 @@ def test_score_stream(spark, tables, dims, tmp_path):
     )
     batch = deviation.session_health_score(sessions, samples, events, bands)
     assert _same(score.current_scores(spark, root, sessions), batch)
-    batches = spark.read.parquet(f"{root}/scores").select("batch").distinct().count()
-    assert batches == 3
+    assert spark.read.parquet(f"{root}/scores/samples").select("batch").distinct().count() == 3
 
 
-def test_correlation_stream(spark, tables, tmp_path):
-    samples, events = tables
+def test_faults_alone_refresh_scores(spark, tables_, dims, tmp_path):
+    samples, events = tables_
+    sessions, bands = dims
+    root = str(tmp_path / "state")
+    few = events.filter("dtc_id < 40")
+    stream = _replay(spark, few, tmp_path / "f", parts=1)
+    empty = _replay(spark, samples.limit(0), tmp_path / "s", parts=1)
+    score.stream_session_score(empty, stream, sessions, bands, root)
+    refreshed = spark.read.parquet(f"{root}/scores/faults")
+    assert rows_of(refreshed, "session_id") == rows_of(few.select("session_id").distinct(), "session_id")
+    assert refreshed.filter("health_score < 100").count() == refreshed.count() > 0
+
+
+def test_correlation_stream(spark, tables_, tmp_path):
+    samples, events = tables_
     pairs = correlation.stream_dtc_correlation(
         _replay(spark, events, tmp_path / "f"), _replay(spark, samples, tmp_path / "s"), 5
     )
@@ -176,11 +172,12 @@ def test_live_capture(spark, readings, tmp_path):
         (1, START + timedelta(seconds=2), "TESTVIN1234567890"),
         (2, START, "KEPT"),
     ]
-    stream = live.live_readings_to_samples(
-        _replay(spark, readings, tmp_path / "in", parts=1), delay="0 seconds"
-    )
-    live.run_to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "progress"))
-    assert _same(spark.read.parquet(str(tmp_path / "out")), samples)
+    root = str(tmp_path / "live")
+    # A poll's readings in two batches.
+    live.stream_samples(_replay(spark, readings, tmp_path / "in", parts=2), root)
+    got = live.read_samples(spark, root)
+    assert _same(got.drop("parts"), samples)
+    assert got.filter("parts > 1").count() > 0
 
 
 def test_guard(readings):
