@@ -50,6 +50,20 @@ def clamp(col: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), col))
 
 
+def whole_score(text: Column) -> Column:
+    """A score's text as a whole number, halves up; text that is no number stays as it is."""
+    value = text.try_cast("double")
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    return F.when(finite, F.floor(value + F.lit(0.5)).cast("string")).otherwise(text)
+
+
+def whole_width(text: Column) -> Column:
+    """The same as a width, ``0%`` for text that is no number."""
+    value = text.try_cast("double")
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    return F.when(finite, F.concat(whole_score(text), F.lit("%"))).otherwise(F.lit("0%"))
+
+
 def clean_source_file(col: Column) -> Column:
     """Keep up to the first ``.csv``; failing that, up to the first ``;``."""
     text = F.btrim(col, F.lit(_BLANKS))

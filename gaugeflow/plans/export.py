@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +13,33 @@ from gaugeflow.config import ScoreConfig
 from gaugeflow.functions.text import iso_text
 from gaugeflow.operators import sessions as dim
 from gaugeflow.operators.faults import dtc_evidence_panel
-from gaugeflow.operators.ordered import keep_keys
+from gaugeflow.operators.ordered import keep_keys, shared_folder
 from gaugeflow.operators.profile import profile_arrays
 from gaugeflow.operators.sessions import session_focus
 from gaugeflow.operators.trends import airflow_points, airflow_trend
 from gaugeflow.functions.text import decimal_text, percent_text
-from gaugeflow.plans.report import TEXT_DTC_ROWS, TEXT_NO_DTC, Facts, compute_facts, trace_id
+from gaugeflow.plans.report import (
+    TEXT_DTC_ROWS,
+    TEXT_NO_DTC,
+    Facts,
+    build_findings,
+    compute_facts,
+    replace_findings,
+    trace_id,
+)
 from gaugeflow.schema import SCHEMAS, Fleet, conform
 
+# Texts beside the dashboard's panels.
+HEALTH_GUIDE = "Composite SQL score for the selected session."
+TREND_GUIDE = (
+    "Grams of air per second (mass air flow). "
+    "Bars show a rolling SQL average over the logged drive."
+)
+FAULT_GUIDE = (
+    "OBD-II trouble codes logged during the drive. "
+    "None logged means no code was stored in this public file."
+)
+
 # Exported tables, their columns and row order.
 HEALTH_COLUMNS = (
     "dtc_count",
@@ -85,9 +105,22 @@ def public_fleet(fleet: Fleet) -> Fleet:
     )
 
 
+def stored_public_fleet(fleet: Fleet) -> Fleet:
+    """The public tables with their samples written once, in (session, time) order.
+
+    All exports read the samples several times; here the semi-join runs once.
+    """
+    public = public_fleet(fleet)
+    spark = fleet.drive_sessions.sparkSession
+    path = f"{shared_folder(spark)}/public-samples-{uuid.uuid4().hex}"
+    clustered = public.telemetry_samples.repartitionByRange(*EXPORT_ORDER["telemetry_samples"])
+    clustered.sortWithinPartitions(*EXPORT_ORDER["telemetry_samples"]).write.parquet(path)
+    return replace(public, telemetry_samples=spark.read.parquet(path))
+
+
 def bi_tables(fleet: Fleet, config: ScoreConfig = ScoreConfig(), **options) -> dict[str, DataFrame]:
     """The twelve tables of the BI pack, public sessions only."""
-    public = public_fleet(fleet)
+    public = stored_public_fleet(fleet)
     facts = compute_facts(public, config, keep=True, **options)
     return {
         "vehicles": public.vehicles,
@@ -187,14 +220,73 @@ def session_views(
 
 
 def export_session_views(
-    fleet: Fleet, out: str, config: ScoreConfig = ScoreConfig(), mode: str = "errorifexists", **options
+    fleet: Fleet,
+    out: str,
+    config: ScoreConfig = ScoreConfig(),
+    mode: str = "errorifexists",
+    run_id: str | None = None,
+    **options,
 ) -> None:
-    """JSON lines, one public session per line."""
-    facts = compute_facts(fleet, config, keep=True, **options)
-    views = session_views(fleet, facts, scale=options.get("scale", 2))
+    """JSON lines, one public session per line.
+
+    ``run_id`` is the one that the sessions' findings were built with; their trace ids
+    are the same then.
+    """
+    public = stored_public_fleet(fleet)
+    facts = compute_facts(public, config, keep=True, **options)
+    views = session_views(public, facts, run_id, scale=options.get("scale", 2))
     views.write.mode(mode).option("ignoreNullFields", False).json(out)
 
 
+def dashboard_index(fleet: Fleet, facts: Facts) -> dict[str, DataFrame]:
+    """What a dashboard shows around the session views, one table each.
+
+    ``index`` has the session to open first (no row if none is public), ``sessions`` the
+    list to choose from, ``entries`` and ``records`` where the data come from.
+    """
+    public = fleet.drive_sessions.filter(F.col("source") == "public")
+    first = dim.default_session(public, facts.scores, fleet.telemetry_samples)
+    return {
+        "index": first.select(
+            F.col("session_id").alias("defaultSessionId"),
+            F.lit(HEALTH_GUIDE).alias("healthGuide"),
+            F.lit(TREND_GUIDE).alias("trendGuide"),
+            F.lit(FAULT_GUIDE).alias("faultGuide"),
+        ),
+        "sessions": dim.session_list(public, fleet.vehicles, facts.scores, facts.rollup),
+        "entries": dim.public_source_entries(public),
+        "records": dim.provenance_records(public, fleet.vehicles),
+    }
+
+
+def export_dashboard(
+    fleet: Fleet,
+    out: str,
+    config: ScoreConfig = ScoreConfig(),
+    mode: str = "errorifexists",
+    run_id: str | None = None,
+    first_finding_id: int = 1,
+    **options,
+) -> None:
+    """Renew the findings of the public sessions and write them, the views and the index.
+
+    ``{out}/findings`` (Parquet) holds the fleet's findings with the public sessions' own
+    renewed, ``{out}/views`` the session views with the trace ids of those findings, and
+    ``{out}/index``, ``sessions``, ``entries``, ``records`` the tables around them.
+    """
+    run_id = run_id or uuid.uuid4().hex
+    public = stored_public_fleet(fleet)
+    facts = compute_facts(public, config, keep=True, **options)
+    fresh = build_findings(public, facts, run_id, first_finding_id)
+    write_findings(replace_findings(fleet.findings, fresh), f"{out}/findings")
+    lines = {
+        "views": session_views(public, facts, run_id, scale=options.get("scale", 2)),
+        **dashboard_index(public, facts),
+    }
+    for name, frame in lines.items():
+        frame.write.mode(mode).option("ignoreNullFields", False).json(f"{out}/{name}")
+
+
 def write_findings(findings: DataFrame, path: str) -> None:
     """Append findings to a Parquet table."""
     conform(findings, "findings").write.mode("append").parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.config import load_score_config
-from gaugeflow.functions.text import iso_text
+from gaugeflow.functions.text import iso_text, whole_score, whole_width
 from gaugeflow.operators import bands as B
 from gaugeflow.operators import deviation as D
 from gaugeflow.operators import faults as X
@@ -602,6 +602,16 @@ on_fleet(
     ),
 )
 on_fleet("drive_window", lambda f: R.drive_window(_scores(f)))
+on_fleet(
+    "score_display",
+    lambda f: S.session_focus(f.drive_sessions, f.vehicles, *_scored_rollup(f)).select(
+        "session_id",
+        whole_score(F.col("metric_penalty_points")).alias("whole"),
+        whole_width(F.col("metric_penalty_points")).alias("width"),
+        whole_score(F.col("drive_label")).alias("other"),
+        whole_width(F.col("drive_label")).alias("other_width"),
+    ),
+)
 on_fleet("trend_axes", lambda f: R.trend_axes(f.drive_sessions, _points(f)))
 
 
@@ -610,40 +620,88 @@ on_fleet("trend_axes", lambda f: R.trend_axes(f.drive_sessions, _points(f)))
 
 @query
 def export_bi_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the twelve CSV tables and count the rows read back."""
+    """Write the twelve CSV tables and read every cell back.
+
+    One row per filled cell: table, its row's first sort key, column, and value, numbers
+    with ten digits.
+    """
     out = V.scratch(spark, "bi-pack")
     K.export_bi_pack(V.fleet(spark, sf_dir), out, half_window=HALF_WINDOW, scale=SCALE)
+    number = r"^-?\d+\.\d+([eE]-?\d+)?$"
     result = None
-    for name in K.EXPORT_ORDER:
-        part = (
-            spark.read.option("header", True)
-            .csv(f"{out}/{name}")
-            .agg(F.count(F.lit(1)).alias("exported_rows"))
-            .select(F.lit(name).alias("name"), "exported_rows")
+    for name, order in K.EXPORT_ORDER.items():
+        table = spark.read.option("header", True).option("escape", '"').csv(f"{out}/{name}")
+        cells = table.withColumn("_key", F.col(order[0])).unpivot("_key", table.columns, "field", "value")
+        plain = F.col("value").cast("double").cast("decimal(38,10)").cast("string")
+        part = cells.filter(F.col("value").isNotNull()).select(
+            F.lit(name).alias("name"),
+            F.col("_key").alias("row_key"),
+            "field",
+            F.when(F.col("value").rlike(number), plain).otherwise(F.col("value")).alias("value"),
         )
         result = part if result is None else result.unionByName(part)
     return result
 
 
+_PANEL = ("code", "status", "description", "fault_ts", "ts", "rpm", "engine_load_pct", "coolant_temp_c")
+
+
 @query
 def export_session_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the nested JSON views and read their main fields back."""
+    """Write the nested JSON views and read them back, each array as one text."""
+
+    def shown(name: str, *fields: str):
+        entry = F.transform(name, lambda e: F.concat_ws("|", *[e[f] for f in fields]))
+        return F.array_join(entry, "\n").alias(name)
+
     out = V.scratch(spark, "views")
-    K.export_session_views(V.fleet(spark, sf_dir), out, half_window=HALF_WINDOW, scale=SCALE)
+    K.export_session_views(
+        V.fleet(spark, sf_dir), out, run_id="run", half_window=HALF_WINDOW, scale=SCALE
+    )
     views = spark.read.json(out)
     return views.select(
         "session_id",
         F.col("focus.vehicle").alias("vehicle"),
         F.col("focus.health_score").alias("health_score"),
-        F.size("trend").cast("bigint").alias("trend_points"),
-        F.size("dtcEvidence").cast("bigint").alias("evidence_rows"),
-        F.col("healthMatrix")[0]["value"].alias("drive_health"),
-        F.col("healthMatrix")[4]["value"].alias("sensor_balance"),
-        F.col("performanceConcerns")[0]["level"].alias("first_level"),
+        shown("trend", "ts", "speed_kph", "maf_gps", "maf_30s", "height_pct"),
+        shown("dtcEvidence", *_PANEL),
+        shown("healthMatrix", "id", "label", "value"),
+        shown("performanceConcerns", "level", "text"),
+        "agentTraceId",
         "dtcSummary",
     )
 
 
+@query
+def export_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings, views and index written together: their links, read back."""
+    f = V.fleet(spark, sf_dir)
+    out = V.scratch(spark, "dashboard")
+    K.export_dashboard(
+        f, out, first_finding_id=1_000_000_000, half_window=HALF_WINDOW, scale=SCALE
+    )
+    stored = K.read_findings(spark, f"{out}/findings").filter("finding_id >= 1000000000")
+    views = spark.read.json(f"{out}/views").select("session_id", "agentTraceId")
+    lists = {n: spark.read.json(f"{out}/{n}") for n in ("sessions", "entries", "records")}
+    first = spark.read.json(f"{out}/index").select(
+        F.col("defaultSessionId").alias("session_id"), F.lit(True).alias("opens")
+    )
+    return (
+        lists["sessions"]
+        .select("session_id", "vehicle", "drive_label", "health_score", "baseline_width")
+        .join(lists["entries"], "session_id")
+        .join(lists["records"].select("session_id", "dataset_name", "license"), "session_id")
+        .join(views, "session_id")
+        .join(stored.select("session_id", "agent_trace_id"), "session_id")
+        .join(first, "session_id", "left")
+        .select(
+            "session_id", "vehicle", "drive_label", "health_score", "baseline_width", "source_file",
+            "dataset_name", "license", (F.col("agentTraceId") == F.col("agent_trace_id")).alias("traced"),
+            F.coalesce("opens", F.lit(False)).alias("opens"),
+        )
+    )
+
+
 @query
 def write_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append twice, read back."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fixtures import control_fleet, rows_of
 from gaugeflow import load_tables, write_tables
+from gaugeflow.functions.text import whole_score, whole_width
 from gaugeflow.functions.text import clean_source_file, decimal_text, first_number, number_text
 from gaugeflow.operators import sessions
 from gaugeflow.plans import export, report
@@ -197,3 +198,24 @@ def test_bi_pack_and_views(spark, fleet, tmp_path):
     assert len(view["healthMatrix"]) == 5 and len(view["dtcEvidence"]) == 6
     assert len(view["trend"]) == 12 and view["trend"][0]["maf_30s"] == "5.40"
     assert view["dtcSummary"] == report.TEXT_DTC_ROWS and view["agentTraceId"].startswith("agent-")
+
+
+def test_dashboard_traces_its_findings(spark, fleet, tmp_path):
+    out = str(tmp_path / "dashboard")
+    export.export_dashboard(fleet, out, run_id="r9", first_finding_id=50)
+    views = spark.read.json(f"{out}/views")
+    found = export.read_findings(spark, f"{out}/findings").filter("finding_id >= 50")
+    assert rows_of(found, "session_id", "agent_trace_id") == rows_of(views, "session_id", "agentTraceId")
+    assert spark.read.json(f"{out}/index").first()["defaultSessionId"] == 2
+    assert {n: spark.read.json(f"{out}/{n}").count() for n in ("sessions", "entries", "records")} == {
+        "sessions": 1, "entries": 1, "records": 1,
+    }
+
+
+def test_whole_scores(spark):
+    rows = [("88.0",), ("87.5",), ("-0.5",), ("n/a",), ("NaN",), (None,)]
+    df = spark.createDataFrame(rows, "t STRING")
+    got = df.select(whole_score(F.col("t")), whole_width(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [
+        ("88", "88%"), ("88", "88%"), ("0", "0%"), ("n/a", "0%"), ("NaN", "0%"), (None, "0%"),
+    ]
