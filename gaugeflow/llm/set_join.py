@@ -36,9 +36,11 @@ SHINGLE, PER_CENT = 5, 75
 # Bits of the smallest parity bitmap.
 LEAST_BITS = 512
 # Keys that one reducing task handles, and documents that a mapping task gathers at a time.
-BUCKET_KEYS, GATHERED_KEYS = 1_500_000, 1_000_000
+BUCKET_KEYS, GATHERED_KEYS = 800_000, 500_000
 # Sets of one side where a list's members are compared, and sets of the corpus for each such task.
 BLOCK, COMPARED = 1024, 4096
+# Pairs of two components that a task gives to be verified at first.
+FIRST_PAIRS = 8
 
 # -- hashing ------------------------------------------------------------------------------
 
@@ -450,10 +452,14 @@ def _similar(one: np.ndarray, other: np.ndarray) -> bool:
     return 100 * both >= PER_CENT * (len(one) + len(other) - both)
 
 
-def across(lists: DataFrame, named: DataFrame, nodes: DataFrame, tasks: int) -> DataFrame:
+def across(
+    lists: DataFrame, named: DataFrame, nodes: DataFrame, tasks: int, most: int
+) -> DataFrame:
     """Pairs of a list's members in different components, as far as sizes and bitmaps allow.
 
-    Lists within one component have nothing to add.  Others are compared in blocks.
+    Lists within one component have nothing to add.  Others are compared in blocks.  Of
+    two components a task gives the ``most`` pairs with the nearest bitmaps, and ``more``
+    tells that it had others.
     """
     members = (
         lists.select("list", F.explode("members").alias("node"))
@@ -480,7 +486,7 @@ def across(lists: DataFrame, named: DataFrame, nodes: DataFrame, tasks: int) ->
         part, size = rows["component"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
         side, diagonal = rows["side"].to_numpy(), rows["low"].to_numpy() == rows["high"].to_numpy()
         bits = Bitmaps(rows["bits"].combine_chunks())
-        found = []
+        found = [np.zeros((0, 5), np.int64)]
         # Rows that are so many places apart, all blocks at a time.
         for step in range(1, len(node)):
             i = np.flatnonzero(block[step:] == block[:-step])
@@ -490,13 +496,23 @@ def across(lists: DataFrame, named: DataFrame, nodes: DataFrame, tasks: int) ->
             near = (part[i] != part[j]) & (diagonal[i] | (side[i] != side[j]))
             near &= PER_CENT * np.maximum(size[i], size[j]) <= 100 * np.minimum(size[i], size[j])
             i, j = i[near], j[near]
-            near = bits.apart(i, j) <= most_apart(size[i], size[j])
-            a, b = node[i[near]], node[j[near]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return compared.groupBy("task").applyInArrow(compare, "a long, b long").distinct()
+            apart = bits.apart(i, j)
+            near = apart <= most_apart(size[i], size[j])
+            i, j, apart = i[near], j[near], apart[near]
+            sides = [(f(x[i], x[j])) for x in (part, node) for f in (np.minimum, np.maximum)]
+            found.append(np.stack([sides[0], sides[1], apart, sides[2], sides[3]], axis=1))
+        # In order of components and distance, once each.
+        pairs = np.unique(np.concatenate(found), axis=0)
+        first = np.ones(len(pairs), bool)
+        first[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)
+        start = np.flatnonzero(first)
+        rank = np.arange(len(pairs)) - np.repeat(start, np.diff(np.append(start, len(pairs))))
+        kept = rank < most
+        more = np.full(int(kept.sum()), bool((~kept).any()))
+        return pa.table({"a": pairs[kept, 3], "b": pairs[kept, 4], "more": more})
+
+    found = compared.groupBy("task").applyInArrow(compare, "a long, b long, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -543,18 +559,26 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .union(candidates.groupBy("b").agg(F.max(often).alias("p")))
         .select("p.a", "p.b").distinct()
     )
-    first = materialized(linked(materialized(best), texts, nodes, seed))
-    named = components(first)
+    best = materialized(best)
+    links = materialized(linked(best, texts, nodes, seed))
+    named = components(links)
+    # Then the candidates that would join different components.
     part = {x: named.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}")) for x in "ab"}
     apart = F.coalesce("in_a", "a") != F.coalesce("in_b", "b")
     rest = candidates.join(part["a"], "a", "left").join(part["b"], "b", "left").where(apart).select("a", "b")
-    second = linked(
-        materialized(rest.union(across(lists, named, nodes, max(8, many // COMPARED))).distinct().join(best, ["a", "b"], "left_anti")),
-        texts,
-        nodes,
-        seed,
-    )
-    final = components(first.union(second)).join(nodes.select("node", "first_id"), "node")
+    rest = materialized(rest.join(best, ["a", "b"], "left_anti"))
+    links = links.union(materialized(linked(rest, texts, nodes, seed)))
+    # At last the members of lists that still hold several components, the nearest first:
+    # a link joins two components and settles all other pairs between them.
+    tried, most, more = best.union(rest), FIRST_PAIRS, True
+    while more:
+        named = components(links)
+        left = materialized(across(lists, named, nodes, max(8, many // COMPARED), most))
+        more = not left.where("more").isEmpty()
+        fresh = materialized(left.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        links = links.union(materialized(linked(fresh, texts, nodes, seed)))
+        tried, most = tried.union(fresh), 32 * most
+    final = components(links).join(nodes.select("node", "first_id"), "node")
     least = final.groupBy("component").agg(F.min("first_id").alias("least_id"))
     ids = (
         nodes.select("node", "first_id")
