@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -48,12 +49,14 @@ HEADLINE = (
     "quality_checks",
     "fleet_measures",
     "scan_drive_csv",
+    "scan_staggered_log",
     "ingest_drives",
     "pick_warm_window",
     "forward_fill_readings",
     "scan_week_export",
     "export_bi_pack",
     "export_session_views",
+    "export_dashboard",
     "live_readings_to_samples",
     "stream_samples",
     "stream_dtc_correlation",
@@ -72,6 +75,8 @@ def main() -> None:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gaugeflow-bench-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.rounding import with_rounded
+from gaugeflow.operators.ordered import running_offsets
 
 # Class limit, fallback band and reference bands.
 HEAVY_LITRES = 3.0
@@ -20,8 +21,6 @@ LTFT_BAND = ("ltft_b1_pct", "cruise", -10.0, 10.0, "%", "manual")
 STFT_BAND = ("stft_b1_pct", "cruise", -10.0, 10.0, "%", "manual")
 TIMING_BAND = ("timing_adv_deg", "cruise", 10.0, 45.0, "deg", "manual")
 
-_BINS = 4096
-
 
 def engine_class(engine: Column) -> Column:
     """``heavy`` for V6..V12 or at least 3 litres, else ``light``."""
@@ -35,48 +34,21 @@ def nearest_rank(
 ) -> DataFrame:
     """Exact nearest-rank percentiles, index = half-even(p / 100 * (n - 1)).
 
-    For a handful of groups, each of any size, given as distinct values with their
-    counts.  A coarse histogram of at most 4096 bins finds the bin that holds each
-    index, and only the values of those bins are ordered.  Output: ``by``, ``n``,
+    Input is distinct values with their counts per group.  One range-partitioned sort over
+    (group, value) gives each value the number of readings before it, so a group spreads
+    over tasks whatever its size and however its values lie.  Output: ``by``, ``n``,
     ``percent``, ``value``.
     """
     by = list(by)
-    # One row per group, and the groups are few by contract.
-    edges = F.broadcast(
-        counted.groupBy(*by).agg(
-            F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(count).alias("n")
-        )
-    )
-    span = F.col("_hi") - F.col("_lo")
-    share = F.try_divide(F.col(value) - F.col("_lo"), span) * F.lit(_BINS)
-    binned = counted.join(edges, by).withColumn(
-        "_bin", F.coalesce(F.least(F.floor(share), F.lit(_BINS - 1)), F.lit(0)).cast("int")
-    )
-    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = (
-        binned.groupBy(*by, "_bin", "n")
-        .agg(F.sum(count).alias("_in_bin"))
-        .withColumn("_before", F.coalesce(F.sum("_in_bin").over(before), F.lit(0)))
-        .withColumn("percent", F.explode(F.array(*[F.lit(int(p)) for p in percents])))
-        .withColumn(
-            "_index",
-            F.bround(F.col("percent") / F.lit(100.0) * (F.col("n") - F.lit(1)), 0).cast("bigint"),
-        )
-        .filter(F.col("_index").between(F.col("_before"), F.col("_before") + F.col("_in_bin") - 1))
-    )
-    # One bin per group and percent, so this side is as small as the result.
-    chosen = F.broadcast(bins.select(*by, "_bin", "percent", "_index", "_before"))
-    upto = (
-        Window.partitionBy(*by, "percent")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    placed = running_offsets(counted.select(*by, value, count), [*by, value], count, "_ahead")
+    groups = placed.groupBy(*by).agg(F.min("_ahead").alias("_first"), F.sum(count).alias("n"))
+    index = F.bround(F.col("percent") / F.lit(100.0) * (F.col("n") - F.lit(1)), 0).cast("bigint")
+    wanted = groups.withColumn(
+        "percent", F.explode(F.array(*[F.lit(int(p)) for p in percents]))
+    ).withColumn("_index", F.col("_first") + index)
     return (
-        binned.join(chosen, [*by, "_bin"])
-        .withColumn("_upto", F.col("_before") + F.sum(count).over(upto))
-        .filter(
-            (F.col("_index") < F.col("_upto")) & (F.col("_index") >= F.col("_upto") - F.col(count))
-        )
+        placed.join(wanted, by)
+        .filter(F.col("_index").between(F.col("_ahead"), F.col("_ahead") + F.col(count) - 1))
         .select(*by, "n", "percent", F.col(value).alias("value"))
     )
 

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -404,6 +404,12 @@ def quality_checks(
             fleet.drive_sessions,
             F.count_if(~F.coalesce(F.col("source").isin(*allowed_sources), F.lit(False))),
         ),
+        row(
+            "session sources",
+            ",".join(sorted(allowed_sources)),
+            fleet.drive_sessions,
+            F.array_join(F.array_sort(F.collect_set("source")), ","),
+        ),
         row("control rows among public sessions", "0", public, mentions("notes")),
         row("control rows among public vehicles", "0", vehicles, mentions("make", "model", "notes")),
         row("samples of unknown sessions", "0", orphans, F.count(F.lit(1))),
@@ -414,9 +420,71 @@ def quality_checks(
     return result.withColumn("ok", F.col("expected") == F.col("actual"))
 
 
-def fleet_measures(
-    scores: DataFrame, overview: DataFrame, config: ScoreConfig = ScoreConfig()
+def export_checks(
+    spark: SparkSession,
+    pack: str,
+    dashboard: str,
+    tables: Sequence[str],
+    control_words: Sequence[str] = ("Synthetic",),
+    silent: Sequence[str] = ("dtc_telemetry_correlation",),
 ) -> DataFrame:
+    """Checks of written exports as rows: name, expected, actual, ok.
+
+    Every table of the BI pack must have a file with a header, and no file but those of
+    ``silent`` may hold a control word.  The dashboard must open with a public session
+    that has a view, list as many entries and records as sessions, and each view must have
+    1 to 26 trend points if the session has air flow, five axes, a concern, a trace id and
+    a score that says it is directional.
+    """
+
+    def row(name: str, expected: str, frame: DataFrame, actual: Column) -> DataFrame:
+        return frame.agg(actual.cast("string").alias("actual")).select(
+            F.lit(name).alias("check"), F.lit(expected).alias("expected"), "actual"
+        )
+
+    lines = spark.read.text([f"{pack}/{name}" for name in tables]).select(
+        "value", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("table")
+    )
+    holds = F.lit(False)
+    for word in control_words:
+        holds = holds | F.col("value").contains(word)
+    views = spark.read.json(f"{dashboard}/views")
+    listed = {n: spark.read.json(f"{dashboard}/{n}") for n in ("index", "sessions", "entries", "records")}
+    first = listed["index"].select(F.col("defaultSessionId").alias("session_id"))
+    sound = (
+        (F.size("trend") <= 26)
+        & (F.size("healthMatrix") == 5)
+        & (F.size("performanceConcerns") > 0)
+        & F.col("agentTraceId").startswith("agent-")
+        & F.col("focus.score_basis").contains("directional")
+    )
+    count = F.count(F.lit(1))
+    rows = [
+        row("exported tables with a header", str(len(set(tables))), lines, F.count_distinct("table")),
+        row(
+            "lines with control words",
+            "0",
+            lines.filter(~F.col("table").isin(*silent)),
+            F.count_if(holds),
+        ),
+        row("views that break a rule", "0", views, F.count_if(~F.coalesce(sound, F.lit(False)))),
+        row("opening sessions with a view and a trend", "1",
+            views.filter(F.size("trend") > 0).join(first, "session_id"), count),
+        row("listed sessions that are not public", "0", listed["sessions"],
+            F.count_if(F.col("source") != "public")),
+        row("listed sessions with control words", "0", listed["sessions"],
+            F.count_if(F.to_json(F.struct("*")).rlike("|".join(control_words)))),
+    ]
+    for name in ("sessions", "entries", "records"):
+        missing = views.select("session_id").join(listed[name], "session_id", "left_anti")
+        rows.append(row(f"views missing among {name}", "0", missing, count))
+    result = rows[0]
+    for other in rows[1:]:
+        result = result.unionByName(other)
+    return result.withColumn("ok", F.col("expected") == F.col("actual"))
+
+
+def fleet_measures(scores: DataFrame, overview: DataFrame) -> DataFrame:
     """Average score, total samples and total fault events, with the score label."""
     mean = scores.agg(
         (
@@ -490,6 +558,7 @@ __all__ = [
     "build_findings",
     "compute_facts",
     "drive_window",
+    "export_checks",
     "finding_evidence",
     "fleet_measures",
     "quality_checks",

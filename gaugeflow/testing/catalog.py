@@ -589,7 +589,10 @@ on_fleet(
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.quality_checks(
         V.fleet(spark, sf_dir),
-        {"telemetry_samples": 744, "dtc_events": 2, "public_sessions": 3, "public_samples": 720},
+        {
+            "telemetry_samples": 744, "dtc_events": 2, "baselines": 25, "public_sessions": 3,
+            "public_samples": 720,
+        },
         control_words=("Synthetic", "Corvette"),
     )
 
@@ -702,6 +705,17 @@ def export_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def export_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of a BI pack and a dashboard, one of whose words is in some notes."""
+    f = V.fleet(spark, sf_dir)
+    pack, board = V.scratch(spark, "checked-pack"), V.scratch(spark, "checked-dashboard")
+    K.export_bi_pack(f, pack, half_window=HALF_WINDOW, scale=SCALE)
+    K.export_dashboard(f, board, half_window=HALF_WINDOW, scale=SCALE)
+    words = ("Synthetic", "trip_ref=9;")
+    return R.export_checks(spark, pack, board, tuple(K.EXPORT_ORDER), words)
+
+
 @query
 def write_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append twice, read back."""

@@ -122,6 +122,7 @@ def test_quality_checks(fleet):
     assert rows_of(checks.filter("NOT ok"), "check", "actual") == [
         ("control rows among public vehicles", "1"),
         ("rows in dtc_events", "2"),
+        ("session sources", "csv,public"),
     ]
 
 

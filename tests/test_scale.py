@@ -71,6 +71,23 @@ def test_busy_keys(skewed):
     assert rows_of(ordered.busy_keys(skewed, ("session_id",), 1000), "session_id") == [(1,)]
 
 
+def test_an_outlier_leaves_no_large_task(spark):
+    """One reading of 1e9 among many small ones: still no task with a fixed share of a group."""
+    values = spark.range(20_000).selectExpr("'a' AS g", "id / 7D AS v", "1L AS c")
+    counted = values.unionByName(spark.createDataFrame([("a", 1e9, 1)], "g STRING, v DOUBLE, c BIGINT"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = bands.nearest_rank(counted, ["g"], "v", "c", (5, 50, 95))
+        assert rows_of(got, "percent", "n", "value") == [
+            (5, 20_001, 1000 / 7), (50, 20_001, 10_000 / 7), (95, 20_001, 19_000 / 7),
+        ]
+        placed = ordered.running_offsets(counted, ["g", "v"], "c", "before")
+        most = placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert most < 0.5 * 20_001
+
+
 def test_nearest_rank_against_sorting(spark):
     rng = random.Random(4)
     data = {
