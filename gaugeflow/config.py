@@ -45,11 +45,3 @@ def load_score_config(spark: SparkSession, path: str) -> ScoreConfig:
     if row is None or any(row[n] is None for n in _NUMBERS):
         raise ValueError("score config has empty settings")
     return ScoreConfig(score_basis=row["label"], **{n: row[n] for n in _NUMBERS})
-
-
-def score_config_frame(spark: SparkSession, config: ScoreConfig = ScoreConfig()):
-    """The settings as a one-row DataFrame."""
-    return spark.range(1).select(
-        F.lit(config.score_basis).alias("score_basis"),
-        *[F.lit(getattr(config, n)).alias(n) for n in _NUMBERS],
-    )

@@ -366,6 +366,20 @@ on_fleet("fuel_trim_drift", lambda f: T.fuel_trim_drift(f.telemetry_samples, SCA
 on_fleet(
     "fuel_trim_drift_in_runs", lambda f: T.fuel_trim_drift(f.telemetry_samples, SCALE, limit=40)
 )
+
+
+@query
+def fuel_trim_drift_two_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trend at its default precision, over whole numbers, whose sums are exact."""
+    samples = V.events(spark, sf_dir).select(
+        F.col("event_id").alias("sample_id"),
+        F.col("user_id").alias("session_id"),
+        "ts",
+        F.col("k").cast("double").alias("ltft_b1_pct"),
+    )
+    return T.fuel_trim_drift(samples)
+
+
 on_fleet("dtc_telemetry_correlation", _near)
 on_fleet("session_baselines", lambda f: S.session_baselines(f.drive_sessions, f.baselines))
 on_fleet("session_dtc_events", lambda f: X.session_dtc_events(f.dtc_events))
