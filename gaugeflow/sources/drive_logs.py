@@ -48,6 +48,8 @@ ROWS_PER_DRIVE = 240
 WARM_WINDOW_C = 80.0
 WARM_START_C = 82.0
 REGRID_START = "2018-06-01 10:00:00"
+# Rows of a file that one task looks through for its warm window.
+STRETCH_ROWS = 100_000
 
 
 # -- canonical drive CSV -------------------------------------------------------------
@@ -143,49 +145,32 @@ def pick_warm_window(
 
     A start qualifies when 90 % of its run has coolant at or above ``warm_c``;
     starts go up to, but not including, the last full run.  Without one the file's
-    first rows are taken.  Runs are compared by running warm counts at their two
-    ends, joined on (file, position), so no task sees a whole file.
+    first rows are taken.  Files are cut into stretches, and the head of each is copied
+    to the one before, whose last runs reach into it: one window per stretch counts the
+    warm rows ahead, and no task sees a whole file.
     """
     placed = file_positions(rows, by)
-    warm = (
-        F.coalesce(F.col("coolant_temp_c").try_cast("double"), F.lit(0.0)) >= F.lit(warm_c)
-    ).cast("bigint")
-    slim = placed.select(by, BLOCK, "position", "file_rows", warm.alias("_warm"))
-    split_warm = slim.groupBy(by, BLOCK).agg(F.sum("_warm").alias("_n"))
-    earlier = Window.partitionBy(by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    split_warm = split_warm.select(
-        by, BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
-    upto = (
-        Window.partitionBy(by, BLOCK)
+    warm = F.coalesce(F.col("coolant_temp_c").try_cast("double"), F.lit(0.0)) >= F.lit(warm_c)
+    size = max(STRETCH_ROWS, rows_wanted)
+    own = F.expr(f"position div {size}")
+    head = (F.col("position") % size < F.lit(rows_wanted - 1)) & (own > 0)
+    ahead = (
+        Window.partitionBy(by, "_stretch")
         .orderBy("position")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    running = (
-        slim.withColumn("_upto", F.sum("_warm").over(upto))
-        .join(split_warm, [by, BLOCK])
-        .select(
-            by, "position", "file_rows", "_warm", (F.col("_before") + F.col("_upto")).alias("_upto")
-        )
-    )
-    needed = int(0.9 * rows_wanted)
-    starts = running.filter(F.col("position") < F.col("file_rows") - F.lit(rows_wanted)).select(
-        by, "position", (F.col("_upto") - F.col("_warm")).alias("_before_run")
-    )
-    ends = running.select(
-        by, (F.col("position") - F.lit(rows_wanted - 1)).alias("position"), "_upto"
+        .rowsBetween(0, rows_wanted - 1)
     )
     first = (
-        starts.join(ends, [by, "position"])
-        .filter(F.col("_upto") - F.col("_before_run") >= F.lit(needed))
+        placed.select(by, "position", "file_rows", warm.cast("int").alias("_warm"))
+        .withColumn("_stretch", F.explode(F.when(head, F.array(own, own - 1)).otherwise(F.array(own))))
+        .withColumn("_ahead", F.sum("_warm").over(ahead))
+        .filter((F.col("_stretch") == own) & (F.col("_ahead") >= F.lit(int(0.9 * rows_wanted))))
+        .filter(F.col("position") < F.col("file_rows") - F.lit(rows_wanted))
         .groupBy(by)
         .agg(F.min("position").alias("_start"))
     )
-    # Carry each file's start to its splits, so the last join is per split too.
-    split_start = placed.select(by, BLOCK).distinct().join(first, by, "left")
     begin = F.coalesce(F.col("_start"), F.lit(0))
     return (
-        placed.join(split_start, [by, BLOCK])
+        placed.join(first, by, "left")
         .filter(
             (F.col("position") >= begin) & (F.col("position") < begin + F.lit(rows_wanted))
         )

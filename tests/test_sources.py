@@ -197,8 +197,9 @@ def _first_warm(values, rows, warm):
     return 0
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_warm_window_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, stretch", [(0, 100_000), (1, 17)])
+def test_warm_window_against_brute_force(spark, monkeypatch, seed, stretch):
+    monkeypatch.setattr(logs, "STRETCH_ROWS", stretch)
     rng = random.Random(seed)
     files = {
         "a": [(rng.choice(["x", None, "95", "80"] if i > 60 else ["70", "80"]),) for i in range(160)],
