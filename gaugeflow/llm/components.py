@@ -2,8 +2,8 @@
 
 Each round replaces links by links to smaller nodes, until every node points at the
 smallest one it can reach; the number of rounds grows with the logarithm of the longest
-path.  All steps are grouped minima and equi-joins, each round is checkpointed, and nothing
-but one checksum per round reaches the driver.
+path.  All steps are grouped minima and equi-joins, each round is checkpointed, and the
+driver learns only whether another round is needed.
 """
 
 from __future__ import annotations
@@ -34,17 +34,33 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialized(
         edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    before = None
-    while True:
+    while not _are_stars(edges):
         edges = materialized(_small_star(_large_star(edges)).where("a != b").distinct())
-        now = edges.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
-        ).first()
-        if now == before:
-            break
-        before = now
     return (
         edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         .union(edges.select("b", "b"))
         .distinct()
     )
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each larger node has one link, to a node that has none to a smaller one."""
+    twice = edges.groupBy("a").count().where("count > 1").select("a")
+    inner = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")
+    return twice.union(inner).isEmpty()
+
+
+def joined(named: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links (a, b), which are first put between components."""
+    part = {x: named.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}")) for x in "ab"}
+    between = (
+        links.join(part["a"], "a", "left")
+        .join(part["b"], "b", "left")
+        .select(F.coalesce("in_a", "a").alias("a"), F.coalesce("in_b", "b").alias("b"))
+    )
+    merged = components(between).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    moved = named.join(merged, "component", "left").select(
+        "node", F.coalesce("least", "component").alias("component")
+    )
+    fresh = merged.toDF("node", "component").join(named.select("node"), "node", "left_anti")
+    return materialized(moved.union(fresh))

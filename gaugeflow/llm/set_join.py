@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gaugeflow.llm.common import (
     BROADCAST_ROWS, batchwise, in_blocks, materialized, slices, text_or_empty,
 )
-from gaugeflow.llm.components import components
+from gaugeflow.llm.components import components, joined
 
 # Words of a shingle, and the bound as a fraction: linked where 100 * both >= 75 * either.
 SHINGLE, PER_CENT = 5, 75
@@ -560,25 +560,23 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("p.a", "p.b").distinct()
     )
     best = materialized(best)
-    links = materialized(linked(best, texts, nodes, seed))
-    named = components(links)
+    named = materialized(components(linked(best, texts, nodes, seed)))
     # Then the candidates that would join different components.
     part = {x: named.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}")) for x in "ab"}
     apart = F.coalesce("in_a", "a") != F.coalesce("in_b", "b")
     rest = candidates.join(part["a"], "a", "left").join(part["b"], "b", "left").where(apart).select("a", "b")
     rest = materialized(rest.join(best, ["a", "b"], "left_anti"))
-    links = links.union(materialized(linked(rest, texts, nodes, seed)))
+    named = joined(named, linked(rest, texts, nodes, seed))
     # At last the members of lists that still hold several components, the nearest first:
     # a link joins two components and settles all other pairs between them.
     tried, most, more = best.union(rest), FIRST_PAIRS, True
     while more:
-        named = components(links)
         left = materialized(across(lists, named, nodes, max(8, many // COMPARED), most))
         more = not left.where("more").isEmpty()
         fresh = materialized(left.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-        links = links.union(materialized(linked(fresh, texts, nodes, seed)))
+        named = joined(named, linked(fresh, texts, nodes, seed))
         tried, most = tried.union(fresh), 32 * most
-    final = components(links).join(nodes.select("node", "first_id"), "node")
+    final = named.join(nodes.select("node", "first_id"), "node")
     least = final.groupBy("component").agg(F.min("first_id").alias("least_id"))
     ids = (
         nodes.select("node", "first_id")

@@ -16,7 +16,7 @@ from conftest_llm import ODD
 from gaugeflow.llm import chat_windows as chat
 from gaugeflow.llm import line_windows, pivot_index, secret_ownership, set_join
 from gaugeflow.llm.common import ship
-from gaugeflow.llm.components import components
+from gaugeflow.llm.components import components, joined
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -48,6 +48,9 @@ def test_components(spark):
     nodes = {n for a, b in links for n in (a, b) if a != b}
     assert got == {n: c for n, c in least_reachable({x for l in links for x in l}, links).items() if n in nodes}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    # The same in two portions.
+    first, second = (spark.createDataFrame(part, "a long, b long") for part in (links[::2], links[1::2]))
+    assert {r.node: r.component for r in joined(components(first), second).collect()} == got
 
 
 # -- chat ---------------------------------------------------------------------------------
