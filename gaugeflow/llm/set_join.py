@@ -36,11 +36,13 @@ SHINGLE, PER_CENT = 5, 75
 # Bits of the smallest parity bitmap.
 LEAST_BITS = 512
 # Keys that one reducing task handles, and documents that a mapping task gathers at a time.
-BUCKET_KEYS, GATHERED_KEYS = 800_000, 500_000
+BUCKET_KEYS, GATHERED_KEYS = 1_600_000, 1_000_000
+# Sizes travel as logarithms, keys of a document in a bucket in runs of so many at most.
+SCALE, MOST_RUN = 1000, 30_000
 # Sets of one side where a list's members are compared, and sets of the corpus for each such task.
 BLOCK, COMPARED = 1024, 4096
 # Pairs of two components that a task gives to be verified at first.
-FIRST_PAIRS = 8
+FIRST_PAIRS = 64
 
 # -- hashing ------------------------------------------------------------------------------
 
@@ -252,7 +254,7 @@ def keys(shingles: np.ndarray) -> np.ndarray:
 # -- stages -------------------------------------------------------------------------------
 
 _SETS = "doc_id long, n int, node long, check long, bits array<long>"
-_KEYS = "bucket int, nodes array<long>, sizes array<int>, counts array<int>, keys array<long>"
+_KEYS = "bucket int, nodes array<long>, scales array<smallint>, counts array<smallint>, keys array<long>"
 
 
 def document_sets(docs: DataFrame, seed: int) -> DataFrame:
@@ -277,7 +279,7 @@ def posted_keys(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
 
     def post(batches):
         seen: set[int] = set()
-        nodes, sizes, found, gathered = [], [], [], 0
+        nodes, scales, found, gathered = [], [], [], 0
 
         def flushed():
             every = np.concatenate(found)
@@ -286,16 +288,21 @@ def posted_keys(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             every, owner, bucket = every[order], owner[order], bucket[order]
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = {c: [] for c in ("bucket", "nodes", "sizes", "counts", "keys")}
-            node, size = np.array(nodes, np.int64), np.array(sizes, np.int32)
+            rows = {c: [] for c in ("bucket", "nodes", "scales", "counts", "keys")}
+            node, scale = np.array(nodes, np.int64), np.array(scales, np.int16)
             for i in range(buckets):
                 a, b = cut[i], cut[i + 1]
                 if b > a:
                     own, counts = np.unique(owner[a:b], return_counts=True)
+                    # A run too long for its type goes on in another.
+                    runs = -(-counts // MOST_RUN)
+                    own, last = np.repeat(own, runs), np.cumsum(runs) - 1
+                    lengths = np.full(len(own), MOST_RUN)
+                    lengths[last] = counts - (runs - 1) * MOST_RUN
                     rows["bucket"].append(i)
                     rows["nodes"].append(node[own])
-                    rows["sizes"].append(size[own])
-                    rows["counts"].append(counts.astype(np.int32))
+                    rows["scales"].append(scale[own])
+                    rows["counts"].append(lengths.astype(np.int16))
                     rows["keys"].append(every[a:b].view(np.int64))
             return rows
 
@@ -307,12 +314,12 @@ def posted_keys(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
                         continue
                     seen.add(node)
                     nodes.append(node)
-                    sizes.append(len(shingles))
+                    scales.append(round(SCALE * math.log(len(shingles))))
                     found.append(keys(shingles))
                     gathered += len(found[-1])
                 if gathered > GATHERED_KEYS:
                     yield flushed()
-                    nodes, sizes, found, gathered = [], [], [], 0
+                    nodes, scales, found, gathered = [], [], [], 0
         if found:
             yield flushed()
 
@@ -335,7 +342,7 @@ def meetings(posted: DataFrame) -> DataFrame:
     def meet(bucket: pa.Table) -> pa.Table:
         flat = {
             c: bucket[c].combine_chunks().flatten().to_numpy()
-            for c in ("nodes", "sizes", "counts", "keys")
+            for c in ("nodes", "scales", "counts", "keys")
         }
         owner = np.repeat(np.arange(len(flat["nodes"])), flat["counts"])
         order = np.argsort(flat["keys"], kind="stable")
@@ -343,15 +350,15 @@ def meetings(posted: DataFrame) -> DataFrame:
         same = key[1:] == key[:-1]
         live = np.concatenate((same, [False])) | np.concatenate(([False], same))
         key, owner = key[live], owner[live]
-        node, size = flat["nodes"][owner], flat["sizes"][owner]
-        order = np.lexsort((node, size, key))
-        key, node, size = key[order], node[order], size[order]
+        node, scale = flat["nodes"][owner], flat["scales"][owner]
+        order = np.lexsort((node, scale, key))
+        key, node, scale = key[order], node[order], scale[order]
         # Other tasks may have posted the same set.
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, size = key[fresh], node[fresh], size[fresh]
+        key, node, scale = key[fresh], node[fresh], scale[fresh]
         beside = np.flatnonzero(key[1:] == key[:-1]) if len(key) else np.zeros(0, np.int64)
-        beside = beside[PER_CENT * size[beside + 1].astype(np.int64) <= 100 * size[beside].astype(np.int64)]
+        beside = beside[scale[beside + 1] - scale[beside] <= SCALE * math.log(100 / PER_CENT) + 2]
         rows = {name: [] for name in schema.names}
         if len(beside):
             pairs = np.stack([node[beside], node[beside + 1]], axis=1)
