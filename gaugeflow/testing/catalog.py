@@ -147,9 +147,17 @@ def ingest_drive_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ingest_drive_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ingested(spark, sf_dir).telemetry_samples.select(
-        "sample_id", "session_id", "ts", "rpm", "maf_gps"
-    )
+    return _ingested(spark, sf_dir).telemetry_samples
+
+
+@query
+def ingest_drive_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingested(spark, sf_dir).vehicles
+
+
+@query
+def ingest_drive_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingested(spark, sf_dir).baselines
 
 
 @query
