@@ -608,7 +608,9 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     id and text one.
     """
     groups = materialized(shingle_groups(docs))
-    dropped = groups.where("doc_id != component_id").select("doc_id").distinct()
+    dropped = materialized(groups.where("doc_id != component_id").select("doc_id").distinct())
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
     kept = docs.join(dropped, "doc_id", "left_anti")
     filled = groups.where("n_shingles > 0 AND doc_id = component_id")
     if filled.groupBy("doc_id").count().where("count > 1").isEmpty():
