@@ -65,19 +65,32 @@ def materialized(df: DataFrame) -> DataFrame:
 
 Columns = dict[str, Any]
 
+_held: dict[Any, Any] = {}
+
+
+def held(name: Any, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps between tasks under a name: one thing at a time."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
 
 def batchwise(
-    work: Callable[[Iterator[Columns]], Iterator[Columns]], ddl: str
+    work: Callable[[Iterator[Columns]], Iterator[Columns]], ddl: str, keeps: bool = False
 ) -> Callable[[DataFrame], DataFrame]:
     """``df.transform(batchwise(work, ddl))``: work on Arrow batches as lists of Python values.
 
-    Unlike a pandas frame, lists keep NULL apart from NaN and 64-bit ids exact.
+    Unlike a pandas frame, lists keep NULL apart from NaN and 64-bit ids exact.  Work that
+    ``keeps`` nothing between tasks lets go of what another operator kept in the worker.
     """
 
     def transform(df: DataFrame) -> DataFrame:
         schema = to_arrow_schema(StructType.fromDDL(ddl))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not keeps:
+                _held.clear()
             lists = (
                 {name: batch.column(name).to_pylist() for name in batch.schema.names}
                 for batch in batches

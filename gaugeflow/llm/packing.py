@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import Columns, batchwise, text_or_empty
+from gaugeflow.llm.common import Columns, batchwise, held, text_or_empty
 
 # Bounds of a worker's caches.
 CACHED, CACHED_CHARS = 300_000, 48
@@ -106,13 +106,9 @@ class WordIds:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-_ids: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _ids:
-        _ids[path] = WordIds(path)
-    return _ids[path]
+    """The ids of this process; a reused Python worker keeps its caches between tasks."""
+    return held(("ids", path), lambda: WordIds(path))
 
 
 class Packer:
@@ -264,7 +260,7 @@ def pack_documents(
 
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")
-    ).transform(batchwise(pack, PIECES))
+    ).transform(batchwise(pack, PIECES, keeps=True))
 
 
 def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
