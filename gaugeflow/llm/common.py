@@ -65,6 +65,8 @@ def materialized(df: DataFrame) -> DataFrame:
 
 Columns = dict[str, Any]
 
+# Only functions of this module may touch it: a function sent to a worker gets a copy of
+# the globals that it names.
 _held: dict[Any, Any] = {}
 
 
@@ -76,6 +78,10 @@ def held(name: Any, make: Callable[[], Any]) -> Any:
     return _held[name]
 
 
+def let_go() -> None:
+    _held.clear()
+
+
 def batchwise(
     work: Callable[[Iterator[Columns]], Iterator[Columns]], ddl: str, keeps: bool = False
 ) -> Callable[[DataFrame], DataFrame]:
@@ -90,7 +96,7 @@ def batchwise(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not keeps:
-                _held.clear()
+                let_go()
             lists = (
                 {name: batch.column(name).to_pylist() for name in batch.schema.names}
                 for batch in batches
