@@ -81,10 +81,11 @@ def _check_packing(rows, docs, limits):
 def test_pack_documents(odd_docs, no_docs, limits):
     rows = packing.pack_documents(odd_docs, WORDS, limits=limits).collect()
     _check_packing(rows, ODD, limits)
-    words, texts = Tokenizer.from_file(WORDS), dict(ODD)
+    words = Tokenizer.from_file(WORDS)
+    ids_of = {i: [*words.encode(t or "", add_special_tokens=False).ids, 2] for i, t in ODD}
     for r in rows:
         if r.doc_id is not None:
-            ids = [*words.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2]
+            ids = ids_of[r.doc_id]
             part = np.array(ids[r.start : r.start + r.length], "<u4")
             assert r.ids_crc32 == zlib.crc32(part.tobytes()) and r.doc_tokens == len(ids)
     assert packing.pack_documents(no_docs, WORDS).collect() == []
