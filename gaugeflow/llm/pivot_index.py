@@ -1,7 +1,8 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-Reference points are drawn from the vectors.  Each vector is described by the ordered list
-of those nearest to it, and goes into the inverted list of each.  Vectors that meet in a
+Reference points are drawn from the vectors, no two of them close together, so that a large
+group of near copies holds few.  Each vector is described by the ordered list of those
+nearest to it, and goes into the inverted list of each.  Vectors that meet in a
 list and share enough pivots are compared exactly.  A list is compared in blocks of
 bounded size, each a task of its own; a block gives counts and a spanning forest of its
 links, never the pairs.  Exact copies are one vector with a weight.
@@ -28,6 +29,9 @@ class Index:
     # Pivots grow with the square root of the vectors, between these bounds.
     least_pivots: int = 64
     most_pivots: int = 2048
+    # Candidates for each pivot, and the cosine that two pivots stay below.
+    drawn: int = 2
+    apart: float = 0.8
     # Pivots that describe a vector, and how many a candidate pair shares.
     described_by: int = 8
     shared: int = 2
@@ -49,14 +53,34 @@ def _usable(vector: Column) -> Column:
     )
 
 
+def spread(vectors: np.ndarray, apart: float, most: int) -> np.ndarray:
+    """The first unit vectors, at most ``most``, whose cosine to every one before is below ``apart``."""
+    kept, many = np.empty((min(most, len(vectors)), vectors.shape[1])), 0
+    for vector in vectors:
+        if many == len(kept):
+            break
+        if (kept[:many] @ vector).max(initial=-1) < apart:
+            kept[many] = vector
+            many += 1
+    return kept[:many]
+
+
 def choose_pivots(vectors: DataFrame, index: Index) -> dict[int, np.ndarray]:
-    """Unit pivots by dimension: a bounded sample of distinct vectors in the order of their hashes."""
+    """Unit pivots by dimension: a bounded sample of distinct vectors in the order of their hashes, spread out."""
     wanted = min(index.most_pivots, max(index.least_pivots, 2 * math.isqrt(vectors.count())))
-    rows = vectors.select("embedding", "h1", "h2").orderBy("h1", "h2").limit(wanted).collect()
+    rows = (
+        vectors.select("embedding", "h1", "h2")
+        .orderBy("h1", "h2")
+        .limit(index.drawn * wanted)
+        .collect()
+    )
     by_size: dict[int, list] = {}
     for row in rows:
         by_size.setdefault(len(row["embedding"]), []).append(row["embedding"])
-    return {size: unit(np.array(found, float)) for size, found in by_size.items()}
+    return {
+        size: spread(unit(np.array(found, float)), index.apart, -(-wanted * len(found) // len(rows)))
+        for size, found in by_size.items()
+    }
 
 
 def describe(vectors: np.ndarray, pivots: np.ndarray, many: int) -> np.ndarray:
@@ -109,7 +133,8 @@ def _compare(pivot: int, left: bool, rows: Columns, threshold: float, shared: in
     earlier = member[:, kinds < pivot]
     linked = vectors @ vectors.T >= threshold
     if pivot >= 0:
-        # Pairs that share several lists are compared in the first of them.
+        # Pairs that share several lists are compared in the first of them; few pivots may be all there are.
+        shared = min(shared, rows["pivots"].shape[1])
         linked &= (member @ member.T >= shared) & (earlier @ earlier.T == 0)
     if not left:
         side = rows["side"]

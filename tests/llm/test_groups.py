@@ -337,6 +337,23 @@ def test_near_vectors(spark):
     assert pivot_index.near_vectors(table.limit(0)).collect() == []
 
 
+def test_near_vectors_of_hot_groups(spark):
+    rng = np.random.default_rng(11)
+    hot = rng.normal(size=64)
+    third = rng.normal(size=(3000, 64))
+    third[:1000] = hot + 0.25 * rng.normal(size=(1000, 64))
+    alone = rng.normal(size=48) + 0.1 * rng.normal(size=(300, 48))  # one pivot of this dimension
+    rows = [(i, v.tolist(), 0) for i, v in enumerate([*third, *alone])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = pivot_index.near_vectors(table).collect()
+    for first, vectors, least in ((0, third, 0.98), (3000, alone, 1.0)):
+        unit = pivot_index.unit(vectors)
+        linked = unit @ unit.T >= 0.93
+        np.fill_diagonal(linked, False)
+        links = sum(r.n_links for r in found if first <= r.vec_id < first + len(vectors))
+        assert least * linked.sum() <= links <= linked.sum()
+
+
 def test_block_components():
     rng = np.random.default_rng(0)
     for _ in range(30):
