@@ -220,6 +220,43 @@ def test_deobfuscation(decoder, said, plain):
     assert toxicity.restored([said], decoder) == [plain]
 
 
+@pytest.mark.parametrize(
+    "said, plain",
+    [
+        ("i d 1 0 t", "idiot"),
+        ("the i  d  i  o  t", "the idiot"),
+        ("i. d. i. o. t", "idiot"),
+        ("i_d_i_o_t", "idiot"),
+        ("1_d_1_o_7", "idiot"),
+        ("idi07", "idiot"),
+        ("1 d i o t", "idiot"),
+        ("idi.ot", "idiot"),
+        ("mor-on", "moron"),
+        ("i d i o t a house", "idiot a house"),
+        ("house\ni d 1 0 t\n\nhouse", "house\nidiot\n\nhouse"),
+        ("the house! (the idiot) 1984", "the house! (the idiot) 1984"),
+        ("the-house 3.14 house3", "the-house 3.14 house3"),
+    ],
+)
+def test_deobfuscation_of_gaps_and_ends(decoder, said, plain):
+    assert toxicity.restored([said, "house"], decoder) == [plain, "house"]
+
+
+def test_sign_for_a_last_letter():
+    (counts,) = toxicity._count_trigrams([{"text": ["an ass is in this house " * 200]}])
+    full = np.zeros(toxicity.SYMBOLS**3)
+    full[counts["gram"]] = counts["n"]
+    decoder = toxicity.Decoder(toxicity.smoothed(full.reshape((toxicity.SYMBOLS,) * 3)))
+    assert toxicity.restored(["an a$$ is"], decoder) == ["an ass is"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text("ab1$!29 ._-*é你—ⁿ\n", max_size=12), max_size=4))
+def test_marks_miss_no_match(decoder, texts):
+    """What is marked decides only where to look, not what is found."""
+    assert toxicity.restored(texts, decoder) == [decoder.restore(t) for t in texts]
+
+
 def test_viterbi_equals_brute_force(decoder):
     """The best of all paths through the lattice."""
     text = "m0r1n"
