@@ -522,15 +522,8 @@ def across(
     return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of near-duplicate texts: doc_id, n_shingles, component_id.
-
-    One row per input row.  Documents link where the Jaccard similarity of their shingle
-    sets is at least 0.75; component_id is the smallest doc_id reachable by links.  NULL and
-    empty texts have no shingle and link with nothing.  Rows with equal sets always link,
-    rows that repeat an id among them; a row without id takes the smallest id of its group.
-    Other columns are ignored.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """Per document its set's size, the set's node, the component and its smallest id; the nodes' seed."""
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")
     )
@@ -587,32 +580,86 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = final.groupBy("component").agg(F.min("first_id").alias("least_id"))
     ids = (
         nodes.select("node", "first_id")
-        .join(final.join(least, "component").select("node", "least_id"), "node", "left")
-        .select("node", F.coalesce("least_id", "first_id").alias("least_id"))
+        .join(final.join(least, "component").select("node", "component", "least_id"), "node", "left")
+        .select(
+            "node",
+            F.coalesce("component", "node").alias("component"),
+            F.coalesce("least_id", "first_id").alias("least_id"),
+        )
     )
-    return (
+    found = (
         sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
         .join(ids, "node", "left")
         .select(
             "doc_id",
             F.col("n").cast("long").alias("n_shingles"),
+            "node",
+            "component",
             F.coalesce("least_id", "doc_id").alias("component_id"),
         )
     )
+    return found, seed
+
+
+def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of near-duplicate texts: doc_id, n_shingles, component_id.
+
+    One row per input row.  Documents link where the Jaccard similarity of their shingle
+    sets is at least 0.75; component_id is the smallest doc_id reachable by links.  NULL and
+    empty texts have no shingle and link with nothing.  Rows with equal sets always link,
+    rows that repeat an id among them; a row without id takes the smallest id of its group.
+    Other columns are ignored.
+    """
+    return _grouped(docs, id_col, text_col)[0].drop("node", "component")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The documents without near duplicates: of each group the one with the smallest id stays.
 
     Rows keep their own columns.  Texts without a shingle stay, and of rows that repeat both
-    id and text one.
+    id and text one.  Where an id repeats or is missing, each row is judged by its own text:
+    of rows of a group that share the smallest id one stays, and a row without id only where
+    no other has one.
     """
-    groups = materialized(shingle_groups(docs))
+    groups, seed = _grouped(docs, "doc_id", "text")
+    groups = materialized(groups)
+    filled = groups.where("n_shingles > 0")
+    if not filled.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return _one_row_of_each_group(docs, filled, seed)
     dropped = materialized(groups.where("doc_id != component_id").select("doc_id").distinct())
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    filled = groups.where("n_shingles > 0 AND doc_id = component_id")
-    if filled.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+    return docs.join(dropped, "doc_id", "left_anti")
+
+
+def _one_row_of_each_group(docs: DataFrame, filled: DataFrame, seed: int) -> DataFrame:
+    """The rows that stay, where the id of a row does not tell which text it has."""
+    doc_id, text = F.col("doc_id").cast("long"), text_or_empty("text")
+    keyed = docs.select(
+        F.struct("*").alias("row"),
+        doc_id.alias("doc_id"),
+        text.alias("text"),
+        F.xxhash64(doc_id, text).alias("k1"),
+        F.xxhash64(F.lit("second"), text, doc_id).alias("k2"),
+    )
+
+    def named(batches):
+        for batch in batches:
+            sets = shingle_sets(batch["text"])
+            nodes = [fingerprint(s, seed) if len(s) else None for s in sets]
+            yield {name: batch[name] for name in ("doc_id", "k1", "k2")} | {"node": nodes}
+
+    rows = materialized(
+        keyed.select("doc_id", "text", "k1", "k2").transform(
+            batchwise(named, "doc_id long, k1 long, k2 long, node long")
+        )
+    )
+    components_of = filled.select("node", "component").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node", "k1", "k2")
+    first = (
+        rows.join(components_of, "node").groupBy("component").agg(F.min(order).alias("o")).select("o.k1", "o.k2")
+    )
+    stays = first.union(rows.where("node IS NULL").select("k1", "k2")).distinct()
+    return (
+        keyed.join(stays, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row").select("row.*")
+    )

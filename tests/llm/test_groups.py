@@ -300,6 +300,15 @@ def test_groups_of_odd_rows(odd_docs, no_docs):
     assert set_join.shingle_groups(no_docs).collect() == []
 
 
+def test_groups_of_repeated_ids(make_docs):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, f"{a} more"), (5, b), (7, c), (7, f"{c} more"), (8, f"{c} end"), (None, f"{b} end"), (9, ""), (5, b)]
+    kept = Counter((r.doc_id, r.text) for r in set_join.one_of_each_group(make_docs(rows)).collect())
+    sevens = [text for i, text in kept if i == 7]
+    assert len(sevens) == 1 and sevens[0] in (c, f"{c} more")
+    assert kept == Counter([(3, a), (5, b), (7, sevens[0]), (9, "")])
+
+
 # -- vectors ------------------------------------------------------------------------------
 
 
