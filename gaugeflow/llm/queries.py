@@ -13,12 +13,15 @@ from gaugeflow.llm.common import ship, table
 from gaugeflow.llm.edit_matching import contamination
 from gaugeflow.llm.line_windows import dedup_lines
 from gaugeflow.llm.packing import pack_documents
+from gaugeflow.llm.part_codes import ENTRIES, PARTS, ROUNDS, SCALE, compressed_vectors
+from gaugeflow.llm.periodic_runs import periodic_runs, periods_by_id, run_digest
 from gaugeflow.llm.pivot_index import near_vectors
 from gaugeflow.llm.quality import quality_scores
 from gaugeflow.llm.secret_ownership import secret_spans
 from gaugeflow.llm.set_join import shingle_groups
 from gaugeflow.llm.token_counts import token_counts
 from gaugeflow.llm.toxicity import toxicity_scores
+from gaugeflow.llm.wrapper_text import page_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -172,3 +175,95 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 GROUP BY d.doc_id
 """
 )
+
+
+@query
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+# The pages of these tables have one article, of headings, paragraphs, bold print and breaks.
+ORACLE["op11_main_text"] = r"""
+WITH article AS (
+    SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages
+), block AS (
+    SELECT page_id, url, unnest(split) AS raw, generate_subscripts(split, 1) AS place
+    FROM (SELECT *, string_split_regex(body, '</?(h1|p)>') AS split FROM article)
+), plain AS (
+    SELECT page_id, url, place, trim(regexp_replace(replace(replace(replace(replace(replace(
+        regexp_replace(replace(raw, '<br>', ' '), '</?b>', '', 'g'),
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'),
+        '\s+', ' ', 'g')) AS line
+    FROM block
+), told AS (
+    SELECT page_id, url, place, regexp_replace(line, '&amp$', '&') AS line FROM plain
+)
+SELECT page_id, url, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (line <> ''), '') AS text,
+    length(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (line <> ''), '')) AS n_chars
+FROM told GROUP BY page_id, url
+"""
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql() -> str:
+    """The rounds written out one after the other, each distance computed."""
+    steps = [
+        f"""number AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), place AS MATERIALIZED (
+    SELECT vec_id, label, p, unnest(range(1, len(v) // {PARTS} + 1)) AS i,
+        unnest(v[p * (len(v) // {PARTS}) + 1:(p + 1) * (len(v) // {PARTS})]) AS x
+    FROM number, range({PARTS}) AS t(p)
+), start AS (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM number QUALIFY e < {ENTRIES}
+), book0 AS MATERIALIZED (
+    SELECT p, e, i, x FROM place JOIN start USING (vec_id)
+)"""
+    ]
+    for k in range(ROUNDS + 1):
+        steps.append(
+            f"""goes{k} AS MATERIALIZED (
+    SELECT vec_id, label, p, min(d) AS d, arg_min(e, d * {ENTRIES} + e) AS e
+    FROM (
+        SELECT vec_id, label, p, e, CAST(sum((a.x - b.x) * (a.x - b.x)) AS BIGINT) AS d
+        FROM place a JOIN book{k} b USING (p, i) GROUP BY ALL
+    )
+    GROUP BY ALL
+)"""
+        )
+        if k < ROUNDS:
+            steps.append(
+                f"""book{k + 1} AS MATERIALIZED (
+    SELECT p, e, i, coalesce(m.x, b.x) AS x
+    FROM book{k} b LEFT JOIN (
+        SELECT p, e, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x
+        FROM place JOIN goes{k} USING (vec_id, p) GROUP BY p, e, i
+    ) m USING (p, e, i)
+)"""
+            )
+    return (
+        "WITH "
+        + ", ".join(steps)
+        + f""", code AS (
+    SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+    FROM goes{ROUNDS} GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(x, ',' ORDER BY p, e, i)) FROM book{ROUNDS}) AS codebooks_sha256
+FROM code
+"""
+    )
+
+
+ORACLE["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(table(spark, sf_dir, "documents"), periods_by_id))
