@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.config import ScoreConfig
@@ -115,15 +115,20 @@ def metric_points(counts: DataFrame, config: ScoreConfig) -> DataFrame:
     return counts.groupBy("session_id").agg(F.sum(points).alias("metric_points"))
 
 
-def fault_points(faults: DataFrame, config: ScoreConfig) -> DataFrame:
-    """Fault count and penalty points per session; unknown status costs as pending."""
+def fault_penalty(config: ScoreConfig) -> Column:
+    """Penalty points of a fault; an unknown status costs as pending."""
     points = (
         F.when(F.col("status") == "permanent", F.lit(config.permanent_dtc_penalty))
         .when(F.col("status") == "stored", F.lit(config.stored_dtc_penalty))
         .otherwise(F.lit(config.pending_dtc_penalty))
     )
+    return points.cast(_POINTS)
+
+
+def fault_points(faults: DataFrame, config: ScoreConfig) -> DataFrame:
+    """Fault count and penalty points per session."""
     return faults.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("dtc_count"), F.sum(points.cast(_POINTS)).alias("dtc_points")
+        F.count(F.lit(1)).alias("dtc_count"), F.sum(fault_penalty(config)).alias("dtc_points")
     )
 
 

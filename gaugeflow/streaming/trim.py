@@ -1,59 +1,190 @@
-"""Rolling fuel trim that follows the stream, whatever the order of rows."""
+"""Rolling fuel trim that follows the stream, whatever the order of rows.
+
+Each session's newest rows are keyed state of the engine, twice as many as a mean looks back on.
+A micro-batch puts its rows among them and gives the means that change, so its work depends on
+its own rows and not on what came before.  Only rows older than that go the long way: the
+means around them are computed from the stored rows of the touched sessions' buckets.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gaugeflow.functions.moments import epoch_exact, moment_from_micros
 from gaugeflow.functions.rounding import with_rounded
 from gaugeflow.operators.ordered import rolling
 from gaugeflow.operators.trends import ROWS_BEFORE
 from gaugeflow.streaming import tables
+from gaugeflow.workers import ship_package
 
 _ROW = "session_id BIGINT, sample_id BIGINT, ts TIMESTAMP_NTZ, ltft_b1_pct DOUBLE"
 _COLUMNS = ("session_id", "sample_id", "ts", "ltft_b1_pct")
+_TREND = f"{_ROW}, ltft_30s DOUBLE, bucket INT"
+# Rows a session keeps as state: the last ones, and those that their means look back on.
+KEPT_ROWS = 2 * ROWS_BEFORE
+# Folders of a batch that the trend is split over by session.
+BUCKETS = 16
+
+_STATE = "micros ARRAY<BIGINT>, ids ARRAY<BIGINT>, trims ARRAY<DOUBLE>, whole BOOLEAN"
+_CHANGED = (
+    "session_id BIGINT, sample_id BIGINT, micros BIGINT, ltft_b1_pct DOUBLE, mean DOUBLE, "
+    "behind BOOLEAN"
+)
+
+
+def _means(values: np.ndarray) -> np.ndarray:
+    """Means of each value and those before it, added up in row order as the batch query does."""
+    present = ~np.isnan(values)
+    ahead = np.zeros(ROWS_BEFORE + len(values))
+    ahead[ROWS_BEFORE:][present] = values[present]
+    total = np.zeros(len(values))
+    for back in range(ROWS_BEFORE + 1):
+        total += ahead[back : back + len(values)]
+    seen = np.concatenate((np.zeros(ROWS_BEFORE + 1), np.cumsum(present)))
+    count = seen[ROWS_BEFORE + 1 :] - seen[: len(values)]
+    return np.divide(total, count, out=np.full(len(values), np.nan), where=count > 0)
+
+
+def _follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Means that a session's new rows change; rows behind its state are marked."""
+    whole = True
+    # Value and whether it is new, by place; a row that comes again replaces the earlier one.
+    rows: dict[tuple[int, int], tuple[float, bool]] = {}
+    behind: list[tuple[int, int, float]] = []
+    if state.exists:
+        micros, ids, trims, whole = state.get
+        for at, i, trim in zip(micros, ids, trims):
+            rows[at, i] = (np.nan if trim is None else trim, False)
+    oldest = None if whole else next(iter(rows))
+    for frame in frames:
+        fresh = zip(*(frame[c].tolist() for c in ("micros", "sample_id", "ltft_b1_pct")))
+        for at, i, trim in fresh:
+            if oldest is not None and (at, i) < oldest:
+                behind.append((at, i, trim))
+            else:
+                rows[at, i] = (trim, True)
+    places = sorted(rows)
+    values = np.array([rows[p][0] for p in places], float)
+    new = np.array([rows[p][1] for p in places], bool)
+    if places:
+        last = places[-KEPT_ROWS:]
+        state.update(
+            (
+                [at for at, _ in last],
+                [i for _, i in last],
+                [None if np.isnan(v) else v for v in values[-KEPT_ROWS:].tolist()],
+                whole and len(places) <= KEPT_ROWS,
+            )
+        )
+    # Rows that a new one is among the 30 before, and those whose 30 before are not all here.
+    news = np.concatenate((np.zeros(ROWS_BEFORE + 1, int), np.cumsum(new)))
+    changed = news[ROWS_BEFORE + 1 :] > news[: len(places)]
+    short = np.zeros(len(places), bool) if whole else np.arange(len(places)) < ROWS_BEFORE
+    chosen = np.flatnonzero(changed & (~short | new))
+    yield pd.DataFrame(
+        {
+            "session_id": key[0],
+            "sample_id": [places[k][1] for k in chosen] + [i for _, i, _ in behind],
+            "micros": [places[k][0] for k in chosen] + [at for at, _, _ in behind],
+            "ltft_b1_pct": np.append(values[chosen], [trim for _, _, trim in behind]),
+            "mean": np.append(_means(values)[chosen], np.full(len(behind), np.nan)),
+            "behind": np.append(short[chosen], np.ones(len(behind), bool)),
+        }
+    )
+
+
+def _bucket():
+    return F.pmod(F.hash("session_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
-def add_trim_batch(batch: DataFrame, batch_id: int, root: str, scale: int = 2) -> None:
-    """Store a micro-batch and write the means that it changes.
+def _repaired(rows: DataFrame, root: str, batch_id: int) -> DataFrame:
+    """Means of the rows behind the state and of those up to 30 rows after them.
 
-    Those are the means of each touched session from its earliest new row on.  They are
-    computed from all its stored rows from there on and the 30 rows before, so rows may come
-    in any order and a repeated batch writes the same.
+    Reads the stored rows of the touched buckets only (at most ``BUCKETS`` numbers are
+    collected), of them the touched sessions from 30 rows before the earliest row on.
     """
-    spark = batch.sparkSession
-    tables.put(batch.select(*_COLUMNS), root, "rows", batch_id)
-    stored = tables.read(spark, root, "rows", _ROW).filter(F.col("batch") <= batch_id)
-    place = F.struct("ts", "sample_id")
-    since = (
-        stored.filter(F.col("batch") == batch_id)
-        .groupBy("session_id")
-        .agg(F.min(place).alias("_since"))
+    spark = rows.sparkSession
+    behind = rows.filter("behind")
+    buckets = [r.bucket for r in behind.select("bucket").distinct().collect()]
+    touched = behind.groupBy("session_id").agg(F.min(F.struct("ts", "sample_id")).alias("_since"))
+    stored = (
+        tables.read(spark, root, "trend", _TREND)
+        .filter(F.col("bucket").isin(buckets) & (F.col("batch") < batch_id))
+        .select(*_COLUMNS, "batch", F.lit(False).alias("_behind"))
+    )
+    fresh = rows.filter(F.col("bucket").isin(buckets)).select(
+        *_COLUMNS, F.lit(batch_id).cast("bigint").alias("batch"), F.col("behind").alias("_behind")
     )
-    touched = stored.join(since, "session_id").withColumn("_changed", place >= F.col("_since"))
+    place = F.struct("ts", "sample_id")
+    every = tables.newest(
+        stored.unionByName(fresh).join(touched.select("session_id"), "session_id", "left_semi"),
+        ("session_id", "sample_id"),
+    ).join(touched, "session_id")
+    columns = [*_COLUMNS, "_behind"]
     back = Window.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("sample_id"))
     before = (
-        touched.filter(~F.col("_changed"))
+        every.filter(place < F.col("_since"))
         .withColumn("_back", F.row_number().over(back))
         .filter(F.col("_back") <= ROWS_BEFORE)
     )
-    columns = [*_COLUMNS, "_changed"]
-    rows = touched.filter("_changed").select(*columns).unionByName(before.select(*columns))
+    near = every.filter(place >= F.col("_since")).select(*columns).unionByName(before.select(*columns))
     rolled = rolling(
-        rows, ("session_id",), ("ts", "sample_id"), ROWS_BEFORE, {"ltft_30s": F.avg("ltft_b1_pct")}
+        near,
+        ("session_id",),
+        ("ts", "sample_id"),
+        ROWS_BEFORE,
+        {"mean": F.avg("ltft_b1_pct"), "_near": F.max("_behind")},
     )
-    fresh = with_rounded(rolled.filter("_changed"), {"ltft_30s": "ltft_30s"}, scale)
-    tables.put(fresh.select(*_COLUMNS, "ltft_30s"), root, "trend", batch_id)
+    return rolled.filter("_near").select(*_COLUMNS, "mean", _bucket())
 
 
 def stream_rolling_trim(samples: DataFrame, root: str, scale: int = 2) -> None:
-    """Drain the stream into ``{root}/trend``."""
-    tables.drain(
-        samples, lambda df, k: add_trim_batch(df, k, root, scale), f"{root}/progress/trim"
+    """Drain the stream into ``{root}/trend``.
+
+    A sample is known by session and ``sample_id``; a NULL id counts as -1 and NaN as NULL.
+    State is about one kilobyte a session and is kept for good, on disk.
+    """
+    ship_package(samples.sparkSession)
+    tables.create(samples.sparkSession, root, "trend", _TREND, ("bucket",))
+    changed = (
+        samples.select(
+            "session_id",
+            F.coalesce("sample_id", F.lit(-1)).cast("bigint").alias("sample_id"),
+            (epoch_exact(F.col("ts")) * F.lit(1_000_000)).cast("bigint").alias("micros"),
+            "ltft_b1_pct",
+        )
+        .groupBy("session_id")
+        .applyInPandasWithState(
+            _follow, _CHANGED, _STATE, "update", GroupStateTimeout.NoTimeout
+        )
     )
 
+    def store(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(
+            "session_id",
+            "sample_id",
+            moment_from_micros(F.col("micros")).alias("ts"),
+            *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("ltft_b1_pct", "mean")],
+            "behind",
+            _bucket(),
+        ).persist()
+        found = rows.filter("NOT behind").select(*_COLUMNS, "mean", "bucket")
+        if not rows.filter("behind").isEmpty():
+            found = found.unionByName(_repaired(rows, root, batch_id))
+        means = with_rounded(found, {"ltft_30s": "mean"}, scale).drop("mean")
+        tables.put(means.repartition("bucket"), root, "trend", batch_id, ("bucket",))
+        rows.unpersist()
+
+    tables.drain(changed, store, f"{root}/progress/trim", "update")
+
 
 def read_trend(spark: SparkSession, root: str) -> DataFrame:
     """The newest mean of every row."""
-    written = tables.read(spark, root, "trend", f"{_ROW}, ltft_30s DOUBLE")
+    written = tables.read(spark, root, "trend", _TREND).drop("bucket")
     return tables.newest(written, ("session_id", "sample_id")).select(*_COLUMNS, "ltft_30s")

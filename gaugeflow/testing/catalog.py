@@ -761,13 +761,19 @@ def write_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streams -----------------------------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in three files, one micro-batch each; every seventh event comes a file late."""
+def _event_stream(spark: SparkSession, sf_dir: str, closing: bool = False) -> DataFrame:
+    """Events in three files, one micro-batch each; every seventh event comes a file late.
+
+    A ``closing`` event a century on lets the watermark pass all others, and stays open itself.
+    """
     folder = V.scratch(spark, "event-stream")
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     third = F.floor(V.day_of(F.col("ts")) / 10) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
     for part in range(3):
         ev.filter(F.least(third, F.lit(2)) == part).write.parquet(f"{folder}/{part}")
+    if closing:
+        later = F.col("ts") + F.expr("INTERVAL 100 YEARS")
+        ev.limit(1).withColumn("ts", later).write.parquet(f"{folder}/3")
     raw = (
         spark.readStream.schema(ev.schema)
         .option("maxFilesPerTrigger", 1)
@@ -810,7 +816,7 @@ def missing_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings in three batches, some of them ten days late."""
     root = V.scratch(spark, "stream-samples")
-    live.stream_samples(V.readings_of(_event_stream(spark, sf_dir)), root)
+    live.stream_samples(V.readings_of(_event_stream(spark, sf_dir, closing=True)), root)
     return live.read_samples(spark, root).drop("parts")
 
 

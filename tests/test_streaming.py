@@ -69,32 +69,104 @@ def dims(spark):
     return sessions, bands
 
 
+def _in_order(spark, frames, folder):
+    """One micro-batch a frame."""
+    for k, df in enumerate(frames):
+        df.coalesce(1).write.parquet(f"{folder}/p{k:03}")
+    return (
+        spark.readStream.schema(frames[0].schema)
+        .option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", True)
+        .parquet(str(folder))
+    )
+
+
 def test_trim_stream(spark, tables_, tmp_path):
     samples, _ = tables_
     root = str(tmp_path / "state")
     trim.stream_rolling_trim(_replay(spark, samples, tmp_path / "in"), root)
     assert _same(trim.read_trend(spark, root), trends.fuel_trim_drift(samples))
-    assert tables.read(spark, root, "rows", trim._ROW).select("batch").distinct().count() == 3
+    batches = tables.read(spark, root, "trend", trim._TREND).select("batch").distinct()
+    assert batches.count() == 3
+
+
+TRIM = "sample_id BIGINT, session_id BIGINT, ts TIMESTAMP_NTZ, ltft_b1_pct DOUBLE"
 
 
 def test_late_rows_change_the_means_after_them(spark, tmp_path):
     rows = [(i, 1, START + timedelta(seconds=i), float(i * i)) for i in range(4)]
-    samples = spark.createDataFrame(
-        rows, "sample_id BIGINT, session_id BIGINT, ts TIMESTAMP_NTZ, ltft_b1_pct DOUBLE"
-    )
+    samples = spark.createDataFrame(rows, TRIM)
     root = str(tmp_path / "state")
-    trim.add_trim_batch(samples.filter("sample_id IN (0, 2)"), 0, root)
-    trim.add_trim_batch(samples.filter("sample_id IN (1, 3)"), 1, root)
-    trim.add_trim_batch(samples.filter("sample_id IN (1, 3)"), 1, root)
+    parts = ["sample_id IN (0, 2)", "sample_id IN (1, 3)", "sample_id IN (1, 3)"]
+    stream = _in_order(spark, [samples.filter(p) for p in parts], tmp_path / "in")
+    trim.stream_rolling_trim(stream, root)
     assert rows_of(trim.read_trend(spark, root), "sample_id", "ltft_30s") == [
         (0, 0.0), (1, 0.5), (2, 1.67), (3, 3.5),
     ]
 
 
-def test_score_stream(spark, tables_, dims, tmp_path):
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trim_under_any_disorder(spark, tmp_path, seed, monkeypatch):
+    """Rows far behind a session's state, missing values, equal times; repairs in the same batch."""
+    rng = random.Random(seed)
+    rows = [
+        (i, i % 3, START + timedelta(seconds=i // 4), None if i % 11 == 0 else rng.randrange(99) / 8)
+        for i in range(900)
+    ]
+    samples = spark.createDataFrame(rows, TRIM)
+    late = {i: rng.random() for i in range(900)}
+    batch_of = [
+        [r for r in rows if min(r[0] // 180 + (rng.randrange(1, 5) if late[r[0]] < 0.1 else 0), 4) == k]
+        for k in range(5)
+    ]
+    assert sorted(r for part in batch_of for r in part) != [] and len(batch_of[4]) > 180
+    seen = {r[0] for r in batch_of[0]}
+    frames = [spark.createDataFrame([r for r in batch_of[0]], TRIM)]
+    for k in range(1, 5):
+        frames.append(spark.createDataFrame([r for r in batch_of[k] if r[0] not in seen], TRIM))
+        seen |= {r[0] for r in batch_of[k]}
+    samples = samples.filter(F.col("sample_id").isin(sorted(seen)))
+    repaired = []
+    usual = trim._repaired
+    monkeypatch.setattr(trim, "_repaired", lambda *a: (repaired.append(a[2]), usual(*a))[1])
+    root = str(tmp_path / "state")
+    trim.stream_rolling_trim(_in_order(spark, frames, tmp_path / "in"), root)
+    assert _same(trim.read_trend(spark, root), trends.fuel_trim_drift(samples))
+    assert repaired
+
+
+def test_a_batch_costs_the_same_after_twenty(spark, tmp_path, monkeypatch):
+    """In-order batches read nothing that earlier ones wrote, and write no more than before."""
+    frames = [
+        spark.createDataFrame(
+            [(k * 100 + i, i % 7, START + timedelta(seconds=k * 100 + i), i / 4) for i in range(100)],
+            TRIM,
+        )
+        for k in range(21)
+    ]
+    root = str(tmp_path / "state")
+    reads = []
+    usual = tables.read
+    monkeypatch.setattr(tables, "read", lambda *a: (reads.append(a[2]), usual(*a))[1])
+    trim.stream_rolling_trim(_in_order(spark, frames, tmp_path / "in"), root)
+    assert reads == []
+    per_batch = [
+        spark.read.parquet(f"{root}/trend/batch={k}").count() for k in range(21)
+    ]
+    assert per_batch == [100] * 21
+    everything = frames[0]
+    for df in frames[1:]:
+        everything = everything.unionByName(df)
+    assert _same(trim.read_trend(spark, root), trends.fuel_trim_drift(everything))
+
+
+def test_score_stream(spark, tables_, dims, tmp_path, monkeypatch):
     samples, events = tables_
     sessions, bands = dims
     root = str(tmp_path / "state")
+    reads = []
+    usual = tables.read
+    monkeypatch.setattr(tables, "read", lambda *a: (reads.append(a[2]), usual(*a))[1])
     score.stream_session_score(
         _replay(spark, samples, tmp_path / "s"),
         _replay(spark, events, tmp_path / "f"),
@@ -102,9 +174,28 @@ def test_score_stream(spark, tables_, dims, tmp_path):
         bands,
         root,
     )
+    # No batch reads what earlier ones wrote.
+    assert reads == []
     batch = deviation.session_health_score(sessions, samples, events, bands)
     assert _same(score.current_scores(spark, root, sessions), batch)
-    assert spark.read.parquet(f"{root}/scores/samples").select("batch").distinct().count() == 3
+    written = tables.read(spark, root, "scores", score._SCORES)
+    assert written.select("batch").distinct().count() == 3
+    assert written.groupBy("session_id", "batch").count().filter("count > 1").isEmpty()
+
+
+def test_bands_listed_twice_and_none_at_all(spark, tables_, dims, tmp_path):
+    samples, events = tables_
+    sessions, bands = dims
+    odd = bands.filter("vehicle_id <> 3").unionByName(bands.filter("vehicle_id = 1")).unionByName(
+        bands.filter("vehicle_id = 2").withColumn("healthy_max", F.lit(None).cast("double"))
+    )
+    root = str(tmp_path / "state")
+    few = samples.withColumn("coolant_temp_c", F.when(F.col("session_id") == 2, None).otherwise(F.col("coolant_temp_c")))
+    score.stream_session_score(
+        _replay(spark, few, tmp_path / "s"), _replay(spark, events, tmp_path / "f"), sessions, odd, root
+    )
+    batch = deviation.session_health_score(sessions, few, events, odd)
+    assert _same(score.current_scores(spark, root, sessions), batch)
 
 
 def test_faults_alone_refresh_scores(spark, tables_, dims, tmp_path):
@@ -115,7 +206,7 @@ def test_faults_alone_refresh_scores(spark, tables_, dims, tmp_path):
     stream = _replay(spark, few, tmp_path / "f", parts=1)
     empty = _replay(spark, samples.limit(0), tmp_path / "s", parts=1)
     score.stream_session_score(empty, stream, sessions, bands, root)
-    refreshed = spark.read.parquet(f"{root}/scores/faults")
+    refreshed = tables.read(spark, root, "scores", score._SCORES)
     assert rows_of(refreshed, "session_id") == rows_of(few.select("session_id").distinct(), "session_id")
     assert refreshed.filter("health_score < 100").count() == refreshed.count() > 0
 
@@ -173,11 +264,58 @@ def test_live_capture(spark, readings, tmp_path):
         (2, START, "KEPT"),
     ]
     root = str(tmp_path / "live")
-    # A poll's readings in two batches.
-    live.stream_samples(_replay(spark, readings, tmp_path / "in", parts=2), root)
+    # A poll's readings in two batches, then one that lets the watermark pass all others.
+    closing = spark.createDataFrame(_poll(9, 10**6), READING)
+    parts = [readings.filter("command < 'M'"), readings.filter("command >= 'M'"), closing]
+    live.stream_samples(_in_order(spark, parts, tmp_path / "in"), root)
     got = live.read_samples(spark, root)
     assert _same(got.drop("parts"), samples)
-    assert got.filter("parts > 1").count() > 0
+    assert got.filter("parts > 1").isEmpty()
+
+
+def test_late_readings_are_kept_aside_and_merged(spark, tmp_path):
+    """The watermark closes a poll once; what comes later is a late row, and the two are merged."""
+    polls = spark.createDataFrame(_poll(1, 0) + _poll(1, 3000) + _poll(2, 3000, 7.0), READING)
+    far = spark.createDataFrame(_poll(9, 10**6), READING)
+    is_first = F.col("ts") == F.lit(START).cast("timestamp_ntz")
+    parts = [
+        polls.filter(is_first & (F.col("command") != "RPM")),
+        polls.filter(~is_first & (F.col("command") != "MAF")),
+        # 3000 s is beyond the delay for the first poll, not for the others.
+        polls.filter(is_first & (F.col("command") == "RPM")).unionByName(polls.filter(~is_first & (F.col("command") == "MAF"))),
+        far,
+        # A poll of which all is late.
+        spark.createDataFrame(_poll(3, 0, 1.5), READING),
+    ]
+    root = str(tmp_path / "live")
+    live.stream_samples(_in_order(spark, parts, tmp_path / "in"), root)
+    written = tables.read(spark, root, "samples", live._SAMPLE)
+    closed, late = (written.filter(F.col("kind") == k) for k in ("closed", "late"))
+    assert closed.groupBy("session_id", "ts").count().filter("count > 1").isEmpty()
+    assert (closed.count(), late.filter("session_id = 1").count(), late.filter("session_id = 2").count()) == (3, 1, 0)
+    every = polls.unionByName(spark.createDataFrame(_poll(3, 0, 1.5), READING))
+    got = live.read_samples(spark, root)
+    assert _same(got.drop("parts"), live.live_readings_to_samples(every))
+    assert rows_of(got.filter("parts > 1"), "session_id", "ts") == [(1, START)]
+
+
+def test_closed_polls_alone_follow_the_watermark(spark, readings, tmp_path):
+    """The streaming form of the batch operator: append mode, late readings left out and counted."""
+    # The engine leaves out what the watermark of the batch before had passed.
+    far = [spark.createDataFrame(_poll(9, 10**6 + k), READING) for k in range(2)]
+    parts = [readings, *far, spark.createDataFrame(_poll(1, 5), READING)]
+    samples = live.live_readings_to_samples(_in_order(spark, parts, tmp_path / "in"))
+    query = (
+        samples.writeStream.format("parquet")
+        .option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "progress"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert _same(spark.read.parquet(str(tmp_path / "out")), live.live_readings_to_samples(readings))
+    dropped = [p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in query.recentProgress]
+    assert sum(dropped) > 0
 
 
 def test_guard(readings):
