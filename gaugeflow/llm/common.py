@@ -63,6 +63,20 @@ def materialized(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+# Rows of a narrow stored table that are worth a task of their own.
+ROWS_A_TASK = 100_000
+
+
+def compacted(df: DataFrame) -> DataFrame:
+    """``materialized`` for tables of a few narrow columns, read by as many tasks as its rows need.
+
+    Steps on it then don't write files for each of the many, almost empty partitions that a
+    shuffle leaves; a large table keeps its partitions.
+    """
+    stored = materialized(df)
+    return stored.coalesce(stored.count() // ROWS_A_TASK + 1)
+
+
 Columns = dict[str, Any]
 
 # Only functions of this module may touch it: a function sent to a worker gets a copy of

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.common import (
-    BROADCAST_ROWS, batchwise, in_blocks, materialized, slices, text_or_empty,
+    BROADCAST_ROWS, batchwise, compacted, in_blocks, materialized, slices, text_or_empty,
 )
 from gaugeflow.llm.components import components, joined
 
@@ -37,8 +37,8 @@ SHINGLE, PER_CENT = 5, 75
 LEAST_BITS = 512
 # Keys that one reducing task handles, and documents that a mapping task gathers at a time.
 BUCKET_KEYS, GATHERED_KEYS = 1_600_000, 1_000_000
-# Sizes travel as logarithms, keys of a document in a bucket in runs of so many at most.
-SCALE, MOST_RUN = 1000, 30_000
+# Sizes travel as logarithms in a byte; all above the greatest count as equal.
+SCALE, MOST_SCALE = 12, 127
 # Sets of one side where a list's members are compared, and sets of the corpus for each such task.
 BLOCK, COMPARED = 1024, 4096
 # Pairs of two components that a task gives to be verified at first.
@@ -254,7 +254,7 @@ def keys(shingles: np.ndarray) -> np.ndarray:
 # -- stages -------------------------------------------------------------------------------
 
 _SETS = "doc_id long, n int, node long, check long, bits array<long>"
-_KEYS = "bucket int, nodes array<long>, scales array<smallint>, counts array<smallint>, keys array<long>"
+_KEYS = "bucket int, nodes array<long>, scales array<tinyint>, keys array<int>"
 
 
 def document_sets(docs: DataFrame, seed: int) -> DataFrame:
@@ -275,7 +275,12 @@ def document_sets(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def posted_keys(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
-    """Keys of all sets by bucket, as arrays, which hold a document's id once for all its keys in a bucket."""
+    """Keys of all sets by bucket, as arrays.
+
+    The bucket comes from the upper bits of a key and 32 of the others travel: keys of a bucket
+    that agree in them by chance make a few candidates more.  A key takes 13 bytes whatever
+    the number of buckets.
+    """
 
     def post(batches):
         seen: set[int] = set()
@@ -288,23 +293,16 @@ def posted_keys(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             every, owner, bucket = every[order], owner[order], bucket[order]
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = {c: [] for c in ("bucket", "nodes", "scales", "counts", "keys")}
-            node, scale = np.array(nodes, np.int64), np.array(scales, np.int16)
-            for i in range(buckets):
-                a, b = cut[i], cut[i + 1]
-                if b > a:
-                    own, counts = np.unique(owner[a:b], return_counts=True)
-                    # A run too long for its type goes on in another.
-                    runs = -(-counts // MOST_RUN)
-                    own, last = np.repeat(own, runs), np.cumsum(runs) - 1
-                    lengths = np.full(len(own), MOST_RUN)
-                    lengths[last] = counts - (runs - 1) * MOST_RUN
-                    rows["bucket"].append(i)
-                    rows["nodes"].append(node[own])
-                    rows["scales"].append(scale[own])
-                    rows["counts"].append(lengths.astype(np.int16))
-                    rows["keys"].append(every[a:b].view(np.int64))
-            return rows
+            node, scale = np.array(nodes, np.int64)[owner], np.array(scales, np.int8)[owner]
+            short = every.astype(np.uint32).view(np.int32)
+            filled = [i for i in range(buckets) if cut[i + 1] > cut[i]]
+            parts = [slice(cut[i], cut[i + 1]) for i in filled]
+            return {
+                "bucket": filled,
+                "nodes": [node[p] for p in parts],
+                "scales": [scale[p] for p in parts],
+                "keys": [short[p] for p in parts],
+            }
 
         for batch in batches:
             for first, last in slices(batch["text"]):
@@ -314,7 +312,7 @@ def posted_keys(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
                         continue
                     seen.add(node)
                     nodes.append(node)
-                    scales.append(round(SCALE * math.log(len(shingles))))
+                    scales.append(min(round(SCALE * math.log(len(shingles))), MOST_SCALE))
                     found.append(keys(shingles))
                     gathered += len(found[-1])
                 if gathered > GATHERED_KEYS:
@@ -342,11 +340,10 @@ def meetings(posted: DataFrame) -> DataFrame:
     def meet(bucket: pa.Table) -> pa.Table:
         flat = {
             c: bucket[c].combine_chunks().flatten().to_numpy()
-            for c in ("nodes", "scales", "counts", "keys")
+            for c in ("nodes", "scales", "keys")
         }
-        owner = np.repeat(np.arange(len(flat["nodes"])), flat["counts"])
-        order = np.argsort(flat["keys"], kind="stable")
-        key, owner = flat["keys"][order], owner[order]
+        owner = np.argsort(flat["keys"], kind="stable")
+        key = flat["keys"][owner]
         same = key[1:] == key[:-1]
         live = np.concatenate((same, [False])) | np.concatenate(([False], same))
         key, owner = key[live], owner[live]
@@ -358,7 +355,7 @@ def meetings(posted: DataFrame) -> DataFrame:
         fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         key, node, scale = key[fresh], node[fresh], scale[fresh]
         beside = np.flatnonzero(key[1:] == key[:-1]) if len(key) else np.zeros(0, np.int64)
-        beside = beside[scale[beside + 1] - scale[beside] <= SCALE * math.log(100 / PER_CENT) + 2]
+        beside = beside[scale[beside + 1] - scale[beside] <= SCALE * math.log(100 / PER_CENT) + 1]
         rows = {name: [] for name in schema.names}
         if len(beside):
             pairs = np.stack([node[beside], node[beside + 1]], axis=1)
@@ -415,7 +412,7 @@ def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seed: int) -> Da
     Texts, which take less room than their sets, are brought together; only those of the
     pairs are.
     """
-    wanted = materialized(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    wanted = compacted(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     chosen = nodes.join(wanted, "node").select(F.col("first_id").alias("doc_id")).distinct()
     if wanted.count() <= BROADCAST_ROWS:
         wanted, chosen = F.broadcast(wanted), F.broadcast(chosen)
@@ -550,8 +547,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
         .groupBy("a", "b")
         .agg(F.sum("times").alias("times"))
     )
-    pairs = materialized(pairs)
-    candidates = materialized(not_far(pairs, nodes).join(pairs, ["a", "b"]))
+    pairs = compacted(pairs)
+    candidates = compacted(not_far(pairs, nodes).join(pairs, ["a", "b"]))
     # First each set with the one that it met most often.
     often = F.struct(F.col("times"), F.col("a"), F.col("b"))
     best = (
@@ -559,21 +556,21 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
         .union(candidates.groupBy("b").agg(F.max(often).alias("p")))
         .select("p.a", "p.b").distinct()
     )
-    best = materialized(best)
-    named = materialized(components(linked(best, texts, nodes, seed)))
+    best = compacted(best)
+    named = compacted(components(linked(best, texts, nodes, seed)))
     # Then the candidates that would join different components.
     part = {x: named.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}")) for x in "ab"}
     apart = F.coalesce("in_a", "a") != F.coalesce("in_b", "b")
     rest = candidates.join(part["a"], "a", "left").join(part["b"], "b", "left").where(apart).select("a", "b")
-    rest = materialized(rest.join(best, ["a", "b"], "left_anti"))
+    rest = compacted(rest.join(best, ["a", "b"], "left_anti"))
     named = joined(named, linked(rest, texts, nodes, seed))
     # At last the members of lists that still hold several components, the nearest first:
     # a link joins two components and settles all other pairs between them.
     tried, most, more = best.union(rest), FIRST_PAIRS, True
     while more:
-        left = materialized(across(lists, named, nodes, max(8, many // COMPARED), most))
+        left = compacted(across(lists, named, nodes, max(8, many // COMPARED), most))
         more = not left.where("more").isEmpty()
-        fresh = materialized(left.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        fresh = compacted(left.select("a", "b").join(tried, ["a", "b"], "left_anti"))
         named = joined(named, linked(fresh, texts, nodes, seed))
         tried, most = tried.union(fresh), 32 * most
     final = named.join(nodes.select("node", "first_id"), "node")
@@ -626,7 +623,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     filled = groups.where("n_shingles > 0")
     if not filled.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
         return _one_row_of_each_group(docs, filled, seed)
-    dropped = materialized(groups.where("doc_id != component_id").select("doc_id").distinct())
+    dropped = compacted(groups.where("doc_id != component_id").select("doc_id").distinct())
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
     return docs.join(dropped, "doc_id", "left_anti")
