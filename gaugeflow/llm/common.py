@@ -148,14 +148,21 @@ def in_blocks(df: DataFrame, key: list[str], row: str, most: int) -> DataFrame:
         .where(F.col("rows") > most)
         .select(*key, F.ceil(F.col("rows") / most).cast("int").alias("blocks"))
     )
-    blocks = F.coalesce("blocks", F.lit(1))
+    return paired_blocks(
+        df.join(long_keys, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))),
+        row,
+        "blocks",
+    )
+
+
+def paired_blocks(df: DataFrame, row: str, blocks: str) -> DataFrame:
+    """``in_blocks`` where each row has its key's number of blocks, which is dropped."""
     return (
-        df.join(long_keys, key, "left")
-        .withColumn("side", F.pmod(F.xxhash64(row), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        df.withColumn("side", F.pmod(F.xxhash64(row), F.col(blocks)).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
         .withColumn("low", F.least("side", "other"))
         .withColumn("high", F.greatest("side", "other"))
-        .drop("other", "blocks")
+        .drop("other", blocks)
     )
 
 

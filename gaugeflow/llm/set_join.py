@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.common import (
-    BROADCAST_ROWS, batchwise, compacted, in_blocks, materialized, slices, text_or_empty,
+    BROADCAST_ROWS, batchwise, compacted, materialized, paired_blocks, slices, text_or_empty,
 )
 from gaugeflow.llm.components import components, joined
 
@@ -113,9 +113,11 @@ def fingerprint(shingles: np.ndarray, seed: int) -> int:
 def parity(shingles: np.ndarray) -> np.ndarray:
     """Bitmap of the parity of hashed shingles: sets that differ in d shingles differ in at most d bits.
 
-    It has two to four bits a shingle, a power of two, and folds to any smaller one.
+    It has three quarters to one and a half bits a shingle, a power of two, and folds to any
+    smaller one.  Unrelated sets of n shingles then differ in three eighths of n bits and more,
+    linked ones in two sevenths at most.
     """
-    size = max(LEAST_BITS, 1 << (2 * len(shingles)).bit_length())
+    size = max(LEAST_BITS, 1 << (3 * len(shingles) // 4).bit_length())
     bits = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
@@ -470,18 +472,24 @@ def across(
         .join(named, "node", "left")
         .select("list", "node", F.coalesce("component", "node").alias("component"))
     )
+    # A list is as long as it was; only those of several components are taken apart again.
     mixed_lists = (
         members.groupBy("list")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low != high")
-        .select("list")
+        .agg(
+            F.min("component").alias("least"),
+            F.max("component").alias("most"),
+            F.collect_list(F.struct("node", "component")).alias("rows"),
+        )
+        .where("least != most")
     )
-    members = members.join(mixed_lists, "list").distinct()
+    blocks = F.ceil(F.size("rows") / BLOCK).cast("int")
     compared = (
-        in_blocks(members, ["list"], "node", BLOCK)
+        mixed_lists.select("list", blocks.alias("blocks"), F.inline("rows"))
+        .transform(lambda df: paired_blocks(df, "node", "blocks"))
         .withColumn("block", F.xxhash64("list", "low", "high"))
         .join(nodes.select("node", "n", "bits"), "node")
         .withColumn("task", F.pmod("block", F.lit(tasks)))
+        .select("task", "block", "side", "low", "high", "node", "component", "n", "bits")
     )
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -540,7 +548,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
     )
     many, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     met = materialized(meetings(posted_keys(texts, seed, max(8, total // BUCKET_KEYS))))
-    lists = met.where("list IS NOT NULL").select("list", "members")
+    # A group of near copies meets under many keys of many buckets; its list counts once.
+    lists = materialized(
+        met.where("list IS NOT NULL")
+        .groupBy("list", F.size("members").alias("size"), F.element_at("members", 1).alias("first"))
+        .agg(F.first("members").alias("members"))
+        .select(F.xxhash64("list", "size", "first").alias("list"), "members")
+    )
     pairs = (
         met.where("list IS NULL")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "times")
