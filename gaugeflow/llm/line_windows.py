@@ -1,8 +1,9 @@
 """Line deduplication by overlapping three-line windows, in DataFrame operations only.
 
-Every three consecutive non-blank lines of a text are hashed to 128 bits.  Windows that
-occur more than once in the corpus keep their first occurrence, by (id, place in the text);
-the lines of all later ones are removed.  Only hashes and places are shuffled to find the
+Every three non-blank lines of a text that follow each other, whatever blank lines part them,
+are hashed to 128 bits.  Windows that occur more than once in the corpus keep their first
+occurrence, by (id, place in the text); the lines of all later ones are removed, from the first
+to the last with the blank lines between them.  Only hashes and places are shuffled to find the
 windows; texts move once, to meet the ranges to remove.
 """
 
@@ -38,12 +39,19 @@ def covered_ranges(keyed: DataFrame) -> DataFrame:
         "doc_id",
         "k1",
         "k2",
-        F.transform(
-            _lines(F.col("text")),
-            lambda line: F.when(
-                line.rlike(r"\S"),
-                F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("b"), line).alias("b")),
+        F.filter(
+            F.transform(
+                _lines(F.col("text")),
+                lambda line, i: F.when(
+                    line.rlike(r"\S"),
+                    F.struct(
+                        F.xxhash64(line).alias("a"),
+                        F.xxhash64(F.lit("b"), line).alias("b"),
+                        i.alias("at"),
+                    ),
+                ),
             ),
+            lambda line: line.isNotNull(),
         ).alias("h"),
     ).where(F.size("h") >= WINDOW)
     many = F.size("h") - (WINDOW - 1)
@@ -56,12 +64,13 @@ def covered_ranges(keyed: DataFrame) -> DataFrame:
                 F.arrays_zip(*[F.slice("h", i + 1, many).alias(f"h{i}") for i in range(WINDOW)])
             ).alias("place", "w"),
         )
-        .where(" AND ".join(f"w.h{i} IS NOT NULL" for i in range(WINDOW)))
         .select(
             "doc_id",
             "k1",
             "k2",
             "place",
+            F.col("w.h0.at").alias("start"),
+            F.col(f"w.h{WINDOW - 1}.at").alias("stop"),
             F.xxhash64(*[F.col(f"w.h{i}.a") for i in range(WINDOW)]).alias("w1"),
             F.xxhash64(*[F.col(f"w.h{i}.b") for i in range(WINDOW)]).alias("w2"),
         )
@@ -75,15 +84,21 @@ def covered_ranges(keyed: DataFrame) -> DataFrame:
     )
     same = [F.col(f"first.{c}").eqNullSafe(F.col(c)) for c in ("k1", "k2", "place")]
     later = windows.join(repeated, ["w1", "w2"]).where(~(same[0] & same[1] & same[2]))
-    # Places of one document; at most one for each of its lines.
-    places = later.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("place")).alias("p"))
+    # Windows of one document; at most one for each of its lines.  Those that share a line merge.
+    places = later.groupBy("k1", "k2").agg(
+        F.array_sort(F.collect_set(F.struct("place", "start", "stop"))).alias("p")
+    )
+    apart = lambda x, y: x["place"] - y["place"] >= WINDOW
     return places.select(
         "k1",
         "k2",
-        F.filter("p", lambda x, i: (i == 0) | (x - F.get("p", i - 1) > WINDOW)).alias("first"),
         F.transform(
-            F.filter("p", lambda x, i: (i == F.size("p") - 1) | (F.get("p", i + 1) - x > WINDOW)),
-            lambda x: x + (WINDOW - 1),
+            F.filter("p", lambda x, i: (i == 0) | apart(x, F.get("p", i - 1))),
+            lambda x: x["start"],
+        ).alias("first"),
+        F.transform(
+            F.filter("p", lambda x, i: (i == F.size("p") - 1) | apart(F.get("p", i + 1), x)),
+            lambda x: x["stop"],
         ).alias("last"),
     )
 
@@ -123,8 +138,9 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts without repeated three-line windows: doc_id, n_lines, n_removed, text.
 
-    One row per input row.  A NULL text counts as empty: one blank line.  Blank lines belong
-    to no window.  Rows with equal id and text are one document: they get the same result.
+    One row per input row.  A NULL text counts as empty: one blank line.  Blank lines are
+    passed over, and go where they lie inside a window that goes.  A text of fewer than three
+    other lines has no window.  Rows with equal id and text are one document: they get the same result.
     Of equal windows the one with the smallest id (NULL first) and place stays; where
     windows overlap each other, all lines of the later ones go.
     """

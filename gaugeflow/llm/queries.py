@@ -79,15 +79,14 @@ WITH split AS (
 ), following AS (
     SELECT doc_id, place, line AS a,
         lead(line, 1) OVER (PARTITION BY doc_id ORDER BY place) AS b,
-        lead(line, 2) OVER (PARTITION BY doc_id ORDER BY place) AS c
-    FROM line
+        lead(line, 2) OVER (PARTITION BY doc_id ORDER BY place) AS c,
+        lead(place, 2) OVER (PARTITION BY doc_id ORDER BY place) AS last
+    FROM line WHERE regexp_matches(line, '\S')
 ), numbered AS (
-    SELECT doc_id, place, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, place) AS nth
-    FROM following
-    WHERE regexp_matches(a, '\S') AND regexp_matches(b, '\S') AND regexp_matches(c, '\S')
+    SELECT doc_id, place, last, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, place) AS nth
+    FROM following WHERE last IS NOT NULL
 ), covered AS (
-    SELECT DISTINCT doc_id, place + step AS place
-    FROM numbered, (VALUES (0), (1), (2)) AS t(step) WHERE nth > 1
+    SELECT DISTINCT doc_id, unnest(range(place, last + 1)) AS place FROM numbered WHERE nth > 1
 )
 SELECT l.doc_id, count(*) AS n_lines, count(c.place) AS n_removed,
     coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (WHERE c.place IS NULL), '') AS text

@@ -73,7 +73,7 @@ def test_windows_read_back(turns):
     windows, out = chat.Windows(budget=12, history_tokens=5, history_turns=2, key=1), []
     for role, text, tokens in turns:
         body, start, end = chat.formatted(role, text)
-        out += windows.add(chat.Turn(role, body, start, end, tokens))
+        out += windows.add(chat.Turn(role, body, start, end, tokens, tokens + 1))
     out.append(windows.window())
     fresh = [(role, text) for w in out for past, role, text in chat.turns_of(w[6]) if not past]
     assert fresh == [(role, text) for role, text, _ in turns]
@@ -82,9 +82,10 @@ def test_windows_read_back(turns):
     for w in out:
         shown = list(chat.turns_of(w[6]))
         assert [p for p, *_ in shown] == [True] * w[3] + [False] * w[4]
-        assert w[5] <= 12 or w[4] == 1
-        if turns[0][0] == "system":
-            assert shown[0][1:] == turns[0][:2]
+        # Above the budget only if one new turn alone is.
+        assert w[5] <= 12 or (w[4] == 1 and w[3] == 0)
+        if turns[0][0] == "system" and turns[0][2] == 0:
+            assert shown[0][1:] == turns[0][:2] or w[5] + 1 > 12
 
 
 def test_chat_windows(spark):
@@ -174,11 +175,11 @@ def lines_by_hand(docs):
         if i in out:
             continue
         lines, gone = (text or "").split("\n"), set()
-        for k in range(len(lines) - 2):
-            window = tuple(lines[k : k + 3])
-            if all(x.strip(" \t\r\f\v") for x in window):
-                gone |= {k, k + 1, k + 2} if window in seen else set()
-                seen.add(window)
+        said = [k for k, x in enumerate(lines) if x.strip(" \t\r\f\v")]
+        for first, second, third in zip(said, said[1:], said[2:]):
+            window = lines[first], lines[second], lines[third]
+            gone |= set(range(first, third + 1)) if window in seen else set()
+            seen.add(window)
         out[i] = (len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
     return out
 
@@ -200,6 +201,33 @@ def test_line_windows(make_docs, odd_docs, no_docs):
     assert line_windows.dedup_lines(no_docs).collect() == []
 
 
+def test_paragraphs_parted_by_blank_lines_are_found(make_docs):
+    body = "\n\n".join(f"paragraph {k}" for k in range(6))
+    got = line_windows.dedup_lines(make_docs([(1, body), (2, f"own line\n\n{body}\nlast")])).collect()
+    assert {r.doc_id: r.text for r in got} == {1: body, 2: "own line\n\nlast"}
+
+
+def test_windows_keep_to_their_budget(spark):
+    """By the tokens of each whole window, not by those that its turns add up to."""
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(4)
+    rows = []
+    for conv in range(40):
+        if conv % 2:
+            rows.append((conv, 0, "system", "be brief " * (1 if conv % 4 == 1 else 28)))
+        rows += [
+            (conv, t, "user" if t % 2 else "assistant", "so it goes on " * rnd.randrange(0, 9))
+            for t in range(1, 30)
+        ]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    count = Tokenizer.from_file(BYTES)
+    windows = chat.chat_windows(table, BYTES, budget=64, history_tokens=30, history_turns=2).collect()
+    sizes = [len(count.encode(w.text, add_special_tokens=False).ids) for w in windows]
+    assert all(n <= 64 for n, w in zip(sizes, windows) if w.n_new > 1 or w.n_repeated)
+    assert sum(w.n_repeated > 0 for w in windows) > 50
+
+
 # -- sets ---------------------------------------------------------------------------------
 
 
