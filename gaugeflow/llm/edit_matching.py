@@ -16,11 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import text_or_empty, whole
+from gaugeflow.llm.common import materialized, text_or_empty, whole
 
 # Pieces that one scan looks for.
-BLOCK_PIECES = 20_000
-# Normalized characters below which an item can't be told from ordinary text.
+BLOCK_PIECES = 100_000
+# Items of fewer normalized characters are looked for as they are, between word edges.
 LEAST_CHARS = 24
 
 
@@ -36,9 +36,9 @@ class Item:
     budget: int
 
     @staticmethod
-    def of(item_id: int, text: str, rate: float, least_piece: int) -> Item:
+    def of(item_id: int, text: str, rate: float) -> Item:
         plain = normalized(text)
-        return Item(item_id, plain, max(0, min(int(rate * len(plain)), len(plain) // least_piece - 1)))
+        return Item(item_id, plain, int(rate * len(plain)) if len(plain) >= LEAST_CHARS else 0)
 
     def pieces(self) -> list[tuple[int, str]]:
         """(place in the item, piece), budget + 1 of them with nearly equal lengths."""
@@ -113,7 +113,10 @@ class Matcher:
         item = self.items[i]
         size, k = len(item.text), item.budget
         if start >= 0 and text.startswith(item.text, start):
-            return 0
+            if size >= LEAST_CHARS:
+                return 0
+            edges = text[max(0, start - 1) : start], text[start + size : start + size + 1]
+            return int(any(c.isalnum() for c in edges))
         if not k:
             return 1
         if i not in self.masks:
@@ -122,15 +125,15 @@ class Matcher:
 
 
 def item_blocks(
-    benchmark: DataFrame, rate: float, least_piece: int, id_col: str, text_col: str
+    benchmark: DataFrame, rate: float, id_col: str, text_col: str
 ) -> Iterator[list[Item]]:
     """The benchmark in blocks of at most ``BLOCK_PIECES`` pieces, streamed through the driver."""
     block: list[Item] = []
     size = 0
     rows = benchmark.select(F.col(id_col).cast("long"), text_or_empty(text_col)).toLocalIterator()
     for item_id, text in rows:
-        item = Item.of(item_id, text, rate, least_piece)
-        if item_id is None or len(item.text) < LEAST_CHARS:
+        item = Item.of(item_id, text, rate)
+        if item_id is None or not item.text:
             continue
         if block and size + item.budget + 1 > BLOCK_PIECES:
             yield block
@@ -159,22 +162,33 @@ def _search(items, kind: str):
 
 
 def _found(
-    docs: DataFrame, benchmark: DataFrame, text: Column, rate: float, least_piece: int, id_col: str, text_col: str
-) -> Column:
-    """array<struct<item_id, distance>> of the items that a text holds."""
+    docs: DataFrame, benchmark: DataFrame, text: Column, rate: float, id_col: str, text_col: str
+) -> DataFrame:
+    """The rows as ``row``, with ``found``: array<struct<item_id, distance>> of the items a text holds.
+
+    Each block of items is a pass over the texts.  The first one's result is not stored if it is
+    the only one; otherwise a pass is written before the next block is broadcast, and the
+    block let go.
+    """
     context = docs.sparkSession.sparkContext
     kind = "array<struct<item_id:bigint,distance:int>>"
-    found = [F.array().cast(kind)]
-    for block in item_blocks(benchmark, rate, least_piece, id_col, text_col):
-        found.append(_search(context.broadcast(block), kind)(text))
-    return F.concat(*found)
+    result = docs.select(
+        F.struct("*").alias("row"), text.alias("text"), F.array().cast(kind).alias("found")
+    )
+    before = None
+    for block in item_blocks(benchmark, rate, id_col, text_col):
+        if before is not None:
+            result = materialized(result)
+            before.unpersist()
+        before = context.broadcast(block)
+        result = result.withColumn("found", F.concat("found", _search(before, kind)("text")))
+    return result.select("row", "found")
 
 
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
     rate: float = 0.06,
-    least_piece: int = 12,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_id_col: str = "item_id",
@@ -184,16 +198,14 @@ def contamination(
 
     A text holds an item where some stretch of it is within ``rate`` edits per character of
     the item, both normalized.  ``distance`` is the least one, NULL where there is none;
-    ``items`` are the ids in order.  One row per input row; NULL texts hold nothing.  Items
-    that are NULL, have no id or fewer than ``LEAST_CHARS`` characters are left out; an item
-    that is listed twice counts twice.
+    ``items`` are the ids in order.  One row per input row; NULL texts hold nothing.  Items of
+    fewer than ``LEAST_CHARS`` characters are found as they are, between word edges.  Items
+    that are NULL or blank or have no id are left out; an item that is listed twice counts
+    twice.  Other columns are ignored.
     """
-    found = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        _found(
-            docs, benchmark, text_or_empty(text_col), rate, least_piece, item_id_col, item_text_col
-        ).alias("found"),
-    )
+    found = _found(
+        docs, benchmark, text_or_empty(text_col), rate, item_id_col, item_text_col
+    ).select(F.col(f"row.{id_col}").cast("long").alias("doc_id"), "found")
     return found.select(
         "doc_id",
         F.size("found").cast("long").alias("n_items"),
@@ -203,9 +215,10 @@ def contamination(
     )
 
 
-def without_benchmark(
-    docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, least_piece: int = 12
-) -> DataFrame:
-    """Documents that hold no benchmark item, with their own columns and rows as they are."""
-    found = _found(docs, benchmark, text_or_empty("text"), rate, least_piece, "item_id", "text")
-    return docs.where(F.size(found) == 0)
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06) -> DataFrame:
+    """Documents that hold no benchmark item, with their own columns and rows as they are.
+
+    NULL and empty texts hold nothing and stay, as do all rows if the benchmark is empty.
+    """
+    found = _found(docs, benchmark, text_or_empty("text"), rate, "item_id", "text")
+    return found.where(F.size("found") == 0).select("row.*")
