@@ -43,8 +43,8 @@ class Limits:
     """What one sequence may hold, and how packing goes about it."""
 
     tokens: int = 4096
-    segments: int = 1024
-    loss_tokens: int = 4096
+    segments: int = 24
+    loss_tokens: int = 4088
     # Pieces that wait at a time in a task.
     window: int = 512
     # A gap of fewer tokens is padded instead of filled with a fragment.
