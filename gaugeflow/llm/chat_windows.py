@@ -72,6 +72,8 @@ class Turn:
     start: int
     end: int
     tokens: int
+    # Tokens where the turn is repeated, its mark included.
+    again: int
 
 
 @dataclass
@@ -87,6 +89,8 @@ class Windows:
     system: Turn | None = None
     past: list[Turn] = field(default_factory=list)
     new: list[Turn] = field(default_factory=list)
+    # The system turn, in windows that repeat it.
+    lead: list[Turn] = field(default_factory=list)
     # Running sum of the tokens of this window's turns.
     used: int = 0
 
@@ -100,21 +104,26 @@ class Windows:
         self.used += turn.tokens
 
     def follow(self, turn: Turn) -> None:
-        """Begin the next window: the system turn, and the latest turns that the history limits allow."""
+        """Begin the next window: the system turn, and the latest turns that the history limits allow.
+
+        Where the system turn leaves no room for the new one, it is not repeated.
+        """
         past: list[Turn] = []
-        base = self.system.tokens if self.system else 0
+        fits = self.system is not None and self.system.again + turn.tokens <= self.budget
+        self.lead = [self.system] if fits else []
+        base = sum(t.again for t in self.lead)
         room = min(self.history_tokens, self.budget - base - turn.tokens)
         for earlier in reversed(self.past + self.new):
-            room -= earlier.tokens
+            room -= earlier.again
             if room < 0 or len(past) >= self.history_turns or earlier is self.system:
                 break
             past.insert(0, earlier)
         self.seen += len(self.new)
         self.past, self.new = past, []
-        self.used = base + sum(t.tokens for t in past)
+        self.used = base + sum(t.again for t in past)
 
     def window(self) -> tuple:
-        repeated = self.past if self.system is None or not self.seen else [self.system, *self.past]
+        repeated = self.lead + self.past
         parts, loss, at = [], [], 0
         for turn in repeated:
             parts += REPEATED, turn.text
@@ -148,19 +157,21 @@ def chat_windows(
 
     ``loss`` holds the stretches of ``text`` (code points) that are targets: the escaped
     texts of assistant turns that are new in the window.  Each turn is new in one window.
-    A turn above the budget has a window of its own and stays whole.  NULL texts and roles
+    A turn above the budget has a window of its own and stays whole.  A system turn that leaves
+    the next turn no room is not repeated there.  ``n_tokens`` adds up what the turns have
+    one by one, marks of repetition included.  NULL texts and roles
     are empty; turns are ordered by number (NULL first), then role and text; repeated rows
     are turns of their own.  Rows without conv_id form one conversation.  Other columns are
     ignored; an empty table gives no window.
     """
-    sizes = "tokens int, start int, stop int, body string"
+    sizes = "tokens int, again int, start int, stop int, body string"
 
     @F.pandas_udf(sizes)
     def shaped(role: pd.Series, text: pd.Series) -> pd.DataFrame:
         tokens, rows = counter(path), []
         for r, t in zip(role, text):
             body, start, stop = formatted(r, t)
-            rows.append((tokens(body), start, stop, body))
+            rows.append((tokens(body), tokens(REPEATED + body), start, stop, body))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in sizes.split(", ")])
 
     order = ["conv_id", "turn", "role", "content"]
@@ -182,14 +193,17 @@ def chat_windows(
         now: Windows | None = None
         rows: list[tuple] = []
         for batch in batches:
-            for key, role, tokens, start, stop, body in zip(
-                *(batch[c] for c in ("conv_id", "role", "tokens", "start", "stop", "body"))
+            for key, role, *shape in zip(
+                *(
+                    batch[c]
+                    for c in ("conv_id", "role", "body", "start", "stop", "tokens", "again")
+                )
             ):
                 if now is None or now.key != key:
                     if now is not None:
                         rows.append(now.window())
                     now = Windows(budget, history_tokens, history_turns, key)
-                rows.extend(now.add(Turn(role, body, start, stop, tokens)))
+                rows.extend(now.add(Turn(role, *shape)))
             yield _columns(rows)
         if now is not None:
             rows.append(now.window())

@@ -315,7 +315,7 @@ def test_myers_equals_dynamic_programming(pattern, text):
 def test_matcher_equals_brute_force(seed):
     rnd = random.Random(seed)
     items = [
-        edit_matching.Item.of(k, "".join(rnd.choice("abcde ") for _ in range(60)), 0.06, 12) for k in range(3)
+        edit_matching.Item.of(k, "".join(rnd.choice("abcde ") for _ in range(60)), 0.06) for k in range(3)
     ]
     text = list(items[0].text)
     for _ in range(rnd.randint(0, 5)):
@@ -352,6 +352,43 @@ def test_contamination(spark, odd_docs, no_docs, make_docs, monkeypatch):
     assert not any(r.contaminated for r in edit_matching.contamination(odd_docs, empty).collect())
 
 
+def test_short_items_and_full_budgets():
+    """Items of any length; two edits in 34 characters, as the rate says."""
+    of = edit_matching.Item.of
+    short = of(1, "capital of France is", 0.06)
+    assert (short.budget, of(2, "x" * 35, 0.06).budget, of(3, "x" * 24, 0.06).budget) == (0, 2, 1)
+    find = edit_matching.Matcher([short, of(4, "cat", 0.06)]).find
+    assert find("the capital of france is paris. cat!") == [(1, 0), (4, 0)]
+    assert find("concatenated capital of france island") == []
+    rnd = random.Random(6)
+    for n in range(5, 36):
+        item = of(n, "".join(rnd.choice("abcdefgh ") for _ in range(n)).strip() + "z", 0.06)
+        for edits in range(item.budget + 1):
+            text = list(item.text)
+            for at in sorted(rnd.sample(range(1, len(text) - 1), edits), reverse=True):
+                text[at] = "#"
+            got = edit_matching.Matcher([item]).find("before " + "".join(text) + " after")
+            assert [i for i, _ in got] == [n]
+
+
+def test_limits_bind(make_docs):
+    """Each limit of the registered query stops some sequence, and padding stays small."""
+    rnd = random.Random(5)
+    docs = [(i, "some words " * (rnd.randrange(3, 90) if i % 3 else 900)) for i in range(900)]
+    rows = packing.pack_documents(make_docs(docs).coalesce(1), WORDS).collect()
+    load = defaultdict(lambda: [0, 0, 0])
+    for r in rows:
+        for k, v in enumerate((r.length, 1, r.loss_tokens)):
+            load[r.sequence_id][k] += v
+    limits = packing.Limits()
+    most = (limits.tokens, limits.segments, limits.loss_tokens)
+    assert all(a <= b for used in load.values() for a, b in zip(used, most))
+    bound = [sum(used[k] == most[k] for used in load.values()) for k in range(3)]
+    assert min(bound) > 0, bound
+    padding = sum(0 if n & (n - 1) == 0 else 4096 - n for n, _, _ in load.values())
+    assert padding < 0.005 * sum(n for n, _, _ in load.values())
+
+
 def test_fold_of_null(spark):
     row = spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id").select(fold("doc_id", 5).alias("f")).first()
     assert row.f == 0
