@@ -113,11 +113,10 @@ def fingerprint(shingles: np.ndarray, seed: int) -> int:
 def parity(shingles: np.ndarray) -> np.ndarray:
     """Bitmap of the parity of hashed shingles: sets that differ in d shingles differ in at most d bits.
 
-    It has three quarters to one and a half bits a shingle, a power of two, and folds to any
-    smaller one.  Unrelated sets of n shingles then differ in three eighths of n bits and more,
-    linked ones in two sevenths at most.
+    It has one and a half to three bits a shingle, a power of two, and folds to any smaller one.
+    With fewer, pairs that are similar but not linked would pass; more would cost room.
     """
-    size = max(LEAST_BITS, 1 << (3 * len(shingles) // 4).bit_length())
+    size = max(LEAST_BITS, 1 << (3 * len(shingles) // 2).bit_length())
     bits = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
