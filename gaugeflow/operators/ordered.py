@@ -140,6 +140,29 @@ def number_rows(
     )
 
 
+def number_in_splits(
+    rows: DataFrame, splits: DataFrame, keys: Sequence[str], line: str, name: str
+) -> DataFrame:
+    """Rows joined with their file split and numbered from 0 inside it, in order of ``line``.
+
+    ``splits`` has one row per split with ``_lines``, ``_low`` and ``_high``: its rows, first
+    and last line.  Where the lines of every split are consecutive, as a scan gives them, the
+    number is the distance to the first one and wide rows are not moved; a table that lost
+    rows on the way is numbered by sorting each split.  The splits are counted for both.
+    """
+    count, gaps = splits.agg(
+        F.count(F.lit(1)),
+        F.count_if(F.col("_high") - F.col("_low") + F.lit(1) != F.col("_lines")),
+    ).first()
+    if gaps:
+        inside = Window.partitionBy(*keys).orderBy(line)
+        rows = rows.withColumn(name, F.row_number().over(inside).cast("bigint") - F.lit(1))
+    joined = rows.join(broadcast_if_few(splits, count), [*keys])
+    if not gaps:
+        joined = joined.withColumn(name, F.col(line) - F.col("_low"))
+    return joined.drop("_lines", "_low", "_high")
+
+
 def running_offsets(df: DataFrame, order: Sequence[str], amount: str, name: str) -> DataFrame:
     """Sum of ``amount`` over all earlier rows in a total order, computed by ranges."""
     placed = cut_lineage(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.text import text_or_null
 from gaugeflow.operators.bands import reference_baselines
-from gaugeflow.operators.ordered import number_rows, running_offsets
+from gaugeflow.operators.ordered import cut_lineage, number_in_splits, number_rows, running_offsets
 from gaugeflow.schema import SCHEMAS, Fleet, conform
 from gaugeflow.sources.csv_files import PLACE, SOURCE
 
@@ -83,8 +83,8 @@ def ingest_drives(
     Session start and end are those of the first and last file row.  A source
     without rows stops the job.
 
-    Ids are dense.  Only per-source and per-split tables are sorted as a whole; the
-    rows are numbered inside their file split.
+    Ids are dense.  Only per-source and per-split tables are sorted as a whole; rows as a
+    scan gives them are numbered without being moved (``number_in_splits``).
     """
     rank = "source_order" if "source_order" in sources.columns else SOURCE
     numbered = number_rows(sources, (), (rank,), "_n").withColumn("_n", F.col("_n") - 1)
@@ -94,22 +94,16 @@ def ingest_drives(
     ids = keyed.select(SOURCE, "session_id")
 
     splits = rows.groupBy(SOURCE, _BLOCK).agg(
-        F.count(F.lit(1)).alias("_rows"),
+        F.count(F.lit(1)).alias("_lines"),
+        F.min(_LINE).alias("_low"),
+        F.max(_LINE).alias("_high"),
         F.min_by("ts", _LINE).alias("_first_ts"),
         F.max_by("ts", _LINE).alias("_last_ts"),
     )
     unlisted = F.concat(F.lit("no source entry for "), F.col(SOURCE))
-    splits = running_offsets(
-        splits.join(ids, SOURCE, "left").withColumn(
-            "session_id",
-            F.when(F.col("session_id").isNull(), F.raise_error(unlisted).cast("bigint")).otherwise(
-                F.col("session_id")
-            ),
-        ),
-        ("session_id", _BLOCK),
-        "_rows",
-        "_before",
-    )
+    listed = F.when(F.col("session_id").isNull(), F.raise_error(unlisted).cast("bigint"))
+    splits = splits.join(ids, SOURCE, "left").withColumn("session_id", listed.otherwise(F.col("session_id")))
+    splits = cut_lineage(running_offsets(splits, ("session_id", _BLOCK), "_lines", "_before"))
     extent = splits.groupBy("session_id").agg(
         F.min_by("_first_ts", _BLOCK).alias("started_at"),
         F.max_by("_last_ts", _BLOCK).alias("ended_at"),
@@ -127,12 +121,9 @@ def ingest_drives(
     )
     vehicles = keyed.withColumn("notes", F.col("vehicle_notes"))
 
-    offsets = splits.select(SOURCE, "session_id", _BLOCK, "_before")
-    inside = Window.partitionBy(SOURCE, _BLOCK).orderBy(_LINE)
-    samples = (
-        rows.withColumn("_in", F.row_number().over(inside))
-        .join(offsets, [SOURCE, _BLOCK])
-        .withColumn("sample_id", F.col("_before") + F.col("_in") + F.lit(first_sample_id - 1))
+    offsets = splits.select(SOURCE, "session_id", _BLOCK, "_before", "_lines", "_low", "_high")
+    samples = number_in_splits(rows, offsets, (SOURCE, _BLOCK), _LINE, "_in").withColumn(
+        "sample_id", F.col("_before") + F.col("_in") + F.lit(first_sample_id)
     )
     faults = number_rows(
         explode_dtc_codes(rows).join(ids, SOURCE),

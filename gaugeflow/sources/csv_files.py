@@ -1,67 +1,65 @@
 """CSV files whose headers differ from file to file, read as text columns.
 
-All files are read by one ``spark.read.csv`` scan with columns by position.  Which
-position feeds which wanted column depends on the header of the file, which Spark reads
-from the file's first split: with one layout for all files it is a plain projection, else a
-per-file lookup row.  Every row keeps its place in the file as (``block_start``,
-``line_no``): the offset of its file split and an id that grows inside the split.
+All files are read once.  Each record is kept as its whole text in a Parquet table in the
+shared folder, with its place in the file: (``block_start``, ``line_no``), the offset of its
+file split and an id that is consecutive inside the split.  The first record of a file is
+its header, which says which position feeds which wanted column; cells are taken out of the
+stored records by the layout of their file.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.operators.ordered import broadcast_if_few, cut_lineage
+from gaugeflow.operators.ordered import broadcast_if_few, cut_lineage, shared_folder
 from gaugeflow.sources.headers import header_cells
 
 SOURCE = "source_file"
 PLACE = ("block_start", "line_no")
 
-# Lines that a header with quoted line breaks may span.
-HEADER_LINES = 32
-
 Match = Callable[[Column], dict[str, Column]]
 
 
-def header_lines(
-    spark: SparkSession, paths: str | Sequence[str], multiline: bool = False
-) -> DataFrame:
-    """The header text of each file that has one: its first line that is not blank.
+def stored_records(spark: SparkSession, paths: str | Sequence[str], multiline: bool = False) -> DataFrame:
+    """Every record of the files, headers too, as ``record`` with its place; stored as Parquet.
 
-    With ``multiline`` a line of blanks is a row, as Spark's reader has it, and a header
-    goes on while a quote is open.  The rank limit runs before the shuffle, so each file
-    gives a few lines of its first split.
+    Read as one column, a record of several cells is one that does not fit, and the reader
+    hands out its whole text; a single cell is written as a quoted one.  Lines without
+    anything are no records; with ``multiline`` a line of blanks is one, as the reader has it.
     """
-    filled = F.col("value") != "" if multiline else F.trim("value") != ""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        "value",
-    )
-    first = Window.partitionBy("file").orderBy("line")
-    kept = (
-        lines.filter((F.col("block") == 0) & filled)
-        .withColumn("nth", F.row_number().over(first))
-        .filter(F.col("nth") <= HEADER_LINES)
+    rows = (
+        spark.read.schema("first STRING, whole STRING")
+        .option("columnNameOfCorruptRecord", "whole")
+        .option("escape", '"')
+        .option("multiLine", multiline)
+        .csv(paths)
     )
-    quotes = lambda text: F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
-    ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda line: line["value"]
+    single = F.concat(F.lit('"'), F.replace("first", F.lit('"'), F.lit('""')), F.lit('"'))
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    rows.select(
+        F.col("_metadata.file_path").alias(SOURCE),
+        F.col("_metadata.file_block_start").alias(PLACE[0]),
+        F.monotonically_increasing_id().alias(PLACE[1]),
+        F.coalesce("whole", single, F.lit("")).alias("record"),
+    ).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def file_headers(records: DataFrame) -> DataFrame:
+    """The first record of each file: its place ``head`` and its names.
+
+    Only first splits are looked at, and each task gives one record a file.
+    """
+    return (
+        records.filter(F.col(PLACE[0]) == 0)
+        .groupBy(SOURCE)
+        .agg(F.min(PLACE[1]).alias("head"), F.min_by("record", PLACE[1]).alias("header"))
+        .select(SOURCE, "head", header_cells(F.col("header")).alias("names"))
     )
-    header = F.get("lines", F.lit(0))
-    if multiline:
-        header = F.aggregate(
-            "lines",
-            F.lit(None).cast("string"),
-            lambda text, line: F.when(text.isNull(), line)
-            .when(quotes(text) % 2 == 1, F.concat(text, F.lit("\n"), line))
-            .otherwise(text),
-        )
-    return kept.groupBy("file").agg(ordered.alias("lines")).select("file", header.alias("header"))
 
 
 def scan(
@@ -75,12 +73,16 @@ def scan(
     """All files with the wanted columns as text; a column no header offers is NULL.
 
     ``match`` gives for each column its position in an array of header names, NULL if it
-    has none.  A file without one of the ``required`` columns stops the job.
+    has none.  A file without one of the ``required`` columns stops the job.  The stored
+    records stay in the shared folder for as long as the result is used.
     """
-    names = header_lines(spark, paths, multiline).select("file", header_cells(F.col("header")).alias("names"))
+    records = stored_records(spark, paths, multiline)
+    names = file_headers(records)
     found = match(F.col("names"))
     heads = cut_lineage(
-        names.select("file", F.size("names").alias("width"), F.array(*[found[c] for c in columns]).alias("at"))
+        names.select(
+            SOURCE, "head", F.size("names").alias("width"), F.array(*[found[c] for c in columns]).alias("at")
+        )
     )
     missing = F.lit(False)
     for c in required:
@@ -90,42 +92,25 @@ def scan(
         F.max("width"),
         F.count_distinct("at"),
         F.first("at"),
-        F.min(F.when(missing, F.col("file"))),
+        F.min(F.when(missing, F.col(SOURCE))),
     ).first()
     if not files:
         raise ValueError(f"no header line found in {paths}")
     if bad is not None:
         raise ValueError(f"{bad} has no column for one of: {', '.join(required)}")
-    rows = (
-        spark.read.schema(", ".join(f"c{at} STRING" for at in range(width)))
-        .option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(paths)
-    )
-    place = (
-        F.col("_metadata.file_path").alias(SOURCE),
-        F.col("_metadata.file_block_start").alias(PLACE[0]),
-        F.monotonically_increasing_id().alias(PLACE[1]),
-    )
-    if layouts == 1:
-        return rows.select(
-            *place,
-            *[
-                (F.lit(None).cast("string") if at is None else F.col(f"c{at}")).alias(c)
-                for c, at in zip(columns, layout)
-            ],
-        )
-    per_file = broadcast_if_few(heads.select(F.col("file").alias(SOURCE), "at"), files)
-    cells = rows.select(*place, F.array(*[f"c{at}" for at in range(width)]).alias("_cells"))
+
+    per_file = broadcast_if_few(heads.select(SOURCE, "head", "at"), files)
     unknown = F.concat(F.lit("no header line found in "), F.col(SOURCE))
-    at = F.when(F.col("at").isNull(), F.raise_error(unknown).cast("array<int>")).otherwise(F.col("at"))
-    return (
-        cells.join(per_file, SOURCE, "left")
-        .withColumn("_at", at)
-        .select(
-            SOURCE,
-            *PLACE,
-            *[F.expr(f"get(_cells, get(_at, {n}))").alias(c) for n, c in enumerate(columns)],
+    known = F.when(F.col("head").isNull(), F.raise_error(unknown).cast("bigint")).otherwise(F.col("head"))
+    schema = ", ".join(f"c{at} STRING" for at in range(width))
+    cells = F.from_csv("record", schema, {"escape": '"', "maxColumns": str(max(width, 20480))})
+    rows = records.join(per_file, SOURCE, "left").filter(F.col(PLACE[1]) != known)
+    if layouts == 1:
+        rows = rows.select(SOURCE, *PLACE, cells.alias("cells"))
+        wanted = [F.lit(None).cast("string") if at is None else F.col(f"cells.c{at}") for at in layout]
+    else:
+        rows = rows.select(SOURCE, *PLACE, "at", cells.alias("cells")).withColumn(
+            "cells", F.array(*[f"cells.c{at}" for at in range(width)])
         )
-    )
+        wanted = [F.expr(f"get(cells, get(at, {n}))") for n in range(len(columns))]
+    return rows.select(SOURCE, *PLACE, *[cell.alias(c) for c, cell in zip(columns, wanted)])

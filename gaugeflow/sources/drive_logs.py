@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.moments import plus_seconds, utc_moment
 from gaugeflow.functions.text import first_number, text_or_null
+from gaugeflow.operators.ordered import cut_lineage, number_in_splits
 from gaugeflow.schema import GAUGES
 from gaugeflow.sources.csv_files import PLACE, SOURCE, scan
 from gaugeflow.sources.headers import (
@@ -115,22 +116,23 @@ def blank_missing(raw: DataFrame, columns) -> DataFrame:
 def file_positions(rows: DataFrame, by: str = SOURCE) -> DataFrame:
     """Add the 0-based ``position`` in the file and the file's row count.
 
-    Rows are numbered inside their file split; one count per split gives the
-    offset, so a huge file is numbered by many tasks.
+    One row per file split gives the rows before it; see ``number_in_splits`` for the
+    numbers inside a split.  A huge file is numbered by many tasks.
     """
-    splits = rows.groupBy(by, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+    splits = rows.groupBy(by, BLOCK).agg(
+        F.count(F.lit(1)).alias("_lines"), F.min(LINE).alias("_low"), F.max(LINE).alias("_high")
+    )
     earlier = Window.partitionBy(by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select(
-        by,
-        BLOCK,
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(by)).alias("file_rows"),
+    splits = cut_lineage(
+        splits.select(
+            "*",
+            F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"),
+            F.sum("_lines").over(Window.partitionBy(by)).alias("file_rows"),
+        )
     )
-    inside = Window.partitionBy(by, BLOCK).orderBy(LINE)
     return (
-        rows.withColumn("_in", F.row_number().over(inside).cast("bigint"))
-        .join(splits, [by, BLOCK])
-        .withColumn("position", F.col("_before") + F.col("_in") - 1)
+        number_in_splits(rows, splits, (by, BLOCK), LINE, "_in")
+        .withColumn("position", F.col("_before") + F.col("_in"))
         .drop("_in", "_before")
     )
 

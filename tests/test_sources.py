@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from fixtures import rows_of
 from gaugeflow.plans import ingest
+from gaugeflow.sources import csv_files
 from gaugeflow.sources import drive_logs as logs
-from gaugeflow.sources.headers import header_cells, match_aliases, match_fragments
+from gaugeflow.sources.headers import header_cells, match_aliases, match_exact, match_fragments
 from gaugeflow.testing.views import profiles
 
 
@@ -56,6 +57,54 @@ def test_headers_are_found_in_any_file(spark, tmp_path):
     assert rows_of(got, "rpm", "ts") == [(float(i + 1), datetime(2026, 1, 1, 0, 0, i)) for i in range(4)]
 
 
+def test_a_header_over_many_lines(spark, tmp_path):
+    name = "\n".join(f"part {i}" for i in range(40))
+    write(tmp_path / "a.csv", f'"{name}",Engine RPM\n1,7\n"x ""y""\n, z",8\n')
+    write(tmp_path / "b.csv", 'Engine RPM\n"9"\n"1,0"\n')
+    got = logs.scan_fuzzy_csv(spark, str(tmp_path), multiline=True)
+    assert rows_of(got, "rpm") == [("1,0",), ("7",), ("8",), ("9",)]
+
+
+@pytest.mark.parametrize("multiline", [False, True])
+def test_cells_equal_the_csv_reader(spark, tmp_path, multiline):
+    """Quotes, escapes, blanks, short and long rows come out as one plain CSV read has them."""
+    lines = ["a,b,c", '1,"x, ""y""",3', '"",,"z"', "only", '"one, cell"', " 4 , 5,6", "7,8,9,10", ",,", '"un,quoted', "é,\t,'"]
+    if not multiline:
+        lines.insert(2, " \t ")
+    path = write(tmp_path / "f.csv", "\r\n".join(lines) + "\r\n")
+    wanted = {c: c for c in "cab"}
+    got = csv_files.scan(spark, path, list(wanted), lambda names: match_exact(names, wanted), multiline)
+    plain = spark.read.schema("a STRING, b STRING, c STRING").option("header", True)
+    plain = plain.option("escape", '"').option("multiLine", multiline).csv(path)
+    assert [tuple(r) for r in got.orderBy("line_no").select("a", "b", "c").collect()] == [
+        tuple(r) for r in plain.collect()
+    ]
+
+
+def test_files_are_read_once_and_rows_numbered_in_place(spark, tmp_path):
+    """The plan reads stored records only, and samples get their ids without an exchange."""
+    for name, head in (("a.csv", "ts,rpm"), ("b.csv", "Time,Speed,Engine RPM")):
+        cells = "1," * head.count(",")
+        rows = "".join(f"2026-01-01T00:00:{i // 60:02d}Z,{cells[:-2]}{i}\n" for i in range(600))
+        write(tmp_path / name, head + "\n" + rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = ingest.by_file_name(logs.scan_drive_csv(spark, str(tmp_path)))
+        sources = _sources(spark, ["a.csv", "b.csv"])
+        fleet = ingest.ingest_drives(rows, sources, profiles(spark), first_sample_id=11)
+        got = [tuple(r) for r in fleet.telemetry_samples.select("sample_id", "session_id", "rpm").collect()]
+        thinned = ingest.ingest_drives(rows.filter("rpm % 3 = 0"), sources, profiles(spark))
+        kept = [tuple(r) for r in thinned.telemetry_samples.select("sample_id", "session_id", "rpm").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(got) == [(11 + 600 * s + i, s + 1, float(i)) for s in (0, 1) for i in range(600)]
+    assert sorted(kept) == [(1 + 200 * s + i, s + 1, 3.0 * i) for s in (0, 1) for i in range(200)]
+    plan = fleet.telemetry_samples._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan csv" not in plan and "FileScan text" not in plan and "FileScan parquet" in plan
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
 def test_quoted_line_breaks_in_rows(spark, tmp_path):
     path = write(tmp_path / "f.csv", 'note,Engine RPM\n"two\nlines",7\n')
     assert rows_of(logs.scan_fuzzy_csv(spark, path, multiline=True), "rpm") == [("7",)]
