@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,12 +17,13 @@ from gaugeflow.config import ScoreConfig
 from gaugeflow.functions.text import iso_text
 from gaugeflow.operators import sessions as dim
 from gaugeflow.operators.faults import dtc_evidence_panel
-from gaugeflow.operators.ordered import keep_keys, shared_folder
+from gaugeflow.operators.ordered import cut_lineage, keep_keys, shared_folder
 from gaugeflow.operators.profile import profile_arrays
 from gaugeflow.operators.sessions import session_focus
 from gaugeflow.operators.trends import airflow_points, airflow_trend
 from gaugeflow.functions.text import decimal_text, percent_text
 from gaugeflow.plans.report import (
+    FINDING_KEY,
     TEXT_DTC_ROWS,
     TEXT_NO_DTC,
     Facts,
@@ -91,6 +96,19 @@ EXPORT_ORDER = {
     "findings": ("finding_id",),
 }
 
+# Folders of a stored findings table, and the column that names them.
+FINDING_BUCKETS = 64
+_BUCKET = "bucket"
+# Tables written at the same time: each is a job of its own, and most are too small to fill a cluster.
+WRITERS = 4
+
+
+def _together(spark: SparkSession, writes: Iterable[Callable[[], None]]) -> None:
+    """Run independent writes side by side; the first failure is raised once all have ended."""
+    with ThreadPoolExecutor(WRITERS) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(write)) for write in writes]:
+            done.result()
+
 
 def public_fleet(fleet: Fleet) -> Fleet:
     """The six tables reduced to public sessions and their vehicles."""
@@ -147,7 +165,8 @@ def export_bi_pack(
 
     Times are ISO text in UTC.
     """
-    for name, frame in bi_tables(fleet, config, **options).items():
+
+    def write(name: str, frame: DataFrame) -> None:
         ordered = frame.orderBy(*EXPORT_ORDER[name])
         columns = EXPORT_COLUMNS.get(name, frame.columns)
         types = {f.name: f.dataType for f in frame.schema.fields}
@@ -158,6 +177,10 @@ def export_bi_pack(
             ]
         ).write.mode(mode).option("header", True).csv(f"{out}/{name}")
 
+    tables = bi_tables(fleet, config, **options)
+    spark = fleet.drive_sessions.sparkSession
+    _together(spark, [partial(write, name, frame) for name, frame in tables.items()])
+
 
 def session_views(
     fleet: Fleet, facts: Facts, run_id: str | None = None, scale: int = 2
@@ -278,22 +301,67 @@ def export_dashboard(
     public = stored_public_fleet(fleet)
     facts = compute_facts(public, config, keep=True, **options)
     fresh = build_findings(public, facts, run_id, first_finding_id)
-    write_findings(replace_findings(fleet.findings, fresh), f"{out}/findings")
     lines = {
         "views": session_views(public, facts, run_id, scale=options.get("scale", 2)),
         **dashboard_index(public, facts),
     }
-    for name, frame in lines.items():
+
+    def write(name: str, frame: DataFrame) -> None:
         frame.write.mode(mode).option("ignoreNullFields", False).json(f"{out}/{name}")
 
+    _together(
+        fleet.drive_sessions.sparkSession,
+        [
+            partial(write_findings, replace_findings(fleet.findings, fresh), f"{out}/findings"),
+            *[partial(write, name, frame) for name, frame in lines.items()],
+        ],
+    )
+
+
+def _in_buckets(findings: DataFrame) -> DataFrame:
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(FINDING_BUCKETS)).cast("int")
+    return conform(findings, "findings").withColumn(_BUCKET, bucket)
+
+
+def _put_findings(findings: DataFrame, path: str, mode: str) -> None:
+    """One file a folder, several where a folder has much more than the others."""
+    (
+        _in_buckets(findings)
+        .hint("rebalance", _BUCKET)
+        .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(_BUCKET)
+        .parquet(path)
+    )
+
+
+def _stored_findings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*SCHEMAS["findings"], T.StructField(_BUCKET, T.IntegerType())])).parquet(path)
+
 
 def write_findings(findings: DataFrame, path: str) -> None:
-    """Append findings to a Parquet table."""
-    conform(findings, "findings").write.mode("append").parquet(path)
+    """Append findings to a Parquet table with ``FINDING_BUCKETS`` folders by session."""
+    _put_findings(findings, path, "append")
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table written by ``write_findings``."""
+    return _stored_findings(spark, path).drop(_BUCKET)
 
 
-def read_findings(spark, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS["findings"]).parquet(path)
+def renew_findings(path: str, fresh: DataFrame, key: str = FINDING_KEY) -> None:
+    """``replace_findings`` in place: the folders of the sessions in ``fresh`` are written anew.
+
+    All other folders are neither read nor touched, and a repeated run leaves the same rows.
+    The new files are complete before the first old one goes.  Fresh rows of no session take
+    their own folder along and replace nothing; without fresh rows nothing happens.
+    """
+    fresh = cut_lineage(conform(fresh, "findings"))
+    # At most FINDING_BUCKETS rows.
+    touched = [row[0] for row in _in_buckets(fresh).select(_BUCKET).distinct().collect()]
+    if touched:
+        stored = _stored_findings(fresh.sparkSession, path).filter(F.col(_BUCKET).isin(touched))
+        _put_findings(replace_findings(stored, fresh, key), path, "overwrite")
 
 
 def write_profiles(profiles: DataFrame, out: str, mode: str = "errorifexists") -> None:

@@ -105,6 +105,35 @@ def test_replace_and_append_findings(spark, fleet, facts, tmp_path):
     assert rows_of(newest, "session_id", "finding_id") == [(1, 100), (2, 101), (7, 3)]
 
 
+def test_findings_are_renewed_in_place(spark, tmp_path):
+    """Only the folders of renewed sessions change, and a second run leaves the same rows."""
+    columns = "finding_id BIGINT, session_id BIGINT, metric_or_code STRING, observed STRING"
+
+    def findings(rows):
+        return conform(spark.createDataFrame(rows, columns), "findings")
+
+    old = [(i, i, key, "old") for i in range(300) for key in ("sql_analysis", "P0171")]
+    path = tmp_path / "findings"
+    export.write_findings(findings([*old, (900, None, "sql_analysis", "none"), (901, 5, None, "x")]), str(path))
+    before = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    fresh = findings([(1000 + i, i, "sql_analysis", "new") for i in (5, 6, 2000)])
+    expected = sorted(
+        [r for r in old if r[1] not in (5, 6) or r[2] != "sql_analysis"]
+        + [(901, 5, None, "x"), (1005, 5, "sql_analysis", "new"), (1006, 6, "sql_analysis", "new")]
+        + [(3000, 2000, "sql_analysis", "new"), (900, None, "sql_analysis", "none")],
+        key=str,
+    )
+    for _ in range(2):
+        export.renew_findings(str(path), fresh)
+        stored = export.read_findings(spark, str(path)).select("finding_id", "session_id", "metric_or_code", "observed")
+        assert sorted(map(tuple, stored.collect()), key=str) == expected
+        after = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+        changed = {f.parent.name for f in {*before} ^ {*after}} | {f.parent.name for f in before if f in after and before[f] != after[f]}
+        assert 1 <= len(changed) <= 3
+    export.renew_findings(str(path), fresh.limit(0))
+    assert {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")} == after
+
+
 def test_fact_summary(fleet, facts):
     lines = report.session_fact_summary(facts, fleet.telemetry_samples).filter("session_id = 1")
     assert rows_of(lines, "query", "output") == [
