@@ -117,11 +117,66 @@ def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+# Every pair of equal label is compared.
+ORACLE["op4_near_vectors"] = r"""
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reached AS (
+    SELECT vec_id, vec_id AS other FROM embeddings
+    UNION
+    SELECT r.vec_id, l.b FROM reached r JOIN link l ON r.other = l.a
+), least AS (
+    SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+), linked AS (
+    SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a
+)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e LEFT JOIN linked USING (vec_id) JOIN least USING (vec_id)
+"""
+
+
 @query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_groups(table(spark, sf_dir, "documents"))
 
 
+# Every pair that shares a shingle is counted.
+ORACLE["op6_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingle AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+        WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+    FROM words
+), size AS (
+    SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), link AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id
+        JOIN size m ON m.doc_id = a.doc_id JOIN size n ON n.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, m.n, n.n
+    HAVING 100 * count(*) >= 75 * (m.n + n.n - count(*))
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT r.doc_id, l.b FROM reached r JOIN link l ON r.other = l.a
+), least AS (
+    SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN size USING (doc_id) JOIN least USING (doc_id)
+"""
+
+
 # Places of a pattern's matches: lengths of the stretches between them, added up.
 _PLACES = r"""
     SELECT doc_id, source, lang, {kind} AS kind, nth,
