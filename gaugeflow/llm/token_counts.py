@@ -3,7 +3,8 @@
 A text falls into pieces that the tokenizer never merges across: a run of non-space
 characters with the one blank before it.  Their token counts come from a broadcast table
 of frequent pieces, and for all others from a cache that each Python worker fills by
-asking the tokenizer.  No piece is shuffled; the plan is one scan.
+asking the tokenizer.  The frequent ones are counted over all texts first, combined in each
+task; the counts of texts are one scan without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import Columns, batchwise, held, text_or_empty
+from gaugeflow.llm.common import Columns, batchwise, held, materialized, text_or_empty
 
-# Bounds of the sample that the frequent pieces are chosen from; they affect speed only.
-SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT = 512, 8192, 16_384
+# Frequent pieces that are broadcast, and different ones that a task counts before it hands them on.
+FREQUENT, COUNTED = 16_384, 200_000
 # Bounds of a worker's cache.
 CACHED, CACHED_CHARS = 300_000, 48
 
@@ -83,12 +84,31 @@ def counter(path: str, frequent: dict[str, int] | None = None) -> Counts:
 
 
 def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text") -> dict[str, int]:
-    """Token counts of the most frequent pieces in a bounded sample of texts."""
-    seen: Counter[str] = Counter()
-    for (text,) in docs.select(F.substring(text_or_empty(text_col), 1, SAMPLE_CHARS)).take(SAMPLE_DOCS):
-        seen.update(w for w in text.split() if len(w) <= CACHED_CHARS)
+    """Token counts of the most frequent pieces of all whole texts; ties go by the piece."""
+
+    def count(batches: Iterator[Columns]) -> Iterator[Columns]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                seen.update(text.split())
+                if len(seen) > COUNTED:
+                    yield {"piece": list(seen), "n": list(seen.values())}
+                    seen.clear()
+        yield {"piece": list(seen), "n": list(seen.values())}
+
+    most = (
+        docs.select(text_or_empty(text_col).alias("text"))
+        .transform(batchwise(count, "piece string, n long"))
+        .where(F.length("piece") <= CACHED_CHARS)
+        .groupBy("piece")
+        .agg(F.sum("n").alias("n"))
+        .orderBy(F.desc("n"), "piece")
+        .limit(FREQUENT)
+    )
+    # Stored first, so that partitions' own most frequent pieces meet in a task, not in the driver.
+    most = materialized(most).collect()
     lengths = Lengths(Counts(path).tokenizer, " ", {})
-    return {piece: lengths[piece] for piece, _ in seen.most_common(FREQUENT)}
+    return {row.piece: lengths[row.piece] for row in most}
 
 
 def token_counts(

@@ -33,6 +33,13 @@ def test_lookups_equal_the_tokenizers(text):
     assert words.text(text) == words.encode(text)
 
 
+def test_frequent_pieces_are_those_of_all_whole_texts(make_docs, monkeypatch):
+    monkeypatch.setattr(token_counts, "FREQUENT", 2)
+    docs = [(i, "early") for i in range(600)] + [(600 + i, "x" * 9000 + " late" * 700) for i in range(2)]
+    found = token_counts.frequent_lengths(make_docs(docs), BYTES)
+    assert found == {w: token_counts.counter(BYTES)(" " + w) for w in ("late", "early")}
+
+
 def test_token_counts(odd_docs, no_docs):
     got = token_counts.token_counts(odd_docs, BYTES, limit=5).collect()
     tokenizer = Tokenizer.from_file(BYTES)
