@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.config import ScoreConfig
 from gaugeflow.operators.deviation import fault_penalty, metric_points, score_from_parts
-from gaugeflow.operators.ordered import has_few_rows
+from gaugeflow.operators.ordered import cut_lineage, has_few_rows
 from gaugeflow.schema import SCORED_METRICS
 from gaugeflow.streaming import tables
 
@@ -23,6 +23,8 @@ _SCORES = (
     "dtc_penalty_points DOUBLE, dtc_count BIGINT, telemetry_samples BIGINT, "
     "started_at TIMESTAMP_NTZ, ended_at TIMESTAMP_NTZ, score_basis STRING"
 )
+# Sessions whose bands are broadcast: an array of bands takes about a kilobyte, and each batch sends it anew.
+LIMITED_SESSIONS = 50_000
 _LIMIT = "struct<metric: string, context: string, healthy_min: double, healthy_max: double>"
 
 
@@ -42,7 +44,10 @@ def _session_limits(sessions: DataFrame, bands: DataFrame) -> DataFrame:
     per_session = per_session.select(
         "session_id", F.concat(F.coalesce("limits", F.array().cast(f"array<{_LIMIT}>")), none).alias("limits")
     )
-    return F.broadcast(per_session) if has_few_rows(per_session) else per_session
+    if has_few_rows(per_session, LIMITED_SESSIONS):
+        return F.broadcast(per_session)
+    # Stored once, since every batch joins them.
+    return cut_lineage(per_session)
 
 
 def _totals(

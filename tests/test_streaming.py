@@ -324,3 +324,15 @@ def test_guard(readings):
     missing = live.missing_commands(readings).filter("session_id = 1")
     assert missing.count() == 0
     assert live.missing_commands(readings).filter("session_id = 2").count() == 14
+
+
+def test_bands_of_many_sessions_are_no_broadcast(spark):
+    sessions = spark.range(60_000).selectExpr("id AS session_id", "id DIV 2 AS vehicle_id")
+    bands = sessions.selectExpr(
+        "vehicle_id", "'stft_b1_pct' AS metric", "'idle' AS context", "1D AS healthy_min", "2D AS healthy_max"
+    ).distinct()
+    for part, hinted in ((sessions.limit(50), True), (sessions, False)):
+        limits = score._session_limits(part, bands)
+        plan = limits._jdf.queryExecution().analyzed().toString()
+        assert ("strategy=broadcast" in plan) == hinted
+        assert limits.count() == part.count()
