@@ -777,22 +777,31 @@ def write_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streams -----------------------------------------------------------------------------------
 
 
+# Rows of a third of the events that are worth a file of their own.
+ROWS_A_FILE = 250_000
+
+
 def _event_stream(spark: SparkSession, sf_dir: str, closing: bool = False) -> DataFrame:
-    """Events in three files, one micro-batch each; every seventh event comes a file late.
+    """Events in three parts, one micro-batch each; every seventh event comes a part late.
 
-    A ``closing`` event a century on lets the watermark pass all others, and stays open itself.
+    A part is one file, or as many as its rows need, so that a batch is read by many tasks and
+    batches don't become more with the input.  A ``closing`` event a century on lets the
+    watermark pass all others, and stays open itself.
     """
     folder = V.scratch(spark, "event-stream")
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     third = F.floor(V.day_of(F.col("ts")) / 10) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    part_of = F.least(third, F.lit(2))
+    most = ev.groupBy(part_of.alias("part")).count().agg(F.max("count")).first()[0] or 0
+    files = max(1, -(-most // ROWS_A_FILE))
     for part in range(3):
-        ev.filter(F.least(third, F.lit(2)) == part).write.parquet(f"{folder}/{part}")
+        ev.filter(part_of == part).repartition(files).write.parquet(f"{folder}/{part}")
     if closing:
         later = F.col("ts") + F.expr("INTERVAL 100 YEARS")
         ev.limit(1).withColumn("ts", later).write.parquet(f"{folder}/3")
     raw = (
         spark.readStream.schema(ev.schema)
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", files)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.parquet")
         .parquet(folder)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fixtures import rows_of
 from gaugeflow.operators import deviation, faults, trends
 from gaugeflow.streaming import correlation, live, score, tables, trim
+from gaugeflow.testing import catalog
 
 START = datetime(2026, 1, 1)
 SAMPLE = (
@@ -336,3 +337,23 @@ def test_bands_of_many_sessions_are_no_broadcast(spark):
         plan = limits._jdf.queryExecution().analyzed().toString()
         assert ("strategy=broadcast" in plan) == hinted
         assert limits.count() == part.count()
+
+
+def test_batches_of_the_event_stream_are_three_however_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "ROWS_A_FILE", 10, raising=False)
+    events = spark.range(90).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0, 0, 0, int(id DIV 3)) AS ts",
+        "id % 5 AS user_id", "'view' AS event_type", "CAST(id AS DOUBLE) AS value", "'{\"k\": 1}' AS props",
+    )
+    events.repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    found = []
+    tables.drain(
+        catalog._event_stream(spark, str(tmp_path)),
+        lambda batch, _: found.append([r.event_id for r in batch.select("event_id").collect()]),
+        str(tmp_path / "progress"),
+    )
+    # Every seventh event comes a part late.
+    wanted = [[], [], []]
+    for i in range(90):
+        wanted[min(2, i // 30 + (i % 7 == 0))].append(i)
+    assert [sorted(ids) for ids in found] == wanted
