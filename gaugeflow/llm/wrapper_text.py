@@ -13,6 +13,11 @@ Two passes over the pages: each task folds its pages into one wrapper a host, wh
 number of pages, and the few partial wrappers are folded again, streaming, after a shuffle;
 then each page is aligned with its host's wrapper, which travels with the rows by a broadcast
 join if all wrappers together are small (they are measured), else by a salted join.
+
+A wrapper that grows too large sheds its rare parts and is marked.  It then only says which
+parts of the host's pages belong together: all their slots are counted anew as rows, by host and
+place in the wrapper, those it lacks by their labels and order between its parts, and each page
+takes the counts of its own places.
 """
 
 from __future__ import annotations
@@ -43,7 +48,8 @@ EDGE_BLOCKS = 32
 DEPTH = 200
 # Above this many pairs of siblings, children are matched in order by label alone.
 PAIRS = 250_000
-# A wrapper with more nodes sheds those on fewer than an eighth of its pages.
+# A wrapper with more nodes sheds those on fewer than an eighth of its pages, and its host's slots
+# are counted as rows.
 NODES = 4_000
 # Nodes of all hosts that a task holds before it hands its wrappers on.
 HELD_NODES = 200_000
@@ -423,12 +429,14 @@ def _without_rare(node: dict, least: int) -> dict:
 
 
 def folded(one: dict | None, other: dict) -> dict:
-    """``merged``, kept to a size: what few pages have is no template in any case."""
+    """``merged``, kept to a size: a wrapper that shed rare parts is marked as ``shed``."""
     if one is None:
         return other
     both = merged(one, other)
+    if "shed" in one or "shed" in other:
+        both["shed"] = 1
     if both["n"] >= 8 * AGREEING and _size(both) > NODES:
-        return _without_rare(both, both["n"] // 8)
+        return _without_rare(both, both["n"] // 8) | {"shed": 1}
     return both
 
 
@@ -443,6 +451,8 @@ def _constant(slot: dict) -> int:
 
 def _amounts(node: dict) -> tuple[int, int]:
     """Characters of a wrapper's subtree: constant ones and all, added up over the pages."""
+    if "m" in node:
+        return tuple(node["m"])
     if "k" not in node:
         return _constant(node) * node["n"], node["c"]
     amounts = [_amounts(c) for c in node["k"]]
@@ -518,7 +528,10 @@ def main_text(page: str, wrapper: dict | None) -> str:
     Where half and more of an article is the same on all pages, the pages are copies of each
     other rather than filled from a template, and the whole counts.
     """
-    root = tree(parse(page))
+    return _main_text(tree(parse(page)), wrapper)
+
+
+def _main_text(root: Tree, wrapper: dict | None) -> str:
     for kind in ("article", "main", None):
         found = _mains(root, kind, wrapper) if kind else [(root, wrapper)]
         lines = []
@@ -531,10 +544,54 @@ def main_text(page: str, wrapper: dict | None) -> str:
         if found:
             break
     if not lines and wrapper is not None:
-        return main_text(page, None)
+        return _main_text(root, None)
     return "\n".join(lines)
 
 
+# A place is the way from the root to a node of a page: numbers of wrapper nodes, and below a part
+# that the wrapper lacks the gap it stands in, its rank among equal ones there and its label.
+_STEP, _LACKING = "\x1f", ":"
+# The slot of a place that is not looked up: too few pages have it.
+_UNKNOWN = {"l": "#", "n": 0, "c": 0, "a": 0, "h": None, "first": [], "last": []}
+
+
+def _placed(item: Tree, model: dict | None, place: str) -> list[tuple]:
+    """Children of a page's node with what the wrapper has for them and their places."""
+    pairs = {j: i for i, j in aligned(model, item)} if model is not None else {}
+    ranks: dict[tuple[int, str], int] = {}
+    found, gap = [], 0
+    for j, child in enumerate(item.children):
+        if j in pairs:
+            gap = pairs[j] + 1
+            found.append((child, model["k"][pairs[j]], f"{place}{_STEP}{pairs[j]}"))
+            continue
+        rank = ranks[gap, child.label] = ranks.get((gap, child.label), -1) + 1
+        step = f"{gap}{_LACKING}{rank}{_LACKING}{_hash(child.label)}"
+        found.append((child, None, f"{place}{_STEP}{step}"))
+    return found
+
+
+def _places(item: Tree, model: dict | None, place: str = "") -> Iterator[tuple[str, Slot | None]]:
+    """Places of a page's slots, and, without a slot, of its article and main elements."""
+    if item.element.main:
+        yield place, None
+    for child, known, at in _placed(item, model, place):
+        if isinstance(child, Slot):
+            yield at, child
+        else:
+            yield from _places(child, known, at)
+
+
+def _counted(item: Tree, model: dict | None, counts: dict, place: str = "") -> dict:
+    """A wrapper of just the parts of a page, with the counts of their places on all pages."""
+    children = [
+        counts.get(at, _UNKNOWN) if isinstance(child, Slot) else _counted(child, known, counts, at)
+        for child, known, at in _placed(item, model, place)
+    ]
+    node = {"l": item.label, "n": 1, "k": children}
+    return node | {"m": counts[place]} if place in counts else node
+
+
 def _fold_pages(batches: Iterator[Columns]) -> Iterator[Columns]:
     """One wrapper a host of a task's pages, or several where hosts are very many."""
     known: dict[str, dict] = {}
@@ -578,14 +635,164 @@ def _texts(batches: Iterator[Columns]) -> Iterator[Columns]:
     for columns in batches:
         texts = []
         for host, wrapper, page in zip(columns["host"], columns["wrapper"], columns["html"]):
-            if host not in known:
-                if len(known) >= 256:
-                    known.clear()
-                known[host] = json.loads(wrapper)
-            texts.append(main_text(page, known[host]))
+            texts.append(main_text(page, _loaded(known, host, wrapper)))
         yield {"page_id": columns["page_id"], "url": columns["url"], "text": texts}
 
 
+def _place_rows(batches: Iterator[Columns]) -> Iterator[Columns]:
+    """Slots of a task's pages, those of equal places merged; no slot for article and main elements."""
+    wrappers: dict[str, dict] = {}
+    known: dict[tuple[str, str], dict | None] = {}
+
+    def out() -> Columns:
+        return {
+            "host": [host for host, _ in known],
+            "place": [place for _, place in known],
+            "slot": [s and json.dumps(s) for s in known.values()],
+        }
+
+    for columns in batches:
+        for host, wrapper, page in zip(columns["host"], columns["wrapper"], columns["html"]):
+            for place, slot in _places(tree(parse(page)), _loaded(wrappers, host, wrapper)):
+                before = known.get((host, place))
+                made = slot and wrap(slot)
+                known[host, place] = merged(before, made) if before else made
+            if len(known) > HELD_NODES:
+                yield out()
+                known.clear()
+    if known:
+        yield out()
+
+
+def _fold_places(batches: Iterator[Columns]) -> Iterator[Columns]:
+    """Rows come sorted by host and place; one slot is held at a time."""
+    current, slot = None, None
+
+    def out(done: Columns) -> None:
+        values = (*current, slot and json.dumps(slot), slot and slot["n"])
+        amounts = (_constant(slot) * slot["n"], slot["c"]) if slot else (None, None)
+        for name, value in zip(done, (*values, *amounts)):
+            done[name].append(value)
+
+    for columns in batches:
+        done: Columns = {c: [] for c in ("host", "place", "value", "n", "constant", "total")}
+        for host, place, text in zip(columns["host"], columns["place"], columns["slot"]):
+            if (host, place) != current:
+                if current is not None:
+                    out(done)
+                current, slot = (host, place), None
+            if text is not None:
+                made = json.loads(text)
+                slot = merged(slot, made) if slot else made
+        if done["host"]:
+            yield done
+    if current is not None:
+        done = {c: [] for c in ("host", "place", "value", "n", "constant", "total")}
+        out(done)
+        yield done
+
+
+def _lacking_places(batches: Iterator[Columns]) -> Iterator[Columns]:
+    """Places of each page that its host's wrapper lacks."""
+    wrappers: dict[str, dict] = {}
+    for columns in batches:
+        found: Columns = {"host": [], "page": [], "place": []}
+        for host, wrapper, key, page in zip(*(columns[c] for c in ("host", "wrapper", "page", "html"))):
+            for place, _ in _places(tree(parse(page)), _loaded(wrappers, host, wrapper)):
+                if _LACKING in place:
+                    found["host"].append(host)
+                    found["page"].append(key)
+                    found["place"].append(place)
+        yield found
+
+
+def _counted_texts(batches: Iterator[Columns]) -> Iterator[Columns]:
+    wrappers: dict[str, dict] = {}
+    counts: dict[str, dict] = {}
+    for columns in batches:
+        texts = []
+        names = ("host", "wrapper", "html", "usual", "own")
+        for host, wrapper, page, usual, own in zip(*(columns[c] for c in names)):
+            model = _loaded(wrappers, host, wrapper)
+            if host not in counts:
+                if len(counts) >= 256:
+                    counts.clear()
+                counts[host] = {p["place"]: json.loads(p["value"]) for p in usual or ()}
+            there = counts[host] | {p["place"]: json.loads(p["value"]) for p in own or ()}
+            root = tree(parse(page))
+            texts.append(_main_text(root, _counted(root, model, there)))
+        yield {"page_id": columns["page_id"], "url": columns["url"], "text": texts}
+
+
+def _loaded(known: dict[str, dict], host: str, wrapper: str) -> dict:
+    if host not in known:
+        if len(known) >= 256:
+            known.clear()
+        known[host] = json.loads(wrapper)
+    return known[host]
+
+
+def _place_counts(rows: DataFrame) -> DataFrame:
+    """Columns host, place and value (JSON) of the places that can be template.
+
+    A slot on fewer pages than could agree is left out, as it counts like one that is not known.
+    The value of an article or main element is its characters: constant ones and all.
+    """
+    counted = materialized(
+        rows.select("host", "wrapper", "html")
+        .transform(batchwise(_place_rows, "host string, place string, slot string"))
+        .repartition("host", "place")
+        .sortWithinPartitions("host", "place")
+        .transform(
+            batchwise(
+                _fold_places,
+                "host string, place string, value string, n long, constant long, total long",
+            )
+        )
+    )
+    steps = F.split("place", _STEP)
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(steps) - 1),
+        lambda k: F.array_join(F.slice(steps, F.lit(1), k), _STEP),
+    )
+    mains = counted.where("value IS NULL").select("host", "place")
+    amounts = (
+        counted.where("value IS NOT NULL")
+        .select("host", F.explode(above).alias("place"), "constant", "total")
+        .groupBy("host", "place")
+        .agg(F.sum("constant").alias("constant"), F.sum("total").alias("total"))
+        .join(mains, ["host", "place"])
+        .select("host", "place", F.to_json(F.array("constant", "total")).alias("value"))
+    )
+    return materialized(
+        counted.where(F.col("n") >= AGREEING).select("host", "place", "value").unionByName(amounts)
+    )
+
+
+def _shed_texts(rows: DataFrame, ddl: str) -> DataFrame:
+    """Texts of pages whose host's wrapper shed parts."""
+    counts = _place_counts(rows)
+    entry = F.collect_list(F.struct("place", "value"))
+    lacking = F.col("place").contains(_LACKING)
+    # At most as many places as a wrapper has nodes.
+    usual = counts.where(~lacking).groupBy("host").agg(entry.alias("usual"))
+    rows = rows.withColumn("page", F.md5("html"))
+    own = (
+        rows.select("host", "wrapper", "page", "html")
+        .transform(batchwise(_lacking_places, "host string, page string, place string"))
+        .distinct()
+        .join(counts.where(lacking), ["host", "place"])
+        .groupBy("host", "page")
+        .agg(entry.alias("own"))
+    )
+    return (
+        rows.join(usual, "host", "left")
+        .join(own, ["host", "page"], "left")
+        .select("page_id", "url", "host", "wrapper", "html", "usual", "own")
+        .transform(batchwise(_counted_texts, ddl))
+    )
+
+
 def host_wrappers(pages: DataFrame) -> DataFrame:
     """Columns host and wrapper (JSON), one row a host, from all pages."""
     hosts = "host string, wrapper string"
@@ -614,9 +821,12 @@ def page_texts(pages: DataFrame) -> DataFrame:
     page has an empty text.  Pages without a URL, or one without a host, count as one host.
     Repeated pages are rows of their own; other columns are ignored.
     """
-    wrappers = materialized(host_wrappers(pages))
+    shed = F.get_json_object("wrapper", "$.shed").isNotNull()
+    wrappers = materialized(host_wrappers(pages).withColumn("shed", shed))
     size = wrappers.agg(
-        F.count(F.lit(1)).alias("hosts"), F.sum(F.octet_length("wrapper")).alias("bytes")
+        F.count(F.lit(1)).alias("hosts"),
+        F.sum(F.octet_length("wrapper")).alias("bytes"),
+        F.count_if("shed").alias("shed"),
     ).first()
     rows = _with_host(pages)
     if size.hosts <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES:
@@ -627,8 +837,12 @@ def page_texts(pages: DataFrame) -> DataFrame:
             salted, ["host", "salt"]
         )
     kind = dict(pages.dtypes)["page_id"]
-    return (
-        rows.select("page_id", "url", "host", "wrapper", "html")
-        .transform(batchwise(_texts, f"page_id {kind}, url string, text string"))
-        .withColumn("n_chars", F.length("text").cast("long"))
+    ddl = f"page_id {kind}, url string, text string"
+    texts = (
+        rows.where("NOT shed")
+        .select("page_id", "url", "host", "wrapper", "html")
+        .transform(batchwise(_texts, ddl))
     )
+    if size.shed:
+        texts = texts.unionByName(_shed_texts(rows.where("shed"), ddl))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))

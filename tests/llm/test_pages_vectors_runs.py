@@ -313,3 +313,26 @@ def test_wrappers_stay_bounded(monkeypatch):
         wrapper = wrapper_text.folded(wrapper, wrapper_text.wrap(wrapper_text.tree(wrapper_text.parse(page))))
     assert wrapper_text._size(wrapper) < 400
     assert wrapper_text.main_text(page, wrapper) == "399"
+
+
+def test_rare_parts_are_template_on_large_hosts_too(spark):
+    """Ten of 320 pages share a section's fixed text; each page has 25 nodes of its own."""
+    def name(k):
+        return "".join(chr(97 + int(d)) for d in str(k))
+
+    rows, want = [], {}
+    for k in range(320):
+        group, own = k % 32, f"{k}, and more text than the section has, since copies count as a whole"
+        rows.append((k, "http://a.org/", (
+            f"<div class=u{name(k)}>{'<div class=y><p>own</div>' * 12}</div><article><h1>T</h1>"
+            f"<div class=s{name(group)}><p>Section {group}, always so.</div><div class=b><p>{own}</div></article>"
+        )))
+        want[k] = f"T\n{own}"
+    for k in range(9):
+        rows.append((1000 + k, "http://b.org/", f"<article><p>Same<p>{k}<p>{k} and more text</article>"))
+        want[1000 + k] = f"{k}\n{k} and more text"
+    rows += rows[:2]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for dealt in (pages.coalesce(1), pages.repartition(3)):
+        got = wrapper_text.page_texts(dealt).collect()
+        assert len(got) == 331 and {r.page_id: r.text for r in got} == want
