@@ -197,12 +197,13 @@ def run_to_parquet(
 ) -> None:
     """Process everything available now and append it to ``out``."""
     chosen = stream.select(*columns) if columns else stream
-    (
+    writer = (
         chosen.writeStream.format("parquet")
         .outputMode("append")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
     )
+    with tables.state_on_disk(chosen.sparkSession):
+        query = writer.start()
+    query.awaitTermination()

@@ -257,6 +257,16 @@ def test_correlation_stream(spark, tables_, tmp_path):
     assert _same(spark.read.parquet(str(tmp_path / "out")), batch)
 
 
+def test_join_state_is_on_disk(spark, tables_, tmp_path):
+    samples, events = tables_
+    pairs = correlation.stream_dtc_correlation(
+        _replay(spark, events, tmp_path / "f"), _replay(spark, samples, tmp_path / "s"), 5
+    )
+    live.run_to_parquet(pairs, str(tmp_path / "out"), str(tmp_path / "progress"))
+    written = {f.suffix for f in (tmp_path / "progress" / "state").rglob("*.*")}
+    assert written & {".changelog", ".zip"} and ".delta" not in written
+
+
 def _poll(session, seconds, value=42.0):
     ts = START + timedelta(seconds=seconds)
     rows = [(session, ts, c, value, None, None, None) for c in live.COMMAND_GAUGES]
