@@ -4,14 +4,16 @@ Universe partitioning with pigeonholes.  Sets are put into bands of similar size
 cuts the universe of hashed shingles into segments, so many that two sets within the
 Jaccard bound must agree on a whole segment or, where a segment is allotted one deletion,
 differ there in one shingle.  Segments and one-deletion neighbourhoods are hashed to keys;
-how many segments of either sort a band has is chosen by a cost model.  The few sets whose
-shingles crowd into too few segments also index a prefix of their hashes, which finds the
-pairs among them.  Sets that meet under a key are candidates, and all links between sets
+how many segments of either sort a band has is chosen by a cost model.  Of whole segments a
+set indexes no more than it needs, those of most shingles.  The few sets whose shingles
+crowd into too few segments also index a prefix of their hashes, which finds the pairs
+among them.  Sets that meet under a key are candidates, and all links between sets
 of different components are verified on the whole sets.
 
 Copies of a text are one node from the start.  Candidates are first verified along the
 most frequent meetings; after that only pairs between different components are left, so
-a large group of near copies costs links in proportion to its size.
+a large group of near copies costs links in proportion to its size.  Lists with the same
+smallest member, which mostly hold the same sets, are compared as one.
 """
 
 from __future__ import annotations
@@ -36,11 +38,13 @@ SHINGLE, PER_CENT = 5, 75
 # Bits of the smallest parity bitmap.
 LEAST_BITS = 512
 # Keys that one reducing task handles, and documents that a mapping task gathers at a time.
-BUCKET_KEYS, GATHERED_KEYS = 1_600_000, 1_000_000
+BUCKET_KEYS, GATHERED_KEYS = 2_200_000, 1_000_000
 # Sizes travel as logarithms in a byte; all above the greatest count as equal.
 SCALE, MOST_SCALE = 12, 127
 # Sets of one side where a list's members are compared, and sets of the corpus for each such task.
 BLOCK, COMPARED = 1024, 4096
+# Lists with one smallest member are one list, unless it has more than so many times their pairs.
+MERGED = 4
 # Pairs of two components that a task gives to be verified at first.
 FIRST_PAIRS = 64
 
@@ -179,7 +183,8 @@ def _allot(high: int) -> tuple[int, int]:
 
     A segment of m holds x = size / m shingles on average, so its chance to be empty or
     single is Poisson.  Empty segments cover no difference, others one, and those with a
-    deletion two.  The cost counts keys, and candidates by keys of few shingles.
+    deletion two.  What covers more than is needed is not indexed, single shingles first.
+    The cost counts keys, and candidates by keys of few shingles.
     """
     need = most_apart(high, high) + 1
     # For the smallest sets no number is sure enough; they rely on the prefix of crowded sets.
@@ -197,7 +202,9 @@ def _allot(high: int) -> tuple[int, int]:
             m += max(1, m // 50)
         if m > 2 * high:
             continue
-        cost = m * filled + deleting * x + 8 * (m - deleting) * x * math.exp(-x)
+        spare = covered - need
+        single = max(0, (m - deleting) * x * math.exp(-x) - spare) + deleting * x * x * math.exp(-x)
+        cost = m * filled + deleting * x - spare + 8 * single
         if cost < best[0]:
             best = (cost, m, deleting)
     return best[1:]
@@ -229,7 +236,12 @@ def bands_of(size: int) -> list[Band]:
 
 
 def keys(shingles: np.ndarray) -> np.ndarray:
-    """Keys of a set in all its bands.  Linked sets have one in common."""
+    """Keys of a set in all its bands.  Linked sets have one in common.
+
+    Where a set has ``spare`` segments more than differences can touch, linked sets that agree
+    in no segment with a deletion agree in more than ``spare`` others.  So each set may leave
+    out its last ``spare`` ones in an order by content: the first in which both agree stays.
+    """
     out = []
     size = len(shingles)
     value = mixed(shingles ^ _PLACE[0])
@@ -241,11 +253,18 @@ def keys(shingles: np.ndarray) -> np.ndarray:
         count = np.diff(cut)
         salt = mixed(np.arange(b.segments, dtype=np.uint64) + np.uint64(b.number << 32))
         content = total[cut[1:]] - total[cut[:-1]]
-        out.append(mixed(content + salt)[count > 0])
+        whole = mixed(content + salt)
         deleting = np.flatnonzero((place < b.deleting) & (count[place] > 1))
         out.append(mixed(content[place[deleting]] - value[deleting] + salt[place[deleting]]))
         covered = np.count_nonzero(count) + np.count_nonzero(count[: b.deleting] > 1)
-        if covered <= most_apart(size, min(b.high, 100 * size // PER_CENT)):
+        spare = covered - most_apart(size, min(b.high, 100 * size // PER_CENT)) - 1
+        rest = b.deleting + np.flatnonzero(count[b.deleting :])
+        if spare > 0:
+            # Keys of few shingles go first, since they meet by chance.
+            rest = rest[np.lexsort((whole[rest], -count[rest]))][: max(0, len(rest) - spare)]
+        out.append(whole[: b.deleting][count[: b.deleting] > 0])
+        out.append(whole[rest])
+        if spare < 0:
             # Too crowded.  Its partner has enough segments, or indexes a prefix like this one.
             prefix = size - -(-PER_CENT * size // 100) + 1
             out.append(mixed(shingles[:prefix] + np.uint64((b.number << 32) + 0xFFFFFFFF)))
@@ -325,17 +344,24 @@ def posted_keys(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
     return docs.select("text").transform(batchwise(post, _KEYS))
 
 
-_MET = "a long, b long, times long, list long, members array<long>"
+_MET = "a long, b long, times long, two boolean, least long, list long, members array<long>"
+
+
+def gathered(lists: list[np.ndarray]) -> list[np.ndarray]:
+    """Lists that share their smallest member as one, unless that makes many more pairs."""
+    every = np.unique(np.concatenate(lists))
+    return [every] if len(every) ** 2 <= MERGED * sum(len(x) ** 2 for x in lists) else lists
 
 
 def meetings(posted: DataFrame) -> DataFrame:
     """What meets under the keys of a bucket: neighbours by size with how often, and longer lists as they are.
 
-    Neighbours link a list of two.  Lists of three and more are kept too, once if equal.
+    Neighbours link a list of two.  Lists of three and more are kept too, once if equal, and
+    gathered by their smallest member.
     """
     schema = pa.schema(
-        [("a", pa.int64()), ("b", pa.int64()), ("times", pa.int64()), ("list", pa.int64()),
-         ("members", pa.list_(pa.int64()))]
+        [("a", pa.int64()), ("b", pa.int64()), ("times", pa.int64()), ("two", pa.bool_()),
+         ("least", pa.int64()), ("list", pa.int64()), ("members", pa.list_(pa.int64()))]
     )
 
     def meet(bucket: pa.Table) -> pa.Table:
@@ -358,30 +384,65 @@ def meetings(posted: DataFrame) -> DataFrame:
         beside = np.flatnonzero(key[1:] == key[:-1]) if len(key) else np.zeros(0, np.int64)
         beside = beside[scale[beside + 1] - scale[beside] <= SCALE * math.log(100 / PER_CENT) + 1]
         rows = {name: [] for name in schema.names}
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(key)))
         if len(beside):
             pairs = np.stack([node[beside], node[beside + 1]], axis=1)
-            kind, times = np.unique(pairs, axis=0, return_counts=True)
-            rows["a"], rows["b"], rows["times"] = kind[:, 0].tolist(), kind[:, 1].tolist(), times.tolist()
+            kind, of, times = np.unique(pairs, axis=0, return_inverse=True, return_counts=True)
+            two = np.zeros(len(kind), bool)
+            two[of.reshape(-1)[np.repeat(size == 2, size)[beside]]] = True
+            rows["a"], rows["b"] = kind[:, 0].tolist(), kind[:, 1].tolist()
+            rows["times"], rows["two"] = times.tolist(), two.tolist()
         blank = len(rows["a"])
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else []
-        ends = np.append(start[1:], len(key)) if len(key) else []
-        known = set()
-        for i, j in zip(start, ends):
-            content = int(mixed(node[i:j].view(np.uint64)).sum(dtype=np.uint64).astype(np.int64))
-            if j - i > 2 and content not in known:
-                known.add(content)
-                rows["list"].append(content)
-                rows["members"].append(node[i:j])
-        lists = len(rows["list"])
-        for name in ("a", "b", "times"):
-            rows[name] += [None] * lists
-        for name in ("list", "members"):
+        by_least: dict[int, dict[int, np.ndarray]] = {}
+        for i, j in zip(start[size > 2], (start + size)[size > 2]):
+            by_least.setdefault(int(node[i:j].min()), {})[_content(node[i:j])] = node[i:j]
+        for least, lists in by_least.items():
+            for members in gathered(list(lists.values())):
+                rows["least"].append(least)
+                rows["list"].append(_content(members))
+                rows["members"].append(members)
+        listed = len(rows["list"])
+        for name in ("a", "b", "times", "two"):
+            rows[name] += [None] * listed
+        for name in ("least", "list", "members"):
             rows[name] = [None] * blank + rows[name]
         return pa.Table.from_pydict(rows, schema=schema)
 
     return posted.groupBy("bucket").applyInArrow(meet, _MET)
 
 
+def _content(members: np.ndarray) -> int:
+    return int(mixed(members.view(np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+
+
+def list_members(met: DataFrame) -> DataFrame:
+    """Members (list, node) of the lists of all buckets, gathered by their smallest one like those of a bucket.
+
+    A group of near copies meets under many keys, in lists that differ in few members: together
+    they have little more than one of them.
+    """
+    parts = materialized(
+        met.where("list IS NOT NULL")
+        .groupBy("least", "list", F.size("members").cast("long").alias("size"))
+        .agg(F.first("members").alias("members"))
+    )
+    members = parts.select("least", "list", F.explode("members").alias("node"))
+    together = members.select("least", "node").distinct().groupBy("least").agg(F.count(F.lit(1)).alias("many"))
+    wide = (
+        parts.groupBy("least")
+        .agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
+        .join(together, "least")
+        .where(F.col("many") * F.col("many") > MERGED * F.col("pairs"))
+        .select("least", F.lit(True).alias("wide"))
+    )
+    return (
+        members.join(wide, "least", "left")
+        .select(F.when(F.col("wide"), F.xxhash64("least", "list")).otherwise(F.col("least")).alias("list"), "node")
+        .distinct()
+    )
+
+
 def not_far(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) that their sizes and bitmaps do not rule out."""
     side = [
@@ -458,19 +519,21 @@ def _similar(one: np.ndarray, other: np.ndarray) -> bool:
 
 
 def across(
-    lists: DataFrame, named: DataFrame, nodes: DataFrame, tasks: int, most: int
+    lists: DataFrame, named: DataFrame, nodes: DataFrame, tasks: int, most: int, left: DataFrame | None
 ) -> DataFrame:
     """Pairs of a list's members in different components, as far as sizes and bitmaps allow.
 
     Lists within one component have nothing to add.  Others are compared in blocks.  Of
-    two components a task gives the ``most`` pairs with the nearest bitmaps, and ``more``
-    tells that it had others.
+    two components a task gives the ``most`` pairs with the nearest bitmaps; where it had
+    others they are named in ``in_a`` and ``in_b``.  Only members of the components in
+    ``left``, if given, are compared.
     """
     members = (
-        lists.select("list", F.explode("members").alias("node"))
-        .join(named, "node", "left")
+        lists.join(named, "node", "left")
         .select("list", "node", F.coalesce("component", "node").alias("component"))
     )
+    if left is not None:
+        members = members.join(left, "component", "left_semi")
     # A list is as long as it was; only those of several components are taken apart again.
     mixed_lists = (
         members.groupBy("list")
@@ -484,9 +547,9 @@ def across(
     blocks = F.ceil(F.size("rows") / BLOCK).cast("int")
     compared = (
         mixed_lists.select("list", blocks.alias("blocks"), F.inline("rows"))
+        .join(nodes.select("node", "n", "bits"), "node")
         .transform(lambda df: paired_blocks(df, "node", "blocks"))
         .withColumn("block", F.xxhash64("list", "low", "high"))
-        .join(nodes.select("node", "n", "bits"), "node")
         .withColumn("task", F.pmod("block", F.lit(tasks)))
         .select("task", "block", "side", "low", "high", "node", "component", "n", "bits")
     )
@@ -519,11 +582,25 @@ def across(
         start = np.flatnonzero(first)
         rank = np.arange(len(pairs)) - np.repeat(start, np.diff(np.append(start, len(pairs))))
         kept = rank < most
-        more = np.full(int(kept.sum()), bool((~kept).any()))
-        return pa.table({"a": pairs[kept, 3], "b": pairs[kept, 4], "more": more})
+        cut = np.repeat(np.diff(np.append(start, len(pairs))) > most, np.diff(np.append(start, len(pairs))))
+        return pa.table(
+            {"a": pairs[kept, 3], "b": pairs[kept, 4]}
+            | {name: pa.array(pairs[kept, k], mask=~cut[kept]) for k, name in enumerate(("in_a", "in_b"))}
+        )
+
+    return compared.groupBy("task").applyInArrow(compare, "a long, b long, in_a long, in_b long")
 
-    found = compared.groupBy("task").applyInArrow(compare, "a long, b long, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+
+def still_apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """Of pairs of former components those that are still two, as one column of components."""
+    part = {x: named.select(F.col("node").alias(f"in_{x}"), F.col("component").alias(x)) for x in "ab"}
+    now = (
+        pairs.join(part["a"], "in_a", "left")
+        .join(part["b"], "in_b", "left")
+        .select(F.coalesce("a", "in_a").alias("a"), F.coalesce("b", "in_b").alias("b"))
+        .where("a != b")
+    )
+    return now.select(F.explode(F.array("a", "b")).alias("component")).distinct()
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -547,18 +624,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
     )
     many, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     met = materialized(meetings(posted_keys(texts, seed, max(8, total // BUCKET_KEYS))))
-    # A group of near copies meets under many keys of many buckets; its list counts once.
-    lists = materialized(
-        met.where("list IS NOT NULL")
-        .groupBy("list", F.size("members").alias("size"), F.element_at("members", 1).alias("first"))
-        .agg(F.first("members").alias("members"))
-        .select(F.xxhash64("list", "size", "first").alias("list"), "members")
-    )
+    lists = compacted(list_members(met))
+    # Neighbours that met once, in a longer list, are left to the comparison of its members.
     pairs = (
         met.where("list IS NULL")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "times")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "times", "two")
         .groupBy("a", "b")
-        .agg(F.sum("times").alias("times"))
+        .agg(F.sum("times").alias("times"), F.max("two").alias("two"))
+        .where("two OR times > 1")
+        .drop("two")
     )
     pairs = compacted(pairs)
     candidates = compacted(not_far(pairs, nodes).join(pairs, ["a", "b"]))
@@ -579,12 +653,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
     named = joined(named, linked(rest, texts, nodes, seed))
     # At last the members of lists that still hold several components, the nearest first:
     # a link joins two components and settles all other pairs between them.
-    tried, most, more = best.union(rest), FIRST_PAIRS, True
-    while more:
-        left = compacted(across(lists, named, nodes, max(8, many // COMPARED), most))
-        more = not left.where("more").isEmpty()
-        fresh = compacted(left.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    tried, most, left = best.union(rest), FIRST_PAIRS, None
+    while True:
+        near = compacted(across(lists, named, nodes, max(8, many // COMPARED), most, left))
+        fresh = compacted(near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         named = joined(named, linked(fresh, texts, nodes, seed))
+        # Components that gave all their pairs, or are now one, are done with.
+        cut = near.where("in_a IS NOT NULL").select("in_a", "in_b").distinct()
+        left = compacted(still_apart(cut, named))
+        if left.isEmpty():
+            break
         tried, most = tried.union(fresh), 32 * most
     final = named.join(nodes.select("node", "first_id"), "node")
     least = final.groupBy("component").agg(F.min("first_id").alias("least_id"))

@@ -304,6 +304,41 @@ def test_crowded_sets_share_a_prefix(monkeypatch):
     set_join.band.cache_clear()
 
 
+def test_whole_segments_beyond_need_are_not_indexed():
+    """A set's keys are one more than its differences in a band may be, and still meet the farthest sets."""
+    rng = np.random.default_rng(5)
+    for size in (40, 100, 300, 1000):
+        base = np.unique(set_join.mixed(rng.integers(0, 2**63, size, dtype=np.uint64)))
+        most = sum(set_join.most_apart(size, min(b.high, 100 * size // 75)) + 1 for b in set_join.bands_of(size))
+        if all(b.deleting == 0 for b in set_join.bands_of(size)):
+            assert len(set_join.keys(base)) <= most
+        for _ in range(60):
+            part = np.sort(rng.choice(base, -(-75 * size // 100), replace=False))
+            assert set_join._similar(base, part)
+            assert len(np.intersect1d(set_join.keys(base), set_join.keys(part)))
+
+
+def test_lists_of_one_family_are_compared_as_one(spark):
+    """Lists with one smallest member are one list, unless their other members have little in common."""
+    rng = np.random.default_rng(2)
+    family = [np.unique(np.append(rng.choice(np.arange(1, 40), 30, replace=False), 0)) for _ in range(50)]
+    strange = [np.array([-7, *range(1000 * k, 1000 * k + 30)]) for k in range(1, 20)]
+    assert [len(x) for x in set_join.gathered(family)] == [len(np.unique(np.concatenate(family)))]
+    assert set_join.gathered(strange) is strange
+    rows = [(int(x.min()), set_join._content(x), x.tolist()) for x in family + strange]
+    met = spark.createDataFrame(rows, "least long, list long, members array<long>")
+    got = Counter(r.list for r in set_join.list_members(met).collect())
+    assert sorted(got.values()) == sorted([len(np.unique(np.concatenate(family)))] + [31] * 19)
+
+
+@pytest.mark.parametrize("first", [set_join.FIRST_PAIRS, 1])
+def test_pairs_left_by_a_first_round(make_docs, monkeypatch, first):
+    monkeypatch.setattr(set_join, "FIRST_PAIRS", first)
+    docs = edited_docs(150, 9)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in set_join.shingle_groups(make_docs(docs)).collect()}
+    assert got == groups_by_hand(docs)
+
+
 @pytest.mark.parametrize("block", [set_join.BLOCK, 3])
 def test_shingle_groups(make_docs, monkeypatch, block):
     monkeypatch.setattr(set_join, "BLOCK", block)
